@@ -5,10 +5,11 @@ key.  The index holds one chain for every key and digest (its number of rows
 and largest doc_id, summed before they are shuffled), in buckets of a directory
 that is addressed by the key's leading bits: a bucket with more than
 ``bucket_rows`` chains is split by doubling the directory.  Its files are
-Parquet, one folder a bucket, in the shared checkpoint folder.  Owner tasks
-read key ranges of it; the rows of chains with several members are compared
-byte by byte with their chain's head, and rows that differ from it are chained
-again until none is left.
+Parquet, one folder a bucket, in the shared checkpoint folder, and the tasks
+that own key ranges read it.  The texts of a chain are compared byte by byte
+while it is built (its least and greatest text, which are kept from partial
+chains, must be the same); rows of a chain whose texts differ are chained again
+by their bytes.
 
 Only DataFrame and SQL functions run on executors.  The driver sees bucket
 counts, at most ``2 ** DIGIT`` at a time.
@@ -21,11 +22,11 @@ columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import shared_folder, written
+
 #: Chains that a bucket of the index holds before it is split.
 BUCKET_ROWS = 500_000
 #: Bits by which the directory grows at a time; bucket counts reach the driver.
@@ -46,14 +47,6 @@ FROM t
 """
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def directory(chains: DataFrame, bucket_rows: int) -> list[tuple[str, int]]:
     """Buckets as (leading bits of the key, depth), split until each holds ``bucket_rows`` chains at most or all bits are used."""
     done, full = [], [("", 0)]
@@ -81,16 +74,13 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, folder: str | N
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
     norm = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
-    texts = docs.select("doc_id", norm.alias("norm")).withColumn("key", F.xxhash64("norm"))
-    slim = texts.select("doc_id", "key", F.sha2("norm", 256).alias("digest"))
-    slim.write.parquet(f"{folder}/keys")
-    slim = spark.read.parquet(f"{folder}/keys")
+    texts = docs.select("doc_id", norm.alias("norm")).select("doc_id", "norm", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("digest"))
 
     # the index: chains, in the buckets of the directory
-    chains = slim.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("head"))
+    differ = (F.min("norm") != F.max("norm")).alias("differ")
+    chains = texts.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("head"), differ)
     chains = chains.withColumn("bits", F.lpad(F.conv(F.hex("key"), 16, 2), 64, "0"))
-    chains.write.parquet(f"{folder}/chains")
-    chains = spark.read.parquet(f"{folder}/chains")
+    chains = written(chains, f"{folder}/chains")
     buckets = directory(chains, bucket_rows)
     by_level: dict[int, list[str]] = {}
     for bits, level in buckets:
@@ -100,19 +90,13 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, folder: str | N
     chains.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{folder}/index")
     index = spark.read.schema(chains.schema).parquet(f"{folder}/index").drop("bucket")
 
-    # rows of chains with several members, compared with a head of their chain byte by byte
-    many = index.where("n > 1").select("key", "digest")
-    members = texts.withColumn("digest", F.sha2("norm", 256)).join(many, ["key", "digest"], "left_semi")
-    heads = members.groupBy("key", "digest").agg(F.min("norm").alias("head_text"))
-    other = members.join(heads, ["key", "digest"]).where("norm <> head_text")
-    if other.isEmpty():
-        members = slim.join(index, ["key", "digest"])
-    else:  # a chain holds different texts: chain them by their bytes
-        mixed = other.select("key", "digest").distinct()
-        apart = texts.withColumn("digest", F.sha2("norm", 256)).join(mixed, ["key", "digest"], "left_semi")
+    keys = texts.select("doc_id", "key", "digest")
+    members = keys.join(index.where("not differ"), ["key", "digest"]).select("doc_id", "digest", "n", "head")
+    mixed = index.where("differ").select("key", "digest")
+    if not mixed.isEmpty():  # chain the rows of these by their bytes
+        apart = texts.join(mixed, ["key", "digest"], "left_semi")
         sums = apart.groupBy("norm").agg(F.count("*").alias("n"), F.max("doc_id").alias("head"))
-        apart = apart.join(sums, "norm").select("doc_id", "digest", "n", "head")
-        members = slim.join(index, ["key", "digest"]).join(mixed, ["key", "digest"], "left_anti").select("doc_id", "digest", "n", "head").unionByName(apart)
+        members = members.unionByName(apart.join(sums, "norm").select("doc_id", "digest", "n", "head"))
     return members.select(
         "doc_id",
         F.col("head").alias("keep_id"),

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op6_bpe, op7_exact
+from . import op3_urls, op4_nearest, op6_bpe, op7_exact, op9_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_url_filter": op3_urls.query,
+        "op4_nearest": op4_nearest.query,
         "op6_bpe": op6_bpe.query,
         "op7_exact_dedup": op7_exact.query,
+        "op9_token_counts": op9_counts.query,
     }
 
 

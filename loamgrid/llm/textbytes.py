@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Odd multiplier of the polynomial hash and the seed of its byte table.
 _BASE = 0x9E3779B97F4A7C15
@@ -91,7 +92,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
         if not n:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         while at < n:
             base = ends[at - 1] if at else 0
