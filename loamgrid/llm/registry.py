@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_urls, op4_nearest, op6_bpe, op7_exact, op9_counts
+from . import op2_toxicity, op3_urls, op4_nearest, op6_bpe, op7_exact, op9_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity.query,
         "op3_url_filter": op3_urls.query,
         "op4_nearest": op4_nearest.query,
         "op6_bpe": op6_bpe.query,
