@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_toxicity, op3_urls, op4_nearest, op6_bpe, op7_exact, op9_counts
+from . import op1_minhash, op2_toxicity, op3_urls, op4_nearest, op6_bpe, op7_exact, op9_counts, op10_lines
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash.query,
         "op2_toxicity": op2_toxicity.query,
         "op3_url_filter": op3_urls.query,
         "op4_nearest": op4_nearest.query,
         "op6_bpe": op6_bpe.query,
         "op7_exact_dedup": op7_exact.query,
         "op9_token_counts": op9_counts.query,
+        "op10_line_dedup": op10_lines.query,
     }
 
 
