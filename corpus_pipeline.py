@@ -1,18 +1,64 @@
-"""A corpus pipeline of operators of the llm subpackage."""
+"""A corpus pipeline: toxicity, line dedup, near-duplicates, mixing, BPE.
+
+Each stage works on all documents that its predecessor kept.  The first four
+return the columns of ``documents``: the first drops toxic documents, the second
+deletes repeated runs of lines (and documents of which nothing is left), the
+third keeps one document of each class of near-duplicates, the fourth repeats
+documents by their mixing rates (with the default targets no domain shrinks).
+The last one returns the token digests of what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamgrid.llm import op1_minhash, op2_toxicity, op5_mixing, op6_bpe, op10_lines
+from loamgrid.llm.shared import written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted to be toxic; the classifier learns from ``labels``."""
+    model = op2_toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return op2_toxicity.toxicity(docs, model).where("_predicted = 0").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated line runs; those that lose all their lines go."""
+    out = op10_lines.line_dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.where("_n_removed < _n_lines or _n_lines = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each class of near-duplicates."""
+    found = op1_minhash.near_duplicates(docs.select("doc_id", "text"))
+    gone = found.where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their mixing rate says."""
+    labelled = op5_mixing.labelled_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    copies = op5_mixing.mix(docs, labelled).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    return docs.join(copies, "doc_id").where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document."""
+    return op6_bpe.bpe(docs)
 
-from loamgrid.llm import op6_bpe
 
-STAGES = [("bpe", lambda spark, docs, sf_dir: op6_bpe.bpe(docs))]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("bpe", bpe)]
 
+#: The stages learn models and sample, which SQL cannot express; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

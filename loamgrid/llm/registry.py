@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_minhash, op2_toxicity, op3_urls, op4_nearest, op6_bpe, op7_exact, op8_suffixes, op9_counts, op10_lines
+from . import op1_minhash, op2_toxicity, op3_urls, op4_nearest, op5_mixing, op6_bpe, op7_exact, op8_suffixes, op9_counts, op10_lines
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity.query,
         "op3_url_filter": op3_urls.query,
         "op4_nearest": op4_nearest.query,
+        "op5_mixing": op5_mixing.query,
         "op6_bpe": op6_bpe.query,
         "op7_exact_dedup": op7_exact.query,
         "op8_suffix_dedup": op8_suffixes.query,
