@@ -29,9 +29,11 @@ from .textbytes import blocks
 VOCABULARY = "word_bpe_49k.json"
 SEGMENT_CHARS = 32_768
 #: Words that a Python worker keeps the tokens of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Neighbouring tokens that must agree before a window is spliced in.
 AGREE = 3
+#: Marks that often end a word; each is one token.
+ENDS = (".", ",", "|", ";", ":", "!", "?")
 
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -53,21 +55,54 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.names = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.names = [x.encode() for x in names]
+        #: Whether a token ends a word, and the characters that it stands for if they are ASCII.
+        self.ends = np.array([x.endswith("</w>") for x in names])
+        self.sizes = np.array([len(x.removesuffix("</w>")) for x in names])
         self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
+
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: each gives tokens of which only the last ends a word, so many are encoded in one text."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                raw, at = ids.tobytes(), 0
+                for stop in (4 * stops).tolist():
+                    out.append(raw[at:stop])
+                    at = stop
+            else:  # lower case has turned some letter into more than letters
+                out += self.encode_others(part)
+        return out
+
+    def encode_others(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        """Encode words that aren't known yet, in one call."""
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids.clear()
-            self.decoded.clear()
+        """Encode words that aren't known yet.
+
+        Case is folded and punctuation parted from letters by the tokenizer itself, so a word of letters with one
+        mark after it is put together from the two.
+        """
+        known = self.ids
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
             new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.ids[w] = np.array(ids, dtype="<u4").tobytes()
-            self.decoded[w] = b"".join([self.names[i] + b" " for i in ids])
+        made = [(w, w[:-1].lower() if w[-1] in ENDS else w.lower()) for w in new if w.isascii() and (w[:-1] if w[-1:] in ENDS else w).isalpha()]
+        of_letters = {core for _, core in made if core not in known}
+        put_together = {w for w, _ in made}
+        others = {w for w in new if w not in put_together}
+        letters = [w for w in others if w.isalpha()]
+        others = [w for w in others if not w.isalpha()] + [e for e in ENDS if e not in known]
+        letters += of_letters
+        known.update(zip(letters, self.encode_letters(letters), strict=True))
+        known.update(zip(others, self.encode_others(others), strict=True))
+        for w, core in made:
+            known[w] = known[core] if len(w) == len(core) else known[core] + known[w[-1]]
 
     def encode_texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids (little-endian, 4 bytes each) and decoded text of each text.
@@ -76,11 +111,28 @@ class Codec:
         """
         split = [x.replace("\n", " ").split(" ") for x in texts]
         self.learn({w for x in split for w in x})
-        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
-        return [(b"".join(map(ids, x)), b"".join(map(decoded, x))[:-1]) for x in split]
+        coded = [b"".join(map(self.ids.__getitem__, x)) for x in split]
+        return [(x, self.decode(np.frombuffer(x, dtype="<u4"))) for x in coded]
+
+    def tokens_by_word(self, text: str) -> np.ndarray:
+        """The same as tokens(), from the tokens of the text's words."""
+        split = text.replace("\n", " ").split(" ")
+        self.learn(set(split))
+        ids = np.frombuffer(b"".join([self.ids[w] for w in split]), dtype="<u4").astype(np.int64)
+        lengths = np.array([len(w) + 1 for w in split])
+        counts = np.array([len(self.ids[w]) // 4 for w in split])
+        starts, firsts = np.cumsum(lengths) - lengths, np.cumsum(counts) - counts
+        before = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        begin = before[:-1] + np.repeat(starts - before[firsts], counts)
+        rows = np.column_stack([ids, begin, begin + self.sizes[ids]])
+        other = [i for i, w in enumerate(split) if not w.isascii()]
+        for i, e in zip(other, self.tokenizer.encode_batch([split[i] for i in other], add_special_tokens=False), strict=True):
+            if counts[i]:
+                rows[firsts[i] : firsts[i] + counts[i], 1:] = np.array(e.offsets) + starts[i]
+        return rows
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b" ".join([self.names[i] for i in ids])
+        return b" ".join(map(self.names.__getitem__, ids.tolist()))
 
     def tokens(self, text: str) -> np.ndarray:
         """Rows of id, first character and end of each token."""
@@ -120,11 +172,12 @@ def join(code: Codec, text: str, cut: int, left: np.ndarray, right: np.ndarray,
             return code.tokens(text)
         near = code.tokens(text[a:b])
         near[:, 1:] += a
-        low = (0, 0) if a == 0 else _agreement(left[left[:, 2] <= cut], near, AGREE, last=False)
-        high = (0, 0) if b == len(text) else _agreement(right[right[:, 1] >= cut], near, AGREE, last=True)
+        from_a, to_b = int(np.searchsorted(left[:, 1], a)), int(np.searchsorted(right[:, 1], b))  # only tokens in the window are compared
+        low = (0, 0) if a == 0 else _agreement(left[from_a:], near, AGREE, last=False)
+        high = (0, 0) if b == len(text) else _agreement(right[:to_b], near, AGREE, last=True)
         if low is not None and high is not None:
-            head, first = (left[:0], 0) if a == 0 else (left[left[:, 2] <= cut][: low[0] + 1], low[1] + 1)
-            tail, last = (right[:0], len(near)) if b == len(text) else (right[right[:, 1] >= cut][high[0] + AGREE :], high[1] + AGREE)
+            head, first = (left[:0], 0) if a == 0 else (left[: from_a + low[0] + 1], low[1] + 1)
+            tail, last = (right[:0], len(near)) if b == len(text) else (right[high[0] + AGREE :], high[1] + AGREE)
             if first <= last:
                 return np.concatenate([head, near[first:last], tail])
         window *= 2
@@ -172,7 +225,7 @@ def bpe(docs: DataFrame, vocabulary: str = VOCABULARY, segment_chars: int = SEGM
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary)
         for batch in batches:
-            tokens = [code.tokens(x).astype("<i4").tobytes() for x in batch.column("part").to_pylist()]
+            tokens = [code.tokens_by_word(x).astype("<i4").tobytes() for x in batch.column("part").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.binary())], names=[*batch.schema.names, "tokens"])
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:

@@ -6,10 +6,9 @@ and largest doc_id, summed before they are shuffled), in buckets of a directory
 that is addressed by the key's leading bits: a bucket with more than
 ``bucket_rows`` chains is split by doubling the directory.  Its files are
 Parquet, one folder a bucket, in the shared checkpoint folder, and the tasks
-that own key ranges read it.  The texts of a chain are compared byte by byte
-while it is built (its least and greatest text, which are kept from partial
-chains, must be the same); rows of a chain whose texts differ are chained again
-by their bytes.
+that own key ranges read it.  The rows of a chain are compared byte by byte
+with the text of its head (the row with the largest doc_id); rows of a chain
+whose texts differ are chained again by their bytes.
 
 Only DataFrame and SQL functions run on executors.  The driver sees bucket
 counts, at most ``2 ** DIGIT`` at a time.
@@ -75,10 +74,10 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, folder: str | N
     folder = folder or shared_folder(spark)
     norm = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
     texts = docs.select("doc_id", norm.alias("norm")).select("doc_id", "norm", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("digest"))
+    keys = written(texts.select("doc_id", "key", "digest"), f"{folder}/keys")
 
     # the index: chains, in the buckets of the directory
-    differ = (F.min("norm") != F.max("norm")).alias("differ")
-    chains = texts.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("head"), differ)
+    chains = keys.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("head"))
     chains = chains.withColumn("bits", F.lpad(F.conv(F.hex("key"), 16, 2), 64, "0"))
     chains = written(chains, f"{folder}/chains")
     buckets = directory(chains, bucket_rows)
@@ -90,12 +89,16 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, folder: str | N
     chains.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{folder}/index")
     index = spark.read.schema(chains.schema).parquet(f"{folder}/index").drop("bucket")
 
-    keys = texts.select("doc_id", "key", "digest")
-    members = keys.join(index.where("not differ"), ["key", "digest"]).select("doc_id", "digest", "n", "head")
-    mixed = index.where("differ").select("key", "digest")
-    if not mixed.isEmpty():  # chain the rows of these by their bytes
+    # rows of chains with several members, compared with the text of their chain's head byte by byte
+    members = texts.join(index.where("n > 1").select("key", "digest", "head"), ["key", "digest"])
+    heads = members.where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("key", "digest").agg(F.min("norm").alias("head_text"))
+    mixed = members.join(heads, ["key", "digest"]).where("norm <> head_text").select("key", "digest").distinct()
+    mixed = written(mixed, f"{folder}/mixed")
+    members = keys.join(index, ["key", "digest"])
+    if not mixed.isEmpty():  # different texts in a chain are chained by their bytes
         apart = texts.join(mixed, ["key", "digest"], "left_semi")
         sums = apart.groupBy("norm").agg(F.count("*").alias("n"), F.max("doc_id").alias("head"))
+        members = members.join(mixed, ["key", "digest"], "left_anti").select("doc_id", "digest", "n", "head")
         members = members.unionByName(apart.join(sums, "norm").select("doc_id", "digest", "n", "head"))
     return members.select(
         "doc_id",
