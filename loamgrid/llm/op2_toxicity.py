@@ -39,8 +39,8 @@ SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
 #: Bytes of the word beginnings that the lexicon may hold.
 BEGINNINGS = (4, 5, 6, 7, 9)
-#: Least toxic texts with a lexicon entry, and least z value of its log odds.
-LEAST_TEXTS, LEAST_Z = 4, 4.0
+#: Least toxic texts with a lexicon entry, and least root of its likelihood ratio.
+LEAST_TEXTS, LEAST_Z = 4, 4.5
 
 # What a sign can stand for; fixed values.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "#": "h"}
@@ -297,8 +297,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         b, c = (sum(found[f"{k}{f}"].to_numpy(np.float64) for f in folds) for k in "bc")
         n_b, n_c = (sum(sizes.get((t, f), 0) for f in folds) for t in (1, 0))
         odds = np.log((b + 0.5) / (n_b - b + 0.5)) - np.log((c + 0.5) / (n_c - c + 0.5))
-        z = odds / np.sqrt(1 / (b + 0.5) + 1 / (n_b - b + 0.5) + 1 / (c + 0.5) + 1 / (n_c - c + 0.5))
-        good = (b >= LEAST_TEXTS) & (z >= LEAST_Z) & (odds > 1)
+
+        def term(n: np.ndarray, of: float) -> np.ndarray:
+            return np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / max(of, 1e-9)), 0.0)
+
+        # the root of the likelihood ratio of texts with the entry among the toxic and the others
+        g = term(b, n_b) + term(n_b - b, n_b) + term(c, n_c) + term(n_c - c, n_c) - term(b + c, n_b + n_c) - term(n_b + n_c - b - c, n_b + n_c)
+        good = (b >= LEAST_TEXTS) & (np.sqrt(2 * np.maximum(g, 0)) >= LEAST_Z) & (odds > 1)
         return Lexicon(found["h"].to_numpy(np.int64).view(np.uint64)[good], odds[good])
 
     halves = [lexicon((1,)), lexicon((0,))]
