@@ -189,8 +189,8 @@ def select_xy(traces: DataFrame, points: DataFrame, affine: Affine, axes: tuple[
     needed = at.where("_in").select("point", F.explode(F.filter(corners, lambda c: c["w"] > 0)).alias("c")).select("point", "c.*")
     want = needed.groupBy("point").agg(F.count("*").alias("need"))
     weighted = needed.join(cells, ["_i", "_j"]).select("point", *carry, F.posexplode(samples).alias("k", "v"), "w")
-    sums = weighted.groupBy("point", *carry, "k").agg(F.sum(F.col("v").cast("double") * F.col("w")).alias("v"), F.count("v").alias("n"))
-    sums = sums.join(want, "point").withColumn("v", F.when(F.col("n") == F.col("need"), F.col("v")))
+    sums = weighted.groupBy("point", *carry, "k").agg(F.sum(F.col("v").cast("double") * F.col("w")).alias("v"), F.count("v").alias("n"), F.count("*").alias("there"))
+    sums = sums.join(want, "point").where("there = need").withColumn("v", F.when(F.col("n") == F.col("need"), F.col("v")))
     packed = sums.groupBy("point", *carry).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias(samples))
     return at.select("point", "x", "y").join(packed, "point", "left").select("point", "x", "y", *carry, samples)
 

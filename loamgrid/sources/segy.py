@@ -6,10 +6,12 @@
 * ``layout``: a named byte layout instead;
 * ``headersOnly``: no samples, of each trace 240 bytes are read; without dims all 91 fields are columns;
 * ``first`` and ``last``: sample places to cut traces to, before they leave the reader;
+* ``where``: JSON of [column, comparison, value] triples over these columns and tracen (``==``, ``>=``, ``<=``, ``>``,
+  ``<``, ``in``), of which all must hold; they are applied to the headers, before samples are read;
 * ``endian``: big or little; ``tracesPerPartition``.
 
-Comparisons of dimension and trace number columns with literals are applied to the headers, before samples are
-read (with ``spark.sql.python.filterPushdown.enabled``).
+The reader takes no filters from Spark: Spark 4.1 keeps a Python reader's filters with the table, so a later query
+on the same DataFrame without them would lose rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from .. import codec
@@ -89,7 +91,7 @@ class Traces(InputPartition):
     stop: int
 
 
-_COMPARE = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+COMPARISONS = {"==": np.equal, ">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal, "in": np.isin}
 
 
 class SegyReader(DataSourceReader):
@@ -97,19 +99,10 @@ class SegyReader(DataSourceReader):
         self.schema, self.options = schema, options
         self.endian = options.get("endian", "big")
         self.columns = columns_of(options)
-        self.filters: list[tuple[str, str, object]] = []
-
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            name = f.attribute[0] if len(f.attribute) == 1 else None
-            if name not in self.columns and name != "tracen":
-                yield f
-            elif type(f) in _COMPARE and isinstance(f.value, int):
-                self.filters.append((name, _COMPARE[type(f)], f.value))
-            elif isinstance(f, In) and all(isinstance(v, int) for v in f.value):
-                self.filters.append((name, "in", tuple(f.value)))
-            elif not isinstance(f, IsNotNull):  # these columns are never null
-                yield f
+        self.filters: list[tuple[str, str, object]] = [tuple(f) for f in json.loads(options.get("where", "[]"))]
+        for name, op, _ in self.filters:
+            if op not in COMPARISONS or (name not in self.columns and name != "tracen"):
+                raise ValueError(f"{name} {op} can't be applied to trace headers")
 
     def partitions(self) -> list[Traces]:
         size = int(self.options.get("tracespartition", self.options.get("tracesPerPartition", 50_000)))
@@ -138,8 +131,7 @@ class SegyReader(DataSourceReader):
             values["tracen"] = np.arange(at, to, dtype=np.int64)
             keep = np.ones(to - at, dtype=bool)
             for name, op, v in self.filters:
-                x = values[name]
-                keep &= np.isin(x, v) if op == "in" else {"==": x == v, ">": x > v, ">=": x >= v, "<": x < v, "<=": x <= v}[op]
+                keep &= COMPARISONS[op](values[name], v)
             rows = np.flatnonzero(keep)
             if not len(rows):
                 continue
@@ -271,11 +263,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SegyMetaSource)
 
 
-def read_traces(spark: SparkSession, path: str, dims: dict[str, int] | None = None, extras: dict[str, int] | None = None, headers_only: bool = False, keep: DataFrame | None = None, **options) -> DataFrame:
-    """Traces of SEG-Y files; ``keep`` is a table of trace numbers (tracen), and file where there are several, to load only."""
+def read_traces(spark: SparkSession, path: str, dims: dict[str, int] | None = None, extras: dict[str, int] | None = None, headers_only: bool = False, keep: DataFrame | None = None, where: list[tuple] | None = None, **options) -> DataFrame:
+    """Traces of SEG-Y files; ``where`` is conditions on headers, ``keep`` a table of trace numbers (tracen), and file where there are several, to load only."""
     register(spark)
     spec = lambda m: ",".join(f"{k}={v}" for k, v in (m or {}).items())
-    reader = spark.read.format("segy").option("dims", spec(dims)).option("extras", spec(extras)).option("headersOnly", str(headers_only).lower())
+    reader = spark.read.format("segy").option("dims", spec(dims)).option("extras", spec(extras)).option("headersOnly", str(headers_only).lower()).option("where", json.dumps(where or []))
     rows = reader.options(**{k: str(v) for k, v in options.items()}).load(path)
     return rows if keep is None else rows.join(keep, [c for c in ("file", "tracen") if c in keep.columns], "left_semi")
 
@@ -284,8 +276,8 @@ def read_headers(spark: SparkSession, path: str, traces: int | None = None, name
     """Trace headers: all 91 fields or the named ones, of all traces or the first ``traces``."""
     if traces is not None and not isinstance(traces, int):
         raise ValueError("the number of traces must be an integer")
-    rows = read_traces(spark, path, {n: FIELD_BYTES[n] for n in names or []}, headers_only=True, **options)
-    return rows.where(F.col("tracen") < traces) if traces and traces > 0 else rows
+    first = [("tracen", "<", traces)] if traces and traces > 0 else None
+    return read_traces(spark, path, {n: FIELD_BYTES[n] for n in names or []}, headers_only=True, where=first, **options)
 
 
 def read_meta(spark: SparkSession, path: str, **options) -> DataFrame:
