@@ -41,6 +41,9 @@ LENGTH = 400
 #: Stretches with the same window from which on their strings are dealt one by one.
 HOT = 20_000
 
+#: Bytes of text handled at a time.
+BLOCK = 2 << 20
+
 _MEMBER = np.dtype([("dk", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _KEPT = np.dtype([("key", "<i8"), ("start", "<i4"), ("n", "<i4"), ("hot", "<i4")])
 
@@ -107,7 +110,7 @@ def candidate_stretches(docs: DataFrame, length: int, hot: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, members = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=_MEMBER)]
-        for batch in tb.blocks(batches):
+        for batch in tb.blocks(batches, most=BLOCK):
             data, offsets = tb.text_bytes(batch.column(1))
             row, first, counts, key = stretches(data, offsets, length)
             own = np.zeros(len(row), dtype=_MEMBER)
@@ -142,7 +145,7 @@ def repeated(docs: DataFrame, kept: DataFrame, length: int) -> DataFrame:
     names = ["key", "members", "n", "body"]
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.blocks(batches):
+        for batch in tb.blocks(batches, most=BLOCK):
             data, offsets = tb.text_bytes(batch.column(1))
             lists = batch.column(2)
             flat, of_list = _flat(lists.flatten(), _KEPT)
