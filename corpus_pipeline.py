@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near-duplicates."""
     found = op1_minhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("not kept").select("doc_id")
+    gone = found.where("not kept").select("doc_id").hint("merge")  # they grow with the documents
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
