@@ -108,3 +108,10 @@ def halfsampled(values: Column) -> Column:
 def resampled(samples: Column, at: Column, ns0: float, dt: float) -> Column:
     """The trace at other labels, linearly interpolated (time to depth, for one)."""
     return F.transform(at, lambda z: at_linear(samples, z, ns0, dt))
+
+
+def subsampled(values: Column, times: int = 1) -> Column:
+    """The values with midpoints added ``times`` times over."""
+    for _ in range(times):
+        values = halfsampled(values)
+    return values

@@ -177,6 +177,14 @@ class Volume:
     def kind(self) -> str:
         return keys.dimensionality(list(self.dims))
 
+    def subsampled_labels(self, **times: int) -> dict[str, DataFrame]:
+        """Labels of dimensions with midpoints added so many times over, one table a dimension."""
+        out = {}
+        for dim, n in times.items():
+            axis = self.traces.agg(F.array_sort(F.collect_set(dim)).alias(dim))  # the labels of one axis
+            out[dim] = axis.select(F.explode(traces.subsampled(F.col(dim), n)).alias(dim))
+        return out
+
     # ------------------------------------------------------------ geometry
     def scale_coords(self, scalar: float | None = None) -> Volume:
         if self.attrs.get("coord_scaled"):

@@ -306,6 +306,8 @@ def test_volume(spark, tmp_path):
     assert sparse.fill_coords().traces.where("abs(cdp_x - iline * 1000) > 1e-6").count() == 0
     horizon = v.traces.select("iline", "xline", F.lit(3.0).alias("z"))
     assert v.at_horizon(horizon, "z").where("iline = 1 AND xline = 11").first()["amplitude"] == 111.75
+    finer = v.subsampled_labels(iline=1, xline=3)
+    assert finer["iline"].count() == 19 and finer["xline"].count() == 73
     assert v.zeros_like().dead_traces(zeros=True).where("dead").count() == 100
 
 
