@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..keys import FIELD_BYTES
+from .grid import numbered
 
 
 def header_stats(headers: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -100,11 +100,9 @@ def percentiles(values: DataFrame, column: str, shares: list[float], exact: bool
 
 def running_percentile(per_trace: DataFrame, order: str, value: str) -> DataFrame:
     """The fold p <- (p + q) / 2 from 0 over traces in order, as a weighted sum."""
-    n = per_trace.agg(F.count(value)).first()[0]
-    last = Window.partitionBy(F.lit(0)).orderBy(F.desc(order))
-    # only the last traces have a weight that a double can hold
-    tail = per_trace.where(F.col(value).isNotNull()).orderBy(F.desc(order)).limit(min(n, 1100)).withColumn("back", F.row_number().over(last))
-    return tail.agg(F.sum(F.col(value) * F.pow(F.lit(2.0), -F.col("back"))).alias("value"))
+    rows = numbered(per_trace.where(F.col(value).isNotNull()), [order], "_place")
+    n = rows.agg(F.count("*")).first()[0]
+    return rows.agg(F.sum(F.col(value) * F.pow(F.lit(2.0), F.col("_place") - n)).alias("value"))
 
 
 def histogram(values: DataFrame, column: str, bins: int = 25) -> DataFrame:

@@ -19,13 +19,13 @@ def text_fix_bad_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
-SELECT doc_id, CAST(line_no - 1 AS INTEGER) AS line_no, CAST(c AS INTEGER) AS piece, rpad(substr(line, CAST(c * 80 + 1 AS BIGINT), 80), 80, ' ') AS text
-FROM l, range(100000) t(c) WHERE c < greatest(ceil(length(line) / 80.0), 1) AND doc_id < 100
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+p AS (SELECT doc_id, line, line_no, unnest(range(CAST(greatest(ceil(length(line) / 80.0), 1) AS BIGINT))) AS c FROM l)
+SELECT doc_id, CAST(line_no - 1 AS INTEGER) AS line_no, CAST(c AS INTEGER) AS piece, rpad(substr(line, c * 80 + 1, 80), 80, ' ') AS text FROM p
 """)
 def text_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the first documents in pieces of 80 characters."""
-    rows = table(spark, sf_dir, "documents").where("doc_id < 100").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """Lines of all documents in pieces of 80 characters."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.select("doc_id", "line_no", F.posexplode(text.hard_wrapped(F.col("line"))).alias("piece", "text"))
 
 

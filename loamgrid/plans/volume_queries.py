@@ -98,7 +98,7 @@ def volume_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("share", r6("value").alias("value"))
 
 
-@query(V + ", q AS (SELECT tracen, quantile_cont(v, 0.9) AS q FROM lng GROUP BY 1) SELECT round(sum(q * pow(2, -back)), 6) + 0 AS value FROM (SELECT q, row_number() OVER (ORDER BY tracen DESC) AS back FROM q) WHERE back <= 1000")
+@query(V + ", q AS (SELECT tracen, quantile_cont(v, 0.9) AS q FROM lng GROUP BY 1) SELECT round(sum(q * pow(2, -back)), 6) + 0 AS value FROM (SELECT q, row_number() OVER (ORDER BY tracen DESC) AS back FROM q)")
 def running_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_trace = views.samples(spark, sf_dir).groupBy("tracen").agg(F.percentile("v", F.lit(0.9)).alias("q"))
     return stats.running_percentile(per_trace, "tracen", "q").select(r6("value").alias("value"))
