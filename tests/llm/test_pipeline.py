@@ -1,30 +1,84 @@
-"""The corpus pipeline, stage by stage, on small tables."""
+"""The corpus pipeline on small tables, each stage against a plain version of it."""
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from loamgrid.llm import op6_bpe
+from loamgrid.llm import op1_minhash, op2_toxicity, op5_mixing, op6_bpe, op10_lines
+
+from .test_text_operators import without_runs
 
 SF = "/root/testdata/sf0.01"
 
 
+def plain_lines(rows):
+    """Documents without repeated runs; those that lose all lines go."""
+    left = without_runs(rows, op10_lines.MIN_WORDS)
+    return {d: x for d, (n, gone, x) in left.items() if gone < n or n == 0}
+
+
+def plain_near(rows, idf):
+    """The smallest id of every class, all pairs compared."""
+    ids, texts = [d for d, _ in rows], pa.array([t for _, t in rows])
+    parent = {d: d for d in ids}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for k, d in enumerate(ids):
+        n = len(ids) - k - 1
+        alike = op1_minhash.similarity(pa.array([texts[k].as_py()] * n, pa.string()), texts[k + 1 :], idf) >= op1_minhash.SIMILARITY if n else []
+        for j, yes in enumerate(alike, k + 1):
+            if yes or texts[j] == texts[k]:
+                a, b = sorted((root(d), root(ids[j])))
+                parent[b] = a
+    return {d for d in ids if root(d) == d}
+
+
 def test_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, seen = docs.columns, docs
-    counts = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, seen, SF)
-        assert out.columns == columns, name
-        seen = corpus_pipeline.written(out)
-        counts.append(seen.count())
-    toxic, lines, near, mixed = counts[1:]
-    assert counts[0] > toxic >= lines > near and mixed >= near
-    labels = spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1")
-    first = corpus_pipeline.toxicity(spark, docs, SF)
-    assert first.join(labels, "doc_id").count() < 0.4 * labels.join(docs, "doc_id").count()
-    # no text stays twice after the near-duplicate stage
-    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
-    assert kept.select("text").distinct().count() == kept.count()
-    want = {tuple(r) for r in op6_bpe.bpe(seen).collect()}
-    assert {tuple(r) for r in corpus_pipeline.STAGES[-1][1](spark, seen, SF).collect()} == want
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000 AND doc_id < 450")
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+
+    model = op2_toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    scores = model.score(pa.array([t for _, t in rows]), op2_toxicity.Restorer(model.letters))
+    first = corpus_pipeline.written(stages["toxicity"](spark, docs, SF))
+    assert first.columns == columns
+    assert {r["doc_id"] for r in first.collect()} == {d for (d, _), s in zip(rows, scores, strict=True) if s < op2_toxicity.THRESHOLD}
+
+    rows = [(r["doc_id"], r["text"]) for r in first.select("doc_id", "text").collect()]
+    second = corpus_pipeline.written(stages["line_dedup"](spark, first, SF))
+    assert second.columns == columns
+    assert {r["doc_id"]: r["text"] for r in second.collect()} == plain_lines(rows)
+    assert second.where("n_chars <> length(text)").count() == 0
+
+    rows = sorted((r["doc_id"], r["text"]) for r in second.select("doc_id", "text").collect())
+    third = corpus_pipeline.written(stages["near_duplicates"](spark, second, SF))
+    assert third.columns == columns
+    assert {r["doc_id"] for r in third.collect()} == plain_near(rows, op1_minhash.document_frequencies(second))
+
+    fourth = corpus_pipeline.written(stages["mixing"](spark, third, SF))
+    assert fourth.columns == columns
+    rates = {r["doc_id"]: r["copies"] for r in op5_mixing.mix(third, op5_mixing.labelled_domains(third, spark.read.parquet(f"{SF}/labels.parquet"))).collect()}
+    assert Counter(r["doc_id"] for r in fourth.collect()) == {d: n for d, n in rates.items() if n} and min(rates.values()) >= 1
+
+    tokenizer = op6_bpe.codec(op6_bpe.VOCABULARY).tokenizer
+    want = Counter()
+    for r in fourth.collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+        text = tokenizer.decode(ids, skip_special_tokens=False)
+        want[r["doc_id"], len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
+    assert Counter(map(tuple, stages["bpe"](spark, fourth, SF).collect())) == want
+
+
+def test_run_is_its_stages(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 500
 
 
 def test_empty_documents(spark):
