@@ -33,4 +33,4 @@ def write_headers(headers: DataFrame, path: str) -> None:
 def file_type(path: str) -> str | None:
     """segy or volume by the ending of a path, else None."""
     ending = path.rsplit(".", 1)[-1].lower()
-    return "segy" if ending in ("sgy", "segy") else "volume" if ending in ("seisnc", "parquet", "volume") else None
+    return "segy" if ending in ("sgy", "segy") else "volume" if ending in ("parquet", "volume") else None
