@@ -14,21 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm import op1_minhash, op2_toxicity, op5_mixing, op6_bpe, op10_lines
-from loamgrid.llm.shared import written
+from loamgrid.llm.shared import free_name, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic; the classifier learns from ``labels``."""
     model = op2_toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op2_toxicity.toxicity(docs, model).where("_predicted = 0").select(*docs.columns)
+    score, predicted = free_name(docs, "_score"), free_name(docs, "_predicted")
+    return op2_toxicity.toxicity(docs, model, score_name=score, predicted_name=predicted).where(F.col(predicted) == 0).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated line runs; those that lose all their lines go."""
-    out = op10_lines.line_dedup(docs)
+    lines, removed = free_name(docs, "_n_lines"), free_name(docs, "_n_removed")
+    out = op10_lines.line_dedup(docs, n_lines=lines, n_removed=removed)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.where("_n_removed < _n_lines or _n_lines = 0").select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.where((F.col(removed) < F.col(lines)) | (F.col(lines) == 0)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their mixing rate says."""
     labelled = op5_mixing.labelled_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    copies = op5_mixing.mix(docs, labelled).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(copies, "doc_id").where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+    name = free_name(docs, "_copies")
+    copies = op5_mixing.mix(docs, labelled).groupBy("doc_id").agg(F.max("copies").alias(name))
+    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).where(F.col(name) > 0).drop(copies["doc_id"])
+    return rows.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name)))).select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from . import textbytes as tb
-from .shared import written
+from .shared import free_name, small_batches, written
 
 MIN_WORDS = 30
 
@@ -141,13 +141,16 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     return out
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of docs with the text that is left, and n_lines and n_removed (_n_lines and _n_removed)."""
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, n_lines: str = "_n_lines", n_removed: str = "_n_removed") -> DataFrame:
+    """All columns of docs with the text that is left, and the numbers of its lines and of those removed in two more columns."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop(n_lines, n_removed)
+    key, runs_name = free_name(docs, "_key"), free_name(docs, "_runs")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("dk", F.xxhash64("doc_id", text))
-    lines = written(line_table(keyed.withColumn("text", text), min_words))
-    runs = repeated_runs(lines).groupBy("dk").agg(F.collect_set(F.struct("pos", "lines")).alias("_runs"))
-    out_schema = StructType([*[f if f.name != "text" else StructField("text", StringType()) for f in docs.schema.fields], StructField("_n_lines", IntegerType()), StructField("_n_removed", IntegerType())])
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", text))
+    lines = written(line_table(keyed.select(F.col(key).alias("dk"), "doc_id", text.alias("text")), min_words))
+    runs = repeated_runs(lines).groupBy(F.col("dk").alias(key)).agg(F.collect_set(F.struct("pos", "lines")).alias(runs_name))
+    out_schema = StructType([*[f if f.name != "text" else StructField("text", StringType()) for f in docs.schema.fields], StructField(n_lines, IntegerType()), StructField(n_removed, IntegerType())])
     names, n_columns, at = out_schema.names, len(docs.columns), docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +172,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int32()), pa.array(gone, pa.int32())], names=names)
 
-    joined = keyed.withColumn("text", F.col("text").cast("string")).join(runs, "dk", "left").select(*docs.columns, "_runs")
+    joined = keyed.withColumn("text", F.col("text").cast("string")).join(runs, key, "left").select(*docs.columns, runs_name)
     return joined.mapInArrow(cut, out_schema)
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textbytes as tb
+from .shared import small_batches
 
 #: Labelled rows that the classifier is fitted on, about.
 SAMPLE_ROWS = 20_000
@@ -262,6 +263,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from labels (doc_id, toxic) of documents (doc_id, text)."""
+    small_batches(docs.sparkSession)
     letters = character_model(docs)
     learn = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     learn = learn.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -323,18 +325,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return Model(letters, lexicon((0, 1)), centre, scale, beta)
 
 
-def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, with score and predicted."""
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, score_name: str = "_score", predicted_name: str = "_predicted") -> DataFrame:
+    """All columns of docs, with the score and the prediction in two more (which replace columns of their names)."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop(score_name, predicted_name)
+    schema = StructType([*docs.schema.fields, StructField(score_name, DoubleType())])
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.letters)
         for batch in tb.blocks(batches):
             column = batch.column(at).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(column, restorer))], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(column, restorer))], names=[*batch.schema.names, score_name])
 
-    return docs.mapInArrow(score, schema).withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+    return docs.mapInArrow(score, schema).withColumn(predicted_name, (F.col(score_name) >= threshold).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def rule_for(rules: list[tuple[str, str]], host: Column, path: Column) -> tuple[
 
 
 def split_label(label: str, counts: dict[str, int], total: int) -> list[str]:
-    """The likeliest words of a label, each word's cost being minus the log of its share."""
+    """The likeliest words of a label, each word's cost being minus the log of its share; what lies between words is one."""
     best, back = [0.0], [0]
     for end in range(1, len(label) + 1):
         cost, start = best[end - 1] + NO_WORD, end - 1
@@ -65,10 +65,15 @@ def split_label(label: str, counts: dict[str, int], total: int) -> list[str]:
                 cost, start = best[i] + math.log(total / n), i
         best.append(cost)
         back.append(start)
-    found, end = [], len(label)
+    found: list[str] = []
+    end, unknown = len(label), False
     while end:
-        found.append(label[back[end] : end])
-        end = back[end]
+        word = label[back[end] : end]
+        if word in counts or not unknown:
+            found.append(word)
+        else:  # characters of no word beside each other are one unknown word
+            found[-1] = word + found[-1]
+        unknown, end = word not in counts, back[end]
     return found[::-1]
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import written
+from .shared import small_batches, written
 
 #: Labelled rows that the classifier is fitted on, about.
 SAMPLE_ROWS = 6_000
@@ -84,6 +84,7 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 250, r
 
 def posteriors(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, list[str]]:
     """doc_id, tokens and p (a posterior for each domain) of every row, and the domains."""
+    small_batches(docs.sparkSession)
     labelled = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     domains = [r["domain"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()]
     model = None

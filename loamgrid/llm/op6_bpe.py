@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textbytes import blocks
 
 VOCABULARY = "word_bpe_49k.json"
 SEGMENT_CHARS = 32_768
 #: Words that a Python worker keeps the tokens of.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Neighbouring tokens that must agree before a window is spliced in.
 AGREE = 3
 #: Marks that often end a word; each is one token.
@@ -206,6 +207,7 @@ def _digests(ids: bytes, decoded: bytes) -> tuple[int, str, str]:
 
 def bpe(docs: DataFrame, vocabulary: str = VOCABULARY, segment_chars: int = SEGMENT_CHARS, keep_tokens: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text; with ``keep_tokens`` also ids and decoded."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     doc_type = dict(docs.dtypes)["doc_id"]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import written
+from .shared import small_batches, written
 
 LENGTH = 400
 #: Stretches with the same window from which on their strings are dealt one by one.
@@ -146,8 +146,8 @@ def repeated(docs: DataFrame, kept: DataFrame, length: int) -> DataFrame:
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.blocks(batches, most=BLOCK):
-            data, offsets = tb.text_bytes(batch.column(1))
-            lists = batch.column(2)
+            data, offsets = tb.text_bytes(batch.column(2))
+            lists = batch.column(3)
             flat, of_list = _flat(lists.flatten(), _KEPT)
             per_list = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             row = per_list[of_list]
@@ -208,25 +208,27 @@ def repeated(docs: DataFrame, kept: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(dk), pa.array(packed, pa.binary())], names=["dk", "ranges"])
 
     lists = kept.groupBy("dk").agg(F.collect_list("kept").alias("kept"))
-    rows = docs.select("dk", "text").join(lists, "dk").select("dk", "text", "kept").mapInArrow(bodies, "key long, members binary, n int, body binary")
+    rows = docs.join(lists, "dk").select("dk", "doc_id", "text", "kept").mapInArrow(bodies, "key long, members binary, n int, body binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(mark, "dk long, ranges binary")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``keep_text`` also the bytes that are left."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.xxhash64("doc_id", text).alias("dk"), "doc_id", text.alias("text"))
     kept = written(candidate_stretches(docs, length, hot))
-    ranges = written(repeated(docs, kept, length)).groupBy("dk").agg(F.collect_list("ranges").alias("ranges"))
+    # not written between, so that the texts are shuffled once for both joins
+    ranges = repeated(docs, kept, length).groupBy("dk").agg(F.collect_list("ranges").alias("ranges"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     names = [x.split()[0] for x in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.blocks(batches):
-            data, offsets = tb.text_bytes(batch.column(1))
+            data, offsets = tb.text_bytes(batch.column(2))
             rows = []
-            for i, packed in enumerate(batch.column(2).to_pylist()):
+            for i, packed in enumerate(batch.column(3).to_pylist()):
                 own = data[offsets[i] : offsets[i + 1]]
                 gone = np.zeros(len(own) + 1, dtype=np.int64)
                 if packed:
@@ -239,9 +241,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, keep_text
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays[: len(names) - 1]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *arrays[: len(names) - 1]], names=names)
 
-    return docs.join(ranges, "dk", "left").select("doc_id", "text", "ranges").mapInArrow(cut, schema)
+    return docs.join(ranges, "dk", "left").select("dk", "doc_id", "text", "ranges").mapInArrow(cut, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textbytes as tb
+from .shared import small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Different words that a Python worker remembers.
@@ -143,6 +144,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             columns = [pa.array(x) for x in count_block(batch.column(1), machine, seen)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "n_words", "n_unknown"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(count, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_words long, n_unknown long")
 

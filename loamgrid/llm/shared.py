@@ -24,3 +24,17 @@ def written(table: DataFrame, folder: str | None = None) -> DataFrame:
     path = folder or shared_folder(table.sparkSession)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def free_name(table: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as it takes to be none of the table's columns."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in small Arrow batches: whole ones of the default size would cost each task several copies."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")

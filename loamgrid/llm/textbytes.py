@@ -7,6 +7,7 @@ are computed with numpy over that buffer instead of text by text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,7 +86,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give memory that is free back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``most`` bytes of text, or one row."""
     for batch in batches:
         at, n = 0, batch.num_rows
@@ -99,6 +109,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
             stop = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    release()
 
 
 #: Byte classes: A-Z become a-z, and letters, digits, underscore and bytes beyond ASCII form words.
