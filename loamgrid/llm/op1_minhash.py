@@ -10,11 +10,14 @@ Jaccard similarity.  Texts that agree on all draws of a band are candidates.
 Equal texts are one node.  In each group of candidates every node is compared
 with one of them, the group's hub (of the nodes the one in the largest groups),
 by the weighted Jaccard similarity of their whole texts; a link needs
-``similarity``.  Nodes that are unlike a hub are also compared with their
-neighbours in the order of the next bands' draws, in all groups.  So the pairs
-compared grow with the nodes and not with the square of a group: in a large
-group of texts that are barely alike, two may be linked through others only.
-Classes are the connected components of the links.
+``similarity``.  The nodes that these links leave in different classes are then
+compared with each other in all groups, by tiles of two blocks of a group's
+nodes, so that of the nodes that agree on a band any two are compared or in one
+class already.  A tile keeps the links that join classes.  So the texts that are
+shuffled grow with the nodes times the blocks of their group, and the pairs
+compared with the square of a group only if its texts are candidates and unlike.
+Classes are the connected components of the links; ``n_links`` counts a text's
+links to hubs and those that tiles keep.
 
 Words are runs of ASCII letters, digits, underscores and characters beyond
 ASCII, without regard to the case of A-Z.  A text of one to four words is one
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ BANDS, ROWS = 10, 4
 DF_BINS = 1 << 16
 #: Entries of the tables of random variates for each draw, and shingles handled at a time.
 _TABLE, _CHUNK = 1 << 16, 1 << 16
+#: Nodes and bytes of text of a block, and shingles of a tile handled at a time.
+BLOCK_NODES, BLOCK_BYTES, _COLUMNS = 400, 1 << 19, 1 << 11
 
 
 # ---------------------------------------------------------------- shingles
@@ -162,8 +168,8 @@ def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- candidates, links, classes
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, node (a hash of the text) and bands (none without shingles) of every row."""
-    names = ["doc_id", "node", "bands"]
+    """doc_id, node (a hash of the text), size (its bytes) and bands (none without shingles) of every row."""
+    names = ["doc_id", "node", "size", "bands"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.blocks(batches):
@@ -173,44 +179,25 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             counts = np.zeros(batch.num_rows, dtype=np.int64)
             counts[owners] = BANDS
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(bands.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.fill_null(pc.binary_length(batch.column(2)), 0).cast(pa.int64()), lists], names=names)
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, bands array<long>")
+    return rows.mapInArrow(sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, size long, bands array<long>")
 
 
-def _candidates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stars and chains, as pairs (node, hub): every node with its groups' hub, and with its neighbour in the order of draws.
+def _candidates(table: DataFrame) -> DataFrame:
+    """key, node, size and hub of the nodes of each group, without the hubs themselves.
 
     A group is the nodes that agree on a band.  Its hub is the node that is in the largest groups, which for copies of
-    a text with changes of their own is the text itself.  The order is that of the next bands, so neighbours agree on
-    as many as possible.  Pairs number no more than twice the members.
+    a text with changes of their own is the text itself.
     """
-    nodes = table.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
-    following = [F.expr(f"element_at(bands, (i + {k}) % {BANDS} + 1)").alias(f"next{k}") for k in (1, 2)]
-    members = written(nodes.select("node", "bands", F.posexplode("bands").alias("i", "key")).select("key", *following, "node"))
+    nodes = table.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"))
+    members = written(nodes.select(F.explode("bands").alias("key"), "node", "size"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     grouped = written(members.join(sizes, "key"))
     weights = grouped.groupBy("node").agg(F.sum("n").alias("weight"))
     best = grouped.select("key", "node").join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best"))
-    stars = grouped.select("key", "node").join(best.select("key", F.col("best.node").alias("hub")), "key").where("node <> hub")
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last is not None:
-                key, node = np.append(last[0], key), np.append(last[1], node)
-            last = key[-1:], node[-1:]
-            same = key[1:] == key[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(node[1:][same]), pa.array(node[:-1][same])], names=["node", "hub"])
-
-    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "next1", "next2", "node"]
-    chains = grouped.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "node")
-    return stars.select("node", "hub").distinct(), chains.mapInArrow(neighbours, "node long, hub long").distinct()
+    return grouped.join(best.select("key", F.col("best.node").alias("hub")), "key").where("node <> hub").select("key", "node", "size", "hub")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
@@ -225,21 +212,137 @@ def _linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -
     return rows.select("node", "hub", "text", "hub_text").mapInArrow(check, "node long, hub long")
 
 
+def _tiles(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, i, j, node, class and side of the nodes that are to be compared: those of side 0 with side 1, or all if i = j.
+
+    Nodes outside a group's largest class (minor ones) are compared with all others of the group, the rest (major ones)
+    with minor ones only.  Both are dealt into blocks; tile (i, j) holds a block of minor nodes and another one.
+    """
+    apart = members.select("key", "node", "size").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    apart = written(apart.select("key", "node", "size", "class"))
+    held = apart.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    groups = held.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "class")).alias("top"))
+
+    def blocks(n: str, size: str) -> str:
+        return f"CAST(greatest(1, ceil(({n}) / {BLOCK_NODES}), ceil(({size}) / {BLOCK_BYTES})) AS int)"
+
+    groups = groups.where("parts > 1").selectExpr("key", "top.class AS major", blocks("n - top.n", "bytes - top.bytes") + " AS minors", blocks("top.n", "top.bytes") + " AS majors")
+    placed = apart.join(groups, "key").withColumn("block", F.expr("CAST(IF(class <> major, pmod(node, minors), minors + pmod(node, majors)) AS int)"))
+    others = F.expr("sequence(0, IF(class <> major, minors + majors, minors) - 1)")
+    tiles = placed.select("key", "node", "class", "block", F.explode(others).alias("other"))
+    return tiles.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "class", F.expr("IF(block <= other, 0, 1)").alias("side"))
+
+
+def alike(row: np.ndarray, h: np.ndarray, w: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of the texts ``left`` and ``right``, all with all, by the shingles of all texts."""
+    n = int(max(left.max(), right.max())) + 1
+    total = np.bincount(row, weights=w, minlength=n)
+    order = np.lexsort((row, h))
+    row, h, w = row[order], h[order], w[order]
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.append(starts, len(h)))
+    starts, times = starts[times > 1], times[times > 1]
+    common = np.zeros((len(left), len(right)))
+    if len(starts):
+        # a shingle of one weight in all its texts adds that weight, others add the smaller of two
+        bounds = np.stack([starts, starts + times], axis=1).reshape(-1)
+        bounds = bounds[:-1] if bounds[-1] == len(w) else bounds
+        one, most = np.minimum.reduceat(w, bounds)[::2], np.maximum.reduceat(w, bounds)[::2]
+        even = one == most
+        flat, lengths, weights = starts[even], times[even], one[even]
+        for a in range(0, len(flat), _COLUMNS):
+            size = lengths[a : a + _COLUMNS]
+            column = np.repeat(np.arange(len(size)), size)
+            at = np.repeat(flat[a : a + _COLUMNS], size) + np.arange(len(column)) - np.repeat(np.cumsum(size) - size, size)
+            has = np.zeros((n, len(size)))
+            has[row[at], column] = 1
+            common += (has[left] * weights[a : a + _COLUMNS]) @ has[right].T
+        place = np.full((2, n), -1)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        for a, b in zip(starts[~even], (starts + times)[~even], strict=True):
+            x, y = place[:, row[a:b]]
+            common[np.ix_(x[x >= 0], y[y >= 0])] += np.minimum.outer(w[a:b][x >= 0], w[a:b][y >= 0])
+    return common / np.maximum(total[left][:, None] + total[right] - common, 1e-300)
+
+
+def _joining(sims: np.ndarray, left: np.ndarray, right: np.ndarray, classes: np.ndarray, exact, least: float) -> list[tuple[int, int]]:
+    """Of the pairs that are alike those that join classes, in order; ``exact`` decides where rounding could."""
+    parent: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    found = []
+    for x, y in np.argwhere((sims >= least - 1e-9) & (classes[left][:, None] != classes[right])).tolist():
+        a, b = int(left[x]), int(right[y])
+        p, q = top(int(classes[a])), top(int(classes[b]))
+        if p != q and (sims[x, y] >= least + 1e-9 or exact(a, b) >= least):
+            parent[p] = q
+            found.append((a, b))
+    return found
+
+
+def _rest(tiles: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Links (node, hub) between the nodes of tiles that join their classes."""
+
+    def compare(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.append(starts[1:], batch.num_rows)
+        node, classes, side, texts = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(6)
+        bytes_ = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        k = 0
+        while k < len(starts):
+            stop = max(k + 1, int(np.searchsorted(bytes_[ends], bytes_[starts[k]] + 2 * BLOCK_BYTES, side="right")))
+            base = starts[k]
+            row, h, w = shingles(texts.slice(base, ends[stop - 1] - base), idf)
+            found = []
+            for a, b in zip(starts[k:stop], ends[k:stop], strict=True):
+                left = np.flatnonzero(side[a:b] == 0)
+                right = np.flatnonzero(side[a:b] == 1) if batch.column(1)[a] != batch.column(2)[a] else left
+                own = classes[a:b]
+                if len(left) and len(right) and (own != own[0]).any():
+                    p, q = np.searchsorted(row, [a - base, b - base])
+                    sims = alike(row[p:q] - (a - base), h[p:q], w[p:q], left, right)
+                    pairs = _joining(sims, left, right, own, lambda x, y, a=a: similarity(texts.slice(a + x, 1), texts.slice(a + y, 1), idf)[0], least)
+                    found += [(node[a + x], node[a + y]) for x, y in pairs]
+            if found:
+                nodes, hubs = np.array(found, dtype=np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(nodes, hubs)), pa.array(np.minimum(nodes, hubs))], names=["node", "hub"])
+            k = stop
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            where = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            starts = np.flatnonzero(np.append(True, (where[:, 1:] != where[:, :-1]).any(axis=0)))
+            if len(starts) > 1:  # the last tile may go on in the next batch
+                yield from compare(batch.slice(0, starts[-1]), starts[:-1])
+            held = batch.slice(starts[-1])
+        if held is not None:
+            yield from compare(held, np.zeros(1, dtype=np.int64))
+        tb.release()
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tiles.join(texts, "node").select("key", "i", "j", "node", "class", "side", "text")
+    return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(check, "node long, hub long")
+
+
 def links(docs: DataFrame, table: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> DataFrame:
     """Verified links (node, hub) between different texts."""
-    stars, chains = map(written, _candidates(table))
+    members = written(_candidates(table))
+    stars = written(members.select("node", "hub").distinct())
     nodes = stars.select("node").union(stars.select("hub")).distinct()
     keyed = docs.select(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node"), F.col("text").cast("string").alias("text"))
     # a merge join at every size: the nodes grow with the texts
     texts = written(keyed.join(nodes.hint("merge"), "node").groupBy("node").agg(F.first("text").alias("text")))
     found = written(_linked(stars, texts, idf, least))
-    # nodes that are unlike a hub, with their neighbours
-    apart = stars.join(found, ["node", "hub"], "left_anti").select("node").distinct()
-    more = chains.join(apart, "node", "left_semi").union(chains.join(apart.withColumnRenamed("node", "hub"), "hub", "left_semi").select("node", "hub"))
-    more = more.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
-    known = stars.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub"))
-    again = written(_linked(written(more.join(known, ["node", "hub"], "left_anti")), texts, idf, least))
-    return found.unionByName(again).distinct()
+    # nodes that the hubs leave apart, with each other
+    again = _rest(written(_tiles(members, components(found))), texts, idf, least)
+    return found.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).unionByName(again).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
