@@ -33,7 +33,8 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from . import textbytes as tb
 from .shared import free_name, small_batches, written
 
-MIN_WORDS = 30
+#: One line that isn't blank: only runs without a word are spared.
+MIN_WORDS = 1
 
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
