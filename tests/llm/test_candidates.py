@@ -72,3 +72,15 @@ def test_tiles_have_the_similarity_of_pairs():
     for i, x in enumerate(left):
         pairs = texts.take(pa.array([x] * len(right))), texts.take(pa.array(right))
         assert got[i] == pytest.approx(op1_minhash.similarity(*pairs, idf))
+
+
+def test_classes_do_not_depend_on_partitions(spark):
+    docs = documents(spark, family(random.Random(8), 100))
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("1", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append({r["doc_id"]: (r["class_id"], r["n_links"]) for r in op1_minhash.near_duplicates(docs).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
