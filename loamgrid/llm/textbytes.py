@@ -14,16 +14,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Odd multiplier of the polynomial hash and the seed of its byte table.
-_BASE = 0x9E3779B97F4A7C15
+#: Odd multipliers of the polynomial hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple[str, int], np.ndarray] = {}
 
 
-def _byte_table() -> np.ndarray:
+def _byte_table(seed: int) -> np.ndarray:
     """256 pseudo-random 64-bit values, the same in every process."""
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return mix((np.arange(1, 257, dtype=np.uint64) + np.uint64(256 * seed)) * np.uint64(0xD1342543DE82EF95))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,27 +34,27 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
+def _power(kind: str, seed: int, n: int) -> np.ndarray:
+    have = _powers.get((kind, seed))
     if have is None or len(have) < n:
-        step = np.uint64(_BASE if kind == "up" else pow(_BASE, -1, 1 << 64))
+        step = np.uint64(_BASES[seed] if kind == "up" else pow(_BASES[seed], -1, 1 << 64))
         size = max(n, 1 << 20)
         factors = np.full(size, step, dtype=np.uint64)
         factors[0] = 1
         with np.errstate(over="ignore"):
-            have = _powers[kind] = np.cumprod(factors, dtype=np.uint64)
+            have = _powers[kind, seed] = np.cumprod(factors, dtype=np.uint64)
     return have[:n]
 
 
 class Rolling:
-    """Hashes of any substring of ``data`` in constant time each."""
+    """Hashes of any substring of ``data`` in constant time each; seeds 0 and 1 give independent ones."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, seed: int = 0):
         n = len(data)
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(_byte_table()[data] * _power("up", n), dtype=np.uint64, out=self.prefix[1:])
-        self.down = _power("down", n + 1)
+            np.cumsum(_byte_table(seed)[data] * _power("up", seed, n), dtype=np.uint64, out=self.prefix[1:])
+        self.down = _power("down", seed, n + 1)
 
     def span(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hash of data[start:stop] for arrays of positions; the length is part of it."""

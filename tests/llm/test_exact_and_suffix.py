@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from loamgrid.llm import op7_exact, op8_suffixes
@@ -64,13 +65,14 @@ def repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length,hot", [(8, 2), (20, 3), (20, 20_000)])
-def test_suffix_dedup(spark, length, hot):
+@pytest.mark.parametrize("length,buckets", [(8, 60), (20, 25), (20, 3), (20, 1)])
+def test_suffix_dedup(spark, length, buckets, monkeypatch):
+    monkeypatch.setattr(op8_suffixes, "STRINGS", 200 if buckets == 3 else 1 << 20)
     rng = random.Random(length)
     parts = ["".join(rng.choice("abcdé") for _ in range(rng.randint(0, 60))) for _ in range(6)] + ["ab" * 30, ""]
     rows = [(i, "".join(rng.choice(parts)[rng.randint(0, 20) :] for _ in range(rng.randint(0, 5)))) for i in range(90)]
     rows += [r for r in EDGE if r[1] is None or len(r[1]) < 2000]
-    got = Counter(map(tuple, op8_suffixes.cut_repeats(documents(spark, rows, more=True), length, hot).collect()))
+    got = Counter(map(tuple, op8_suffixes.cut_repeats(documents(spark, rows, more=True), length, buckets).collect()))
     assert got == repeats(rows, length)
 
 
@@ -85,3 +87,61 @@ def test_suffix_dedup_keeps_other_bytes(spark):
     rows = [(1, "one " + passage + " end"), (2, "two" + passage), (3, "nothing of it")]
     left = {r["doc_id"]: bytes(r["kept"]) for r in op8_suffixes.cut_repeats(documents(spark, rows), keep_text=True).collect()}
     assert left == {1: b"one  end", 2: b"two", 3: b"nothing of it"}
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(4)
+    for letters, width in ((2, 21), (200, 9), (1, 40)):
+        data = rng.integers(0, letters, 3000).astype(np.uint8)
+        starts = rng.permutation(len(data) - width)[:1500]
+        raw = data.tobytes()
+        order = op8_suffixes.multikey_quicksort(data, starts, width)
+        got = [raw[s : s + width] for s in starts[order].tolist()]
+        assert sorted(order.tolist()) == list(range(1500)) and got == sorted(got)
+
+
+def test_strings_with_colliding_hashes_are_compared(monkeypatch):
+    data = np.frombuffer(b"abcdefgh" * 3 + b"abcdXfgh" * 2, dtype=np.uint8)
+    start = np.arange(len(data) - 7)
+    want = op8_suffixes.repeated_strings(data, start, 8).tolist()
+    raw = data.tobytes()
+    times = Counter(raw[s : s + 8] for s in start)
+    assert want == [times[raw[s : s + 8]] > 1 for s in start]
+    monkeypatch.setattr(op8_suffixes.tb.Rolling, "span", lambda self, a, b: np.zeros(len(a), dtype=np.uint64))
+    assert op8_suffixes.repeated_strings(data, start, 8).tolist() == want
+
+
+def test_hot_windows_have_strings_compared_across_buckets(spark):
+    """One passage in most rows: its windows are splitters more than once."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    rows = [(i, "".join(rng.choice("klmnop") for _ in range(rng.randint(0, 15))) + passage + "".join(rng.choice("qrstu") for _ in range(rng.randint(0, 15)))) for i in range(150)]
+    docs = documents(spark, rows)
+    text = docs.selectExpr("xxhash64(doc_id, text) AS dk", "doc_id", "text")
+    _, hot = op8_suffixes.splitters(text, op8_suffixes.candidate_stretches(text, 20), 20, 40)
+    assert hot
+    assert Counter(map(tuple, op8_suffixes.cut_repeats(docs, 20, 40).collect())) == repeats(rows, 20)
+
+
+def test_suffix_dedup_of_the_whole_table(spark):
+    """The query at its own length against the count of every string of that length."""
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r[0]: tuple(r) for r in queries()["op8_suffix_dedup"](spark, sf).collect()}
+    data = np.frombuffer("".join(t or "" for _, t in rows).encode(), dtype=np.uint8)
+    raw, at, strings = data.tobytes(), 0, Counter()
+    sizes = [len((t or "").encode()) for _, t in rows]
+    for n in sizes:
+        strings.update(hashlib.blake2b(raw[s : s + 400], digest_size=8).digest() for s in range(at, at + n - 399))
+        at += n
+    at = 0
+    for (d, _), n in zip(rows, sizes, strict=True):
+        gone = np.zeros(n + 1, dtype=np.int64)
+        for s in range(n - 399):
+            if strings[hashlib.blake2b(raw[at + s : at + s + 400], digest_size=8).digest()] > 1:
+                gone[s] += 1
+                gone[s + 400] -= 1
+        mask = np.cumsum(gone)[:n] > 0
+        left = data[at : at + n][~mask].tobytes()
+        assert got[d] == (d, n, int(mask.sum()), int((np.diff(np.concatenate([[0], mask.astype(int)])) == 1).sum()), hashlib.sha256(left).hexdigest())
+        at += n
