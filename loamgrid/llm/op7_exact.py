@@ -1,35 +1,42 @@
 """Operator 7: exact dedup with an extendible-hash index on shared files.
 
 Texts are equal when identical after lower-casing A-Z.  Each text has a 64-bit
-key.  The index holds one chain for every key and digest (its number of rows
-and largest doc_id, summed before they are shuffled), in buckets of a directory
-that is addressed by the key's leading bits: a bucket with more than
-``bucket_rows`` chains is split by doubling the directory.  Its files are
-Parquet, one folder a bucket, in the shared checkpoint folder, and the tasks
-that own key ranges read it.  The rows of a chain are compared byte by byte
-with the text of its head (the row with the largest doc_id); rows of a chain
-whose texts differ are chained again by their bytes.
-
-Only DataFrame and SQL functions run on executors.  The driver sees bucket
-counts, at most ``2 ** DIGIT`` at a time.
-
-Null texts count as empty.  Equal rows (also with the same or a null doc_id)
-are one group each with its rows counted; the row with the largest doc_id
-stays, where several rows share that doc_id all of them are kept.  Other
-columns are ignored.
+key; a directory addressed by the key's leading bits names the bucket of each
+key.  The bytes of text under each key are summed first; a bucket with more than
+``bucket_bytes`` is split by doubling the directory, ``DIGIT`` bits at a time, of
+which the driver sees the sums of the buckets that overflow.  The directory (no
+more than a few entries a bucket) is a table in the shared checkpoint folder.
+
+Every text is shuffled once, to the task that owns its bucket.  The owner chains
+its rows by key and compares the bytes of the texts of a key, so texts whose keys
+collide make chains of their own, and writes each chain (key, digest, doc_ids) to
+the index files.  A key with more bytes than a bucket holds is dealt to several
+owners in pieces; the pieces of a chain, without texts, are put together by key
+and digest.  The result is read from the index.
+
+Only DataFrame and SQL functions run on executors.
+
+Null texts count as empty, and an empty table gives an empty result.  Very long
+texts are rows like others; an owner holds ``bucket_bytes`` or one text, and
+spills beyond its memory.  Equal rows (also with the same or a null doc_id) are
+one group with each row counted; of a tie the row with the largest doc_id stays,
+where several rows share that doc_id all of them are kept.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import shared_folder, written
 
-#: Chains that a bucket of the index holds before it is split.
-BUCKET_ROWS = 500_000
-#: Bits by which the directory grows at a time; bucket counts reach the driver.
-DIGIT = 8
+#: Buckets for each shuffle partition, if their size isn't given.
+BUCKETS = 4
+#: Bits by which the directory grows at a time.
+DIGIT = 4
+#: Entries of a directory, or keys in pieces, that are broadcast; more are joined by a shuffle.
+BROADCAST = 1 << 18
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL = """
@@ -46,65 +53,83 @@ FROM t
 """
 
 
-def directory(chains: DataFrame, bucket_rows: int) -> list[tuple[str, int]]:
-    """Buckets as (leading bits of the key, depth), split until each holds ``bucket_rows`` chains at most or all bits are used."""
-    done, full = [], [("", 0)]
+def _cell(key: Column, depth: int) -> Column:
+    """The leading ``depth`` bits of a key."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def directory(chains: DataFrame, bucket_bytes: int) -> tuple[DataFrame, int, int]:
+    """cell and bucket of every entry of the directory, its depth, and the number of buckets; chains has key and load."""
+    spark = chains.sparkSession
+    done: list[tuple[int, int]] = []  # leading bits and how many
+    full, depth = [0] if (chains.agg(F.sum("load")).first()[0] or 0) > bucket_bytes else [], 0
+    if not full:
+        done.append((0, 0))
     while full:
-        depth = full[0][1] + DIGIT
-        here = chains
-        if full[0][0]:
-            here = chains.where(F.substring("bits", 1, depth - DIGIT).isin([bits for bits, _ in full]))
-        counts = {r["b"]: r["n"] for r in here.groupBy(F.substring("bits", 1, depth).alias("b")).agg(F.count("*").alias("n")).collect()}
-
-        def split(bits: str, level: int, counts: dict[str, int] = counts, depth: int = depth) -> list[tuple[str, int]]:
-            n = sum(c for b, c in counts.items() if b.startswith(bits))
-            if n <= bucket_rows or level == depth:
-                return [(bits, level)]
-            return split(bits + "0", level + 1) + split(bits + "1", level + 1)
-
-        found = [x for bits, level in full for x in split(bits, level)]
-        full = [(b, k) for b, k in found if k == depth and counts.get(b, 0) > bucket_rows and depth < 64]
-        done += [x for x in found if x not in full]
-    return done
-
-
-def exact_dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, folder: str | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for every row."""
+        parents = spark.createDataFrame([(x,) for x in full], "parent long")
+        here = chains.withColumn("parent", _cell(F.col("key"), depth)).join(F.broadcast(parents), "parent")
+        sums = here.groupBy(_cell(F.col("key"), depth + DIGIT).alias("cell")).agg(F.sum("load").alias("load")).collect()
+        loads: list[dict[int, int]] = [{} for _ in range(DIGIT)] + [{r["cell"]: r["load"] for r in sums}]
+        for k in range(DIGIT - 1, -1, -1):
+            for cell, load in loads[k + 1].items():
+                loads[k][cell >> 1] = loads[k].get(cell >> 1, 0) + load
+        for k in range(1, DIGIT + 1):  # one doubling after the other
+            halves = [2 * x + b for x in full for b in (0, 1)]
+            full = [x for x in halves if loads[k].get(x, 0) > bucket_bytes]
+            over = set(full)
+            done += [(x, depth + k) for x in halves if x not in over]
+        depth += DIGIT
+        if depth == 64:
+            done += [(x, depth) for x in full]
+            full = []
+    deepest = max(k for _, k in done)
+    rows = spark.createDataFrame([(x, deepest - k, i) for i, (x, k) in enumerate(sorted(done, key=lambda b: b[0] << (64 - b[1])))], "bits long, free int, bucket int")
+    entries = rows.select(F.explode(F.expr("sequence(shiftleft(bits, free), shiftleft(bits + 1, free) - 1)")).alias("cell"), "bucket")
+    return entries, deepest, len(done)
+
+
+def exact_dedup(docs: DataFrame, bucket_bytes: int | None = None, folder: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 for every row.
+
+    A bucket holds ``bucket_bytes`` of text; by default each shuffle partition owns about ``BUCKETS`` buckets.
+    """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     norm = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
-    texts = docs.select("doc_id", norm.alias("norm")).select("doc_id", "norm", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("digest"))
-    keys = written(texts.select("doc_id", "key", "digest"), f"{folder}/keys")
+    texts = docs.select("doc_id", norm.alias("norm")).select("doc_id", "norm", F.xxhash64("norm").alias("key"))
 
-    # the index: chains, in the buckets of the directory
-    chains = keys.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("head"))
-    chains = chains.withColumn("bits", F.lpad(F.conv(F.hex("key"), 16, 2), 64, "0"))
+    chains = texts.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("norm") + 64).cast("long").alias("bytes"))
     chains = written(chains, f"{folder}/chains")
-    buckets = directory(chains, bucket_rows)
-    by_level: dict[int, list[str]] = {}
-    for bits, level in buckets:
-        by_level.setdefault(level, []).append(bits)
-    owner = F.coalesce(*[F.when(F.substring("bits", 1, k).isin(names), F.substring("bits", 1, k)) for k, names in sorted(by_level.items()) if k], F.lit("all"))
-    chains = chains.withColumn("bucket", owner).drop("bits")
-    chains.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{folder}/index")
-    index = spark.read.schema(chains.schema).parquet(f"{folder}/index").drop("bucket")
-
-    # rows of chains with several members, compared with the text of their chain's head byte by byte
-    members = texts.join(index.where("n > 1").select("key", "digest", "head"), ["key", "digest"])
-    heads = members.where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("key", "digest").agg(F.min("norm").alias("head_text"))
-    mixed = members.join(heads, ["key", "digest"]).where("norm <> head_text").select("key", "digest").distinct()
-    mixed = written(mixed, f"{folder}/mixed")
-    members = keys.join(index, ["key", "digest"])
-    if not mixed.isEmpty():  # different texts in a chain are chained by their bytes
-        apart = texts.join(mixed, ["key", "digest"], "left_semi")
-        sums = apart.groupBy("norm").agg(F.count("*").alias("n"), F.max("doc_id").alias("head"))
-        members = members.join(mixed, ["key", "digest"], "left_anti").select("doc_id", "digest", "n", "head")
-        members = members.unionByName(apart.join(sums, "norm").select("doc_id", "digest", "n", "head"))
-    return members.select(
-        "doc_id",
+    if bucket_bytes is None:
+        bucket_bytes = max(1, (chains.agg(F.sum("bytes")).first()[0] or 0) // (BUCKETS * parts))
+    # half a bucket at most for a key, so that large ones don't split their neighbours for ever
+    chains = chains.withColumn("load", F.least("bytes", F.lit(max(1, bucket_bytes // 2))))
+    entries, depth, _ = directory(chains, bucket_bytes)
+    entries = written(entries, f"{folder}/directory")
+    large = written(chains.where((F.col("n") > 1) & (F.col("bytes") > bucket_bytes)).selectExpr("key", f"CAST(least(n, ceil(bytes / {bucket_bytes})) AS int) AS pieces"), f"{folder}/large")
+
+    def small(table: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(table) if rows <= BROADCAST else table
+
+    owned = texts.withColumn("cell", _cell(F.col("key"), depth)).join(small(entries, 1 << depth), "cell").join(small(large, large.count()), "key", "left")
+    piece = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(7)), "pieces").cast("int"), F.lit(-1)).alias("piece")
+    owned = owned.select("doc_id", "norm", "key", "bucket", piece).repartition(parts, "bucket", "piece")
+    # the key comes first, as sorting compares it first
+    index = owned.groupBy("key", "norm", "bucket", "piece").agg(F.collect_list(F.struct("doc_id")).alias("members"), F.max("doc_id").alias("head"))
+    index = written(index.select("bucket", "piece", "key", F.sha2("norm", 256).alias("digest"), "head", "members"), f"{folder}/index")
+
+    whole = index.where("piece < 0").select("digest", "head", F.size("members").cast("long").alias("n"), "members")
+    apart = index.where("piece >= 0")
+    sums = apart.groupBy("key", "digest").agg(F.max("head").alias("head"), F.sum(F.size("members")).alias("n"))
+    sums = written(sums, f"{folder}/sums")
+    whole = whole.unionByName(apart.select("key", "digest", "members").join(sums, ["key", "digest"]).select("digest", "head", "n", "members"))
+    doc_id = F.col("member.doc_id")
+    return whole.select("digest", "head", "n", F.explode("members").alias("member")).select(
+        doc_id.alias("doc_id"),
         F.col("head").alias("keep_id"),
         F.col("n").alias("group_size"),
-        F.coalesce(F.col("doc_id") == F.col("head"), F.col("head").isNull()).alias("kept"),
+        F.coalesce(doc_id == F.col("head"), F.col("head").isNull()).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 

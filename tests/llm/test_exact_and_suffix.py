@@ -27,20 +27,38 @@ def exact(rows):
     return Counter((*r[:3], bool(r[3]), r[4]) for r in out)
 
 
-@pytest.mark.parametrize("bucket_rows", [2, 1000])
-def test_exact_dedup(spark, bucket_rows):
+@pytest.mark.parametrize("bucket_bytes", [150, 2000, None])
+def test_exact_dedup(spark, bucket_bytes):
     rng = random.Random(1)
     rows = EDGE + [(100 + i, "".join(rng.choice("aAbB") for _ in range(rng.randint(0, 3)))) for i in range(80)]
-    got = Counter(map(tuple, op7_exact.exact_dedup(documents(spark, rows, more=True), bucket_rows).collect()))
+    got = Counter(map(tuple, op7_exact.exact_dedup(documents(spark, rows, more=True), bucket_bytes).collect()))
     assert got == exact(rows)
 
 
+def test_colliding_keys_are_told_apart_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(op7_exact.F, "xxhash64", lambda *c: op7_exact.F.lit(5).cast("long"))
+    rows = [(i, x) for i, x in enumerate(["a", "A", "b", "a b", "B", "a", None, ""])]
+    for bucket_bytes in (64, 10_000):
+        assert Counter(map(tuple, op7_exact.exact_dedup(documents(spark, rows), bucket_bytes).collect())) == exact(rows)
+
+
 def test_directory_splits_only_full_buckets(spark):
-    chains = spark.range(200).selectExpr("lpad(conv(hex(xxhash64(id)), 16, 2), 64, '0') AS bits")
-    buckets = op7_exact.directory(chains, 20)
-    bits = [r["bits"] for r in chains.collect()]
-    sizes = [sum(b.startswith(name) for b in bits) for name, _ in buckets]
-    assert sum(sizes) == 200 and max(sizes) <= 20 and len(buckets) > 8
+    chains = spark.range(200).selectExpr("xxhash64(id) AS key", "1L AS load")
+    entries, depth, buckets = op7_exact.directory(chains, 20)
+    rows = {r["cell"]: r["bucket"] for r in entries.collect()}
+    assert sorted(rows) == list(range(1 << depth)) and set(rows.values()) == set(range(buckets))
+    sizes = Counter(rows[(r["key"] & (1 << 64) - 1) >> (64 - depth)] for r in chains.collect())
+    assert sum(sizes.values()) == 200 and max(sizes.values()) <= 20 and 8 < buckets < 1 << depth
+    assert [rows[c] for c in sorted(rows)] == sorted(rows.values())  # a bucket's entries lie side by side
+
+
+def test_query_has_many_buckets_and_owners(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    op7_exact.exact_dedup(docs, folder=str(tmp_path))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.select("bucket").distinct().count() > 8 and spark.read.parquet(str(tmp_path / "directory")).count() >= 16
+    owners = index.withColumn("file", op7_exact.F.input_file_name()).groupBy("bucket", "piece").agg(op7_exact.F.count_distinct("file").alias("n"))
+    assert owners.where("n > 1").count() == 0
 
 
 def test_exact_dedup_sql(spark):
