@@ -302,8 +302,8 @@ def repeated(docs: DataFrame, kept: DataFrame, length: int, cuts: list[bytes], h
             yield batch_of(len(one), bucket=((h1[one] >> 1) % parts).astype(np.int32), dk=dk[one], start=start[one], twice=many, h1=h1[one], h2=h2[one])
 
         for batch in tb.blocks(batches, most=BLOCK):
-            data, offsets = tb.text_bytes(batch.column(1))
-            lists = batch.column(2)
+            data, offsets = tb.text_bytes(batch.column(2))
+            lists = batch.column(3)
             flat, of_list = _flat(lists.flatten(), _KEPT)
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))[of_list]
             if not len(row):
@@ -401,7 +401,8 @@ def repeated(docs: DataFrame, kept: DataFrame, length: int, cuts: list[bytes], h
         tb.release()
 
     lists = kept.groupBy("dk").agg(F.collect_list("kept").alias("kept"))
-    rows = docs.join(lists, "dk").select("dk", "text", "kept").mapInArrow(bodies, schema)
+    # with doc_id, so that the shuffle of the texts is that of the last join
+    rows = docs.join(lists, "dk").select("dk", "doc_id", "text", "kept").mapInArrow(bodies, schema)
     return rows.repartitionById(parts, "bucket").mapInArrow(compare, "dk long, ranges binary")
 
 
