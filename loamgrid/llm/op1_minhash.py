@@ -21,9 +21,11 @@ links to hubs and those that tiles keep.
 
 Words are runs of ASCII letters, digits, underscores and characters beyond
 ASCII, without regard to the case of A-Z.  A text of one to four words is one
-shingle; null and empty texts have none and are like each other only.  The
-class id is the smallest doc_id of a class (null if it has none).  Repeated
-rows are members of their class each; other columns are ignored.
+shingle; null and empty texts have none and are like each other only.  An empty
+table gives an empty result.  Very long texts are sketched whole, by themselves;
+a comparison holds two of them.  The class id is the smallest doc_id of a class
+(null if it has none), where rows tie in it all of them are kept.  Repeated rows
+are members of their class each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 DF_BINS = 1 << 16
-#: Entries of the tables of random variates for each draw, and shingles handled at a time.
+#: Quantiles of a variate, each picked by 16 bits of its own, and shingles handled at a time.
 _TABLE, _CHUNK = 1 << 16, 1 << 16
 #: Nodes and bytes of text of a block, and shingles of a tile handled at a time.
 BLOCK_NODES, BLOCK_BYTES, _COLUMNS = 400, 1 << 19, 1 << 11
@@ -111,23 +113,31 @@ def shingles(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 _variates: list[tuple] = []
 
 
-def _tables() -> list[tuple]:
-    """For each draw: an odd multiplier, and r, 1/r, beta and log c for every entry (r, c: gamma of shape 2)."""
+def _gamma_quantiles() -> np.ndarray:
+    """The middle of each of ``_TABLE`` equal shares of a gamma distribution of shape 2."""
+    share, x = (np.arange(_TABLE) + 0.5) / _TABLE, np.sqrt(np.arange(_TABLE) + 0.5) / 100 + 0.01
+    for _ in range(60):  # Newton's method on log(1 - share) = log(1 + x) - x
+        x = np.maximum(x + (np.log1p(x) - x - np.log1p(-share)) * (1 + x) / x, x / 4)
+    return x
+
+
+def _tables() -> tuple[list[np.uint64], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An odd multiplier for each draw, and the quantiles of r, 1/r, beta and log c (r, c: gamma of shape 2)."""
     if not _variates:
         rng = np.random.Generator(np.random.PCG64(20240229))
-        for _ in range(BANDS * ROWS):
-            multiplier = np.uint64(int(rng.integers(1, 1 << 62)) * 2 + 1)
-            r, c = rng.gamma(2.0, size=_TABLE) + 1e-6, rng.gamma(2.0, size=_TABLE) + 1e-12
-            _variates.append((multiplier, r.astype(np.float32), (1 / r).astype(np.float32), rng.random(_TABLE).astype(np.float32), np.log(c).astype(np.float32)))
-    return _variates
+        multipliers = [np.uint64(int(rng.integers(1, 1 << 62)) * 2 + 1) for _ in range(BANDS * ROWS)]
+        gamma = _gamma_quantiles()
+        _variates.append((multipliers, *[x.astype(np.float32) for x in (gamma, 1 / gamma, (np.arange(_TABLE) + 0.5) / _TABLE, np.log(gamma))]))
+    return _variates[0]
 
 
 def draw(row: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows with shingles, and for each of them the hashes of its bands."""
     starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, dtype=np.int64)
     owners = row[starts]
-    out = np.zeros((len(owners), BANDS), dtype=np.uint64)
+    out, low = np.zeros((len(owners), BANDS), dtype=np.uint64), np.uint64(_TABLE - 1)
     ends = np.append(starts[1:], len(row))
+    multipliers, r, inverse, beta, log_c = _tables()
     i = 0
     while i < len(owners):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, side="right")))
@@ -135,11 +145,13 @@ def draw(row: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n: int) -> tup
         h, log_w, local = hashes[a:b], np.log(weight[a:b]).astype(np.float32), starts[i:j] - a
         lengths = ends[i:j] - starts[i:j]
         with np.errstate(over="ignore"):
-            for k, (multiplier, r, inverse, beta, log_c) in enumerate(_tables()):
-                at = ((h * multiplier) >> np.uint64(48)).astype(np.int64)
-                b_at, r_at = beta[at], r[at]
+            for k, multiplier in enumerate(multipliers):
+                # three variates from 48 bits of the shingle's hash for this draw
+                own = h * multiplier
+                at = (own >> np.uint64(48)).astype(np.int64)
+                b_at = beta[((own >> np.uint64(32)) & low).astype(np.int64)]
                 t = np.floor(log_w * inverse[at] + b_at)
-                value = log_c[at] - r_at * (t - b_at + 1)
+                value = log_c[((own >> np.uint64(16)) & low).astype(np.int64)] - r[at] * (t - b_at + 1)
                 least = np.minimum.reduceat(value, local)
                 hit = np.flatnonzero(value == np.repeat(least, lengths))
                 own = np.searchsorted(local, hit, side="right") - 1
@@ -369,7 +381,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     classes = components(edges).join(degree, "node")
     rows = table.select("doc_id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     rows = written(rows.select("doc_id", "class", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    heads = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # written, so that rows of a large class needn't meet in the task that has summed it
+    heads = written(rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept")
     return rows.join(heads, "class").select("doc_id", "class_id", "class_size", kept, "n_links")
 

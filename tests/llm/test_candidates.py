@@ -1,6 +1,10 @@
 """Near-duplicates in groups of texts that are unlike their hub, against all pairs that share a band."""
 
+import itertools
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -84,3 +88,36 @@ def test_classes_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1]
+
+
+def test_variates_follow_a_gamma_distribution():
+    x = op1_minhash._gamma_quantiles()
+    assert (np.diff(x) > 0).all() and np.allclose(1 - (1 + x) * np.exp(-x), (np.arange(len(x)) + 0.5) / len(x), atol=1e-9)
+
+
+def test_recall_over_the_whole_table(spark):
+    """Classes against weighted Jaccard similarities of all pairs, computed with sets of words and plain counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: [w.decode() for w in re.findall(rb"[0-9A-Za-z_\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (r["text"] or "").encode()))] if (r["text"] or "").isascii() else None for r in docs.collect()}
+    words = {r["doc_id"]: [w for w in re.findall(r"[0-9A-Za-z_\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in r["text"] or ""))] for r in docs.collect()}
+    assert all(words[d] == t for d, t in texts.items() if t is not None)
+    df = Counter(w for own in words.values() for w in set(own))
+    idf = {w: math.log((len(words) + 1) / (n + 1)) + 0.1 for w, n in df.items()}
+    weights, where = {}, {}
+    for d, own in words.items():
+        runs = Counter(tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))) if own else Counter()
+        weights[d] = {s: n * sum(idf[w] for w in s) / len(s) for s, n in runs.items()}
+        for s in runs:
+            where.setdefault(s, []).append(d)
+    total, common = {d: sum(w.values()) for d, w in weights.items()}, Counter()
+    for s, ids in where.items():
+        for a, b in itertools.combinations(sorted(ids), 2):
+            common[a, b] += min(weights[a][s], weights[b][s])
+    sims = {p: c / (total[p[0]] + total[p[1]] - c) for p, c in common.items()}
+    got = {r["doc_id"]: r["class_id"] for r in op1_minhash.near_duplicates(docs).collect()}
+    alike = [p for p, s in sims.items() if s >= 0.8]
+    assert len(alike) > 50 and sum(got[a] == got[b] for a, b in alike) >= 0.99 * len(alike)
+    # a document shares its class with one that it is like
+    partners = Counter(x for p, s in sims.items() if s >= 0.79 for x in p)
+    sizes = Counter(c for d, c in got.items() if words[d])
+    assert all(partners[d] for d, c in got.items() if words[d] and sizes[c] > 1)
