@@ -4,12 +4,20 @@ A host's labels are split into words by a unigram Viterbi search: the counts of
 words in the tables' own pages and URLs say how likely a word is, and
 characters that belong to no word cost more than any word.  Only the counts of
 substrings of labels are joined to them, so no vocabulary reaches the driver.
-A multinomial naive Bayes model over host words and path words is counted from
-the URLs themselves: those with a word of the seed list are unwanted, the others
-are not.  Explicit rules come first; the longest that fits wins.
+A multinomial naive Bayes model over host words and path words is learnt from
+the URLs themselves by expectation maximisation.  Seed words only start it: a
+URL with one of them is unwanted in the first round, and a seed word has
+``SEED_PRIOR`` unwanted occurrences beforehand.  Each round counts all words by
+how likely their URLs are unwanted and judges the URLs anew, so that words that
+come with seeds are learnt and a seed amid good words can be outweighed.  URLs
+are judged by word list, and the rows of a word list are held out from the counts
+that judge it.  Explicit rules come first; the longest that fits wins.
 
 Null URLs and URLs without ``://`` have an empty host and path and are judged by
-the model's prior.  Repeated rows give a row each; other columns are ignored.
+the model's prior; a tie (log odds of 0) is allowed.  Very long URLs are words
+like others, of which a label's words have ``LONGEST_WORD`` characters at most.
+An empty table gives an empty result.  Repeated rows give a row each; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +31,14 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Words that mark a training URL as unwanted.
+#: Words that mark a URL as unwanted when learning starts.
 SEEDS = (
-    "adult", "bet", "betting", "bitcoin", "bonus", "casino", "cheap", "cialis", "crack", "dating", "escort", "forex", "gambling",
-    "hack", "jackpot", "keygen", "loan", "loans", "lottery", "malware", "nude", "payday", "pharmacy", "phishing", "pills", "poker",
-    "porn", "replica", "roulette", "scam", "sex", "slots", "spam", "torrent", "viagra", "warez", "win", "xxx",
+    "ads", "adult", "banner", "bets", "betting", "bitcoin", "casino", "cialis", "clickbait", "crack", "dating", "escort", "forex",
+    "gambling", "jackpot", "keygen", "loans", "lottery", "malware", "nude", "payday", "pharmacy", "phishing", "pills", "poker", "popup",
+    "porn", "replica", "roulette", "scam", "sex", "slots", "spam", "torrent", "viagra", "warez", "xxx",
 )
+#: Rounds of learning, and occurrences in unwanted URLs that a seed word has beforehand.
+ROUNDS, SEED_PRIOR = 3, 8
 #: Rows that a seed word counts for in the unigram model.
 SEED_COUNT = 100
 #: Longest word that a label is split into, and the cost in nats of a character of no word.
@@ -96,6 +106,30 @@ def segment(labels: DataFrame, word_counts: DataFrame) -> DataFrame:
     return labels.join(known, "label", "left").mapInPandas(viterbi, "label string, words array<string>")
 
 
+def learnt(lists: DataFrame, seeds: tuple[str, ...] = SEEDS, rounds: int = ROUNDS) -> DataFrame:
+    """words and log_odds (of being unwanted) of each word list; lists is different word lists and their rows n."""
+    r, n = F.col("r"), F.col("n")
+    lists = written(lists.withColumn("r", F.exists("words", lambda w: w.isin(*seeds)).cast("double")))
+    # once a list and word, with its occurrences; the empty list has none
+    terms = written(lists.select("words", F.explode("words").alias("word")).groupBy("words", "word").agg(F.count("*").alias("k")))
+    for left in range(rounds, 0, -1):
+        rows, bad = lists.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(n * r), F.lit(0.0))).first()
+        counts = lists.select("n", "r", F.explode("words").alias("word")).groupBy("word").agg(F.sum(n * r).alias("bad"), F.sum(n * (1 - r)).alias("good"))
+        counts = written(counts.withColumn("prior", F.when(F.col("word").isin(*seeds), 1.0 + SEED_PRIOR).otherwise(1.0)))
+        bad_t, bad_prior, good_t, v = counts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("bad", "prior", "good")], F.count("*")).first()
+        size, k = F.size("words"), F.col("k")
+        own_bad, own_good = n * r, n * (1 - r)
+        weight = F.log((F.greatest(F.col("bad") - own_bad * k, F.lit(0.0)) + F.col("prior")) / (F.greatest(bad_t - own_bad * size, F.lit(0.0)) + bad_prior))
+        weight = weight - F.log((F.greatest(F.col("good") - own_good * k, F.lit(0.0)) + 1) / (F.greatest(good_t - own_good * size, F.lit(0.0)) + v))
+        # r is a list's, so the terms get it by their list
+        evidence = terms.join(lists, "words").join(counts, "word").groupBy("words").agg(F.sum(k * weight).alias("evidence"))
+        prior = F.log((F.greatest(bad - own_bad, F.lit(0.0)) + 1) / (F.greatest(rows - bad - own_good, F.lit(0.0)) + 1))
+        judged = written(lists.join(evidence, "words", "left").select("words", "n", (prior + F.coalesce("evidence", F.lit(0.0))).alias("log_odds")))
+        if left == 1:
+            return judged.select("words", "log_odds")
+        lists = written(judged.select("words", "n", (1 / (1 + F.exp(-F.least(F.greatest("log_odds", F.lit(-30.0)), F.lit(30.0))))).alias("r")))
+
+
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], text: str | None = "html", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict, words and log_odds of every row of pages (page_id, url and the column named ``text``)."""
     spark = pages.sparkSession
@@ -116,18 +150,9 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], text: str | None
     host_words = hosts.select("host", F.posexplode(F.split("host", r"[^a-z]+")).alias("at", "label")).join(split, "label")
     host_words = host_words.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("host_words"))
     seen = urls.join(host_words, "host", "left").select("host", "path", "n", F.concat(F.coalesce("host_words", F.array().cast("array<string>")), _tokens(F.col("path"))).alias("words"))
-    seen = written(seen.withColumn("bad", F.exists("words", lambda w: w.isin(*seeds)).cast("int")))
-
-    # multinomial naive Bayes; the words of a URL count once for each row that has it
-    zero = F.lit(0).cast("long")
-    n, bad = seen.agg(F.coalesce(F.sum("n"), zero), F.coalesce(F.sum(F.col("n") * F.col("bad")), zero)).first()
-    tokens = seen.select("n", "bad", F.explode("words").alias("word")).groupBy("word").agg((F.sum("n") - F.sum(F.col("n") * F.col("bad"))).alias("good_n"), F.sum(F.col("n") * F.col("bad")).alias("bad_n"))
-    v, bad_t, good_t = tokens.agg(F.count("*"), F.coalesce(F.sum("bad_n"), zero), F.coalesce(F.sum("good_n"), zero)).first()
-    weights = tokens.select("word", (F.log((F.col("bad_n") + 1) / (bad_t + v + 1)) - F.log((F.col("good_n") + 1) / (good_t + v + 1))).alias("weight"))
-    prior = F.lit(math.log((bad + 1) / (n - bad + 1)))
-    evidence = seen.select("host", "path", F.explode("words").alias("word")).join(weights, "word").groupBy("host", "path").agg(F.sum("weight").alias("evidence"))
-    judged = seen.select("host", "path", "words").join(evidence, ["host", "path"], "left")
-    judged = judged.select("host", "path", "words", (prior + F.coalesce("evidence", F.lit(0.0))).alias("log_odds"))
+    seen = written(seen)
+    odds = learnt(seen.groupBy("words").agg(F.sum("n").alias("n")), seeds)
+    judged = seen.select("host", "path", "words").join(odds, "words").select("host", "path", "words", "log_odds")
 
     rule, verdict = rule_for(rules, F.col("host"), F.col("path"))
     model = F.when(F.col("log_odds") > 0, "block").otherwise("allow")

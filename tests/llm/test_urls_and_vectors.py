@@ -33,6 +33,44 @@ def test_segments_are_the_likeliest():
     assert op3_urls.split_label("casinowin", counts, total) == ["casino", "win"]
 
 
+def learnt_brute(lists, seeds):
+    """Log odds of each word list after the rounds, by plain counts; lists: words -> rows."""
+    r = {w: float(any(x in seeds for x in w)) for w in lists}
+    for _ in range(op3_urls.ROUNDS):
+        odds = {}
+        vocabulary = {x for w in lists for x in w}
+        seeded = sum(x in seeds for x in vocabulary)
+        for w in lists:
+            others = [(x, n, r[x]) for x, n in lists.items() if x != w]  # this list is held out
+            value = math.log((sum(n * p for _, n, p in others) + 1) / (sum(n * (1 - p) for _, n, p in others) + 1))
+            bad_t = sum(n * p * len(x) for x, n, p in others) + len(vocabulary) + op3_urls.SEED_PRIOR * seeded
+            good_t = sum(n * (1 - p) * len(x) for x, n, p in others) + len(vocabulary)
+            for word in w:
+                bad = sum(n * p * x.count(word) for x, n, p in others) + 1 + op3_urls.SEED_PRIOR * (word in seeds)
+                good = sum(n * (1 - p) * x.count(word) for x, n, p in others) + 1
+                value += math.log(bad / bad_t) - math.log(good / good_t)
+            odds[w] = value
+        r = {w: 1 / (1 + math.exp(-max(-30, min(30, v)))) for w, v in odds.items()}
+    return odds
+
+
+def test_log_odds_are_plain_counts(spark):
+    lists = {("casino", "win", "com"): 9, ("casino", "win", "net", "win"): 4, ("lucky", "win", "win", "com"): 3, ("garden", "com", "roses"): 20, ("garden", "poker", "roses", "com"): 5, ("garden", "net", "roses"): 11, (): 2, ("poker", "org"): 1}
+    frame = spark.createDataFrame([(list(w), n) for w, n in lists.items()], "words array<string>, n long")
+    got = {tuple(r["words"]): r["log_odds"] for r in op3_urls.learnt(frame).collect()}
+    want = learnt_brute(lists, op3_urls.SEEDS)
+    assert got.keys() == want.keys() and all(math.isclose(got[w], want[w], abs_tol=1e-6) for w in want)
+    # learnt from its company, outweighed by its company, and the seed by itself
+    assert got["lucky", "win", "win", "com"] > 0 > got["garden", "poker", "roses", "com"] and got["poker", "org"] > 0
+
+
+def test_query_blocks_unwanted_hosts(spark):
+    rows = op3_urls.query(spark, "/root/testdata/sf0.1").where("rule IS NULL").collect()
+    bad = [r["verdict"] for r in rows if "-" in r["host"]]
+    good = [r["verdict"] for r in rows if "-" not in r["host"]]
+    assert set(bad) == {"block"} and good.count("allow") > 0.97 * len(good)
+
+
 def parse(url):
     if url is None or "://" not in url:
         return "", ""
