@@ -4,17 +4,22 @@ A softmax classifier, fitted on a labelled table (doc_id, domain), predicts how
 far each document belongs to each domain.  Projected-gradient least squares
 then finds a nonnegative rate for every document, so that the expected tokens
 of the domains - the sum over documents of rate, tokens and posterior - match
-the targets.  The squares are weighted by the inverse of the domains' Gram matrix,
-which makes a step of 1 the longest that is sure to come nearer and, as long as
-no rate is held at 0, exact; a round is one aggregation over the table of
-posteriors, of which the driver sees the domains' totals.  A document's rate
-follows from its posterior and the rounds' steps, so no rates are moved.
+the targets.  A step is the gradient, scaled by the inverse of the domains' Gram
+matrix over the documents whose rate isn't held at 0 (so that it is exact as long
+as no more rates get there), and halved when it comes no nearer.  A round is one
+aggregation over the table of posteriors, of which the driver sees the domains'
+totals.  A document's rate follows from its posterior and the rounds' steps;
+every ``WRITTEN`` rounds the rates are written.  Rounds end when the targets are
+met or come no nearer (nonnegative rates can't meet all targets), or after
+``ROUNDS``; ``miss`` says how far off the worst domain is, as a share of all tokens.
 
 Tokens are words: runs of ASCII letters, digits, underscores and characters
 beyond ASCII.  Null and empty texts have none; their rate changes no total.
 ``copies`` rounds the rate up or down by a hash of doc_id, so that it is the
-rate on average.  Repeated rows have a rate each; other columns are ignored.
-Without a labelled row every document belongs to one domain.
+rate on average.  Of equal posteriors the first domain by name is the likeliest.
+Very long texts are rows like others.  Repeated rows have a rate each; other
+columns are ignored.  An empty table gives an empty result, and without a
+labelled row every document belongs to one domain.
 """
 
 from __future__ import annotations
@@ -34,9 +39,10 @@ from .shared import small_batches, written
 SAMPLE_ROWS = 6_000
 #: Bins of byte pairs that the classifier sees.
 BINS = 1024
-#: Targets without given weights: shares to this power.
-TEMPERING = 0.7
-ROUNDS, TOLERANCE = 25, 1e-6
+#: Targets without given weights: shares to this power; of the tokens of thinned domains this share.
+TEMPERING, THINNED = 0.7, 0.25
+#: Rounds at most, rounds between writing rates, and the miss (of all tokens) that counts as none.
+ROUNDS, WRITTEN, TOLERANCE = 40, 8, 1e-6
 #: The domain of documents that are labelled with quality 0.
 LOW_QUALITY = "low quality"
 
@@ -123,55 +129,63 @@ def posteriors(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_R
     return rows.mapInArrow(predict, f"doc_id {dict(docs.dtypes)['doc_id']}, tokens long, p array<double>"), domains
 
 
-def rate(p: Column, steps: list[np.ndarray]) -> Column:
-    """A document's rate after the rounds' steps, from its posterior."""
-    x = F.lit(1.0)
+def rate(x: Column, p: Column, steps: list[np.ndarray]) -> Column:
+    """A document's rate after the rounds' steps from the rate x, by its posterior."""
     for g in steps:
         x = F.greatest(F.lit(0.0), x - sum((p[i] * float(v) for i, v in enumerate(g)), F.lit(0.0)))
     return x
 
 
-def default_targets(totals: np.ndarray, gram: np.ndarray, held: list[int], tempering: float = TEMPERING) -> np.ndarray:
-    """Tempered shares for all domains but the held ones, with as many tokens as it takes that no rate is below 1."""
-    free = np.array([t > 0 and i not in held for i, t in enumerate(totals)])
-    targets = totals.copy()
-    if free.any():
-        share = totals[free] ** tempering
-        targets[free] = share * (totals[free] / share).max()
-        # the rate of a document that is all of one domain; others' rates lie between these
-        rates = np.linalg.lstsq(gram, targets, rcond=None)[0][totals > 0]
-        targets = targets / min(1.0, max(rates.min(), 0.1))
-    return targets
+def default_targets(totals: np.ndarray, thinned: list[int], tempering: float = TEMPERING) -> np.ndarray:
+    """As many tokens as there are: thinned domains keep ``THINNED`` of theirs, the others share the rest by tempered shares."""
+    targets = np.where(np.isin(np.arange(len(totals)), thinned), totals * THINNED, 0.0)
+    share = np.where(np.isin(np.arange(len(totals)), thinned), 0.0, np.maximum(totals, 0.0)) ** tempering
+    share[totals <= 0] = 0.0
+    if not share.any():
+        return totals.copy()
+    return targets + share / share.sum() * (totals.sum() - targets.sum())
 
 
-def solve(table: DataFrame, k: int, targets: np.ndarray | None, held: list[int] | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps of projected gradient descent from rates of 1, the targets and the totals reached; table has tokens and p."""
-    steps: list[np.ndarray] = []
-    n, p = F.col("tokens"), [F.col("p")[i] for i in range(k)]
-
-    def sums(columns: list[Column]) -> np.ndarray:
-        return np.array([float(v or 0) for v in table.agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()])
-
-    gram = np.zeros((k, k))
-    gram[np.triu_indices(k)] = sums([n * p[i] * p[j] for i in range(k) for j in range(i, k)])
-    gram = np.triu(gram) + np.triu(gram, 1).T
-    while True:
-        x = rate(F.col("p"), steps)
-        totals = sums([x * n * p[i] for i in range(k)])
-        if targets is None:
-            targets = default_targets(totals, gram, held or [])
-        missing = totals - targets
-        if len(steps) >= ROUNDS or np.abs(missing).max() <= TOLERANCE * max(targets.sum(), 1e-300):
-            return steps, targets, totals
-        steps.append(np.linalg.lstsq(gram + np.eye(k) * 1e-9 * max(np.trace(gram), 1e-300), missing, rcond=None)[0])
+def solve(table: DataFrame, k: int, targets: np.ndarray | None, thinned: list[int] | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The table with the rate of each row, the targets and the totals reached; table has tokens and p."""
+    n, p, upper = F.col("tokens"), [F.col("p")[i] for i in range(k)], np.triu_indices(k)
+    table = table.withColumn("x", F.lit(1.0))
 
+    def sums(x: Column) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' totals at the rates x, and their Gram matrix over the rows whose rate isn't 0."""
+        columns = [x * n * p[i] for i in range(k)] + [F.when(x > 0, n * p[i] * p[j]) for i, j in zip(*upper, strict=True)]
+        found = np.array([float(v or 0) for v in table.agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()])
+        gram = np.zeros((k, k))
+        gram[upper] = found[k:]
+        return found[:k], np.triu(gram) + np.triu(gram, 1).T + np.eye(k) * (1e-9 * np.trace(gram) or 1.0)
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, total_tokens: float | None = None, held: tuple[str, ...] = (LOW_QUALITY,)) -> DataFrame:
-    """doc_id, domain (the likeliest), n_tokens, rate and copies of every row.
+    steps: list[np.ndarray] = []
+    totals, gram = sums(F.col("x"))
+    if targets is None:
+        targets = default_targets(totals, thinned or [])
+    weight, whole, size = np.linalg.inv(gram), max(targets.sum(), 1e-300), 1.0
+    for _ in range(ROUNDS):
+        missing = totals - targets
+        if np.abs(missing).max() <= TOLERANCE * whole or size < 1 / 32:
+            break
+        tried = [*steps, size * np.linalg.solve(gram, missing)]
+        new, new_gram = sums(rate(F.col("x"), F.col("p"), tried))
+        left = (new - targets) @ weight @ (new - targets)
+        if left > (missing @ weight @ missing) * (1 - 1e-3 * size):
+            size /= 2
+            continue
+        steps, totals, gram, size = tried, new, new_gram, min(1.0, 2 * size)
+        if len(steps) == WRITTEN:  # so that plans stay short
+            table, steps = written(table.withColumn("x", rate(F.col("x"), F.col("p"), steps))), []
+    return table.withColumn("x", rate(F.col("x"), F.col("p"), steps)), targets, totals
+
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, total_tokens: float | None = None, thinned: tuple[str, ...] = (LOW_QUALITY,)) -> DataFrame:
+    """doc_id, domain (the likeliest), n_tokens, rate, copies and miss (the same in all rows) of every row.
 
     ``weights`` are the target shares of the domains (others get none) of ``total_tokens``, by default as many as
-    there are.  Without weights the targets are the expected shares to the power of ``TEMPERING`` and as many tokens as
-    it takes that no rate is below 1; the tokens of ``held`` domains don't grow with the others.
+    there are.  Without weights the ``thinned`` domains keep ``THINNED`` of their tokens, and the rest goes to the other
+    domains by their shares to the power of ``TEMPERING``: large ones shrink and small ones grow.
     """
     rows, domains = posteriors(docs, labelled)
     table = written(rows)
@@ -179,11 +193,13 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     if weights is not None:
         total = total_tokens if total_tokens is not None else float(table.agg(F.sum("tokens")).first()[0] or 0)
         targets = np.array([weights.get(d, 0.0) for d in domains]) * total / math.fsum(weights.values())
-    steps, _, _ = solve(table, len(domains), targets, [i for i, d in enumerate(domains) if d in held])
+    table, targets, totals = solve(table, len(domains), targets, [i for i, d in enumerate(domains) if d in thinned])
+    miss = float(np.abs(totals - targets).max() / max(targets.sum(), 1.0))
     best = F.array_position(F.col("p"), F.array_max("p")).cast("int")
     u = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1_000_000
-    out = table.select("doc_id", F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), F.col("tokens").alias("n_tokens"), F.round(rate(F.col("p"), steps), 6).alias("rate"))
-    return out.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    out = table.select("doc_id", F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), F.col("tokens").alias("n_tokens"), F.round("x", 6).alias("rate"))
+    copies = (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    return out.withColumn("copies", copies).withColumn("miss", F.lit(round(miss, 9)))
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
