@@ -92,8 +92,8 @@ def orthogonal_affine(points: DataFrame, ij: tuple[str, str], xy: tuple[str, str
 
 
 def coordinates(cells: DataFrame, dims: tuple[str, str] = ("iline", "xline"), xy: tuple[str, str] = ("cdp_x", "cdp_y"), fill: bool = True) -> DataFrame:
-    """Labels and coordinates; missing coordinates from the planes fitted to the others, or their rows left out."""
-    rows = cells.select(*dims, *xy)
+    """Labels and mean coordinates over all other dimensions; missing ones from the planes fitted to the others, or left out."""
+    rows = cells.groupBy(*dims).agg(*[F.avg(c).alias(c) for c in xy])
     if not fill:
         return rows.where(F.col(xy[0]).isNotNull() & F.col(xy[1]).isNotNull())
     there = rows.where(F.col(xy[0]).isNotNull() & F.col(xy[1]).isNotNull())
@@ -111,6 +111,13 @@ def corner_points(cells: DataFrame, dims: tuple[str, str] = ("iline", "xline"),
     return F.broadcast(corners).join(cells.select(i, j, *xy), [i, j], "left").select("corner", i, j, *xy)  # five corners
 
 
+def line_ends(cells: DataFrame, dim: str = "cdp", xy: tuple[str, str] = ("cdp_x", "cdp_y")) -> DataFrame:
+    """Labels and coordinates of the first and the last place of a 2-D line."""
+    rows = cells.groupBy(dim).agg(*[F.avg(c).alias(c) for c in xy])
+    ends = rows.agg(*[F.struct(f(dim).alias(dim), *[g(c, dim).alias(c) for c in xy]).alias(k) for k, f, g in (("a", F.min, F.min_by), ("b", F.max, F.max_by))])
+    return ends.select(F.posexplode(F.array("a", "b")).alias("corner", "at")).select("corner", f"at.{dim}", *[f"at.{c}" for c in xy])
+
+
 def grid_rotation(corners: DataFrame, xy: tuple[str, str] = ("cdp_x", "cdp_y")) -> DataFrame:
     """Sum of (x2 - x1)(y2 + y1) along the first four corners; above 0 they go clockwise."""
     x, y = map(F.col, xy)
@@ -119,25 +126,26 @@ def grid_rotation(corners: DataFrame, xy: tuple[str, str] = ("cdp_x", "cdp_y"))
     return corners.where("corner < 4").select(step.alias("s")).agg(F.sum("s").alias("rotation"))
 
 
-def uniform_spacing(path: DataFrame, spacing: float, order: str, columns: list[str], extra_point: bool = True) -> DataFrame:
-    """Points at equal distances along a polyline: station, distance and the interpolated columns, of which the first two are x and y."""
+def uniform_spacing(path: DataFrame, spacing: float, order: str, columns: list[str], extra_point: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Points at equal distances along polylines (one for each of ``by``): station, distance and the interpolated columns, of which the first two are x and y."""
     x, y = columns[:2]
-    w = Window.partitionBy(F.lit(0)).orderBy(order)  # the vertices of one path
+    line = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # the vertices of one path
+    w = line.orderBy(order)
     step = F.coalesce(F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), 2) + F.pow(F.col(y) - F.lag(y).over(w), 2)), F.lit(0.0))
-    along = path.select(order, *columns, step.alias("_step")).withColumn("_at", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    length = along.agg(F.max("_at")).first()[0]
-    n = max(1, int(length / spacing) + int(extra_point))
+    along = path.select(*by, order, *columns, step.alias("_step")).withColumn("_at", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = F.greatest(F.lit(1), F.max("_at").over(line).cast("double") / F.lit(float(spacing)) + F.lit(int(extra_point))).cast("int")
     ends = {c: F.lead(c).over(w) for c in ["_at", *columns]}
-    legs = along.select("_at", *columns, *[v.alias(f"_next_{c}") for c, v in ends.items()]).where("_next__at > _at OR _next__at IS NULL")
-    between = length / (n - 1) if n > 1 else 0.0
+    legs = along.select(*by, "_at", *columns, n.alias("_n"), F.max("_at").over(line).alias("_length"), *[v.alias(f"_next_{c}") for c, v in ends.items()]).where("_next__at > _at OR _next__at IS NULL")
+    between = F.when(F.col("_n") > 1, F.col("_length") / (F.col("_n") - 1)).otherwise(0.0)
     # each leg makes the stations that lie in it, so no range join is needed
-    first = F.ceil(F.round(F.col("_at") / F.lit(between or 1.0), DIGITS)).cast("int")
-    last = F.when(F.col("_next__at").isNull(), F.lit(n - 1)).otherwise(F.ceil(F.round(F.col("_next__at") / F.lit(between or 1.0), DIGITS)).cast("int") - 1)
-    last = F.least(last, F.lit(n - 1))
+    places = lambda at: F.ceil(F.round(at / F.when(between > 0, between).otherwise(1.0), DIGITS)).cast("int")
+    first = places(F.col("_at"))
+    last = F.when(F.col("_next__at").isNull(), F.col("_n") - 1).otherwise(places(F.col("_next__at")) - 1)
+    last = F.least(last, F.col("_n") - 1)
     stations = legs.where(first <= last).withColumn("station", F.explode(F.sequence(first, last)))
-    d = F.col("station") * F.lit(between)
+    d = F.col("station") * between
     t = F.coalesce(F.try_divide(d - F.col("_at"), F.col("_next__at") - F.col("_at")), F.lit(0.0))
-    return stations.select("station", d.alias("distance"), *[(F.col(c) + t * F.coalesce(F.col(f"_next_{c}") - F.col(c), F.lit(0.0))).alias(c) for c in columns])
+    return stations.select(*by, "station", d.alias("distance"), *[(F.col(c) + t * F.coalesce(F.col(f"_next_{c}") - F.col(c), F.lit(0.0))).alias(c) for c in columns])
 
 
 @dataclass(frozen=True)
@@ -188,10 +196,11 @@ def select_xy(traces: DataFrame, points: DataFrame, affine: Affine, axes: tuple[
     corners = F.array(corner(0, 0, (1 - t) * (1 - u)), corner(1, 0, t * (1 - u)), corner(0, 1, (1 - t) * u), corner(1, 1, t * u))
     needed = at.where("_in").select("point", F.explode(F.filter(corners, lambda c: c["w"] > 0)).alias("c")).select("point", "c.*")
     want = needed.groupBy("point").agg(F.count("*").alias("need"))
-    weighted = needed.join(cells, ["_i", "_j"]).select("point", *carry, F.posexplode(samples).alias("k", "v"), "w")
-    sums = weighted.groupBy("point", *carry, "k").agg(F.sum(F.col("v").cast("double") * F.col("w")).alias("v"), F.count("v").alias("n"), F.count("*").alias("there"))
-    sums = sums.join(want, "point").where("there = need").withColumn("v", F.when(F.col("n") == F.col("need"), F.col("v")))
-    packed = sums.groupBy("point", *carry).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias(samples))
+    # at most four arrays a point; a null sample makes the mean null
+    near = needed.join(cells, ["_i", "_j"]).groupBy("point", *carry).agg(F.collect_list(F.struct("w", F.col(samples).cast("array<double>").alias("v"))).alias("_near"))
+    parts = F.transform("_near", lambda c: F.transform(c["v"], lambda v: v * c["w"]))
+    mean = F.reduce(F.slice(parts, 2, 3), F.get(parts, F.lit(0)), lambda total, v: F.zip_with(total, v, lambda a, b: a + b))
+    packed = near.join(want, "point").where(F.size("_near") == F.col("need")).select("point", *carry, mean.alias(samples))
     return at.select("point", "x", "y").join(packed, "point", "left").select("point", "x", "y", *carry, samples)
 
 
@@ -282,7 +291,18 @@ def surface_from_points(grid: DataFrame, points: DataFrame, value: str, xy: tupl
     return grid.mapInPandas(interpolate, schema)
 
 
-def cubic(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+def spline_curvatures(n: int) -> np.ndarray:
+    """The matrix that gives the second derivatives of not-a-knot cubic splines through n values (4 or more)."""
+    m, rhs = np.zeros((n, n)), np.zeros((n, n))
+    for i in range(1, n - 1):
+        m[i, i - 1 : i + 2] = 1, 4, 1
+        rhs[i, i - 1 : i + 2] = 6, -12, 6
+    m[0, :3] = 1, -2, 1
+    m[-1, -3:] = 1, -2, 1
+    return np.linalg.solve(m, rhs)
+
+
+def cubic(y: np.ndarray, at: np.ndarray, curvatures: np.ndarray | None = None) -> np.ndarray:
     """The not-a-knot cubic spline through (0, y0), (1, y1), ... at the given places; NaN outside."""
     n = len(y)
     out = np.full(len(at), np.nan)
@@ -291,14 +311,7 @@ def cubic(y: np.ndarray, at: np.ndarray) -> np.ndarray:
         deg = max(n - 1, 0)
         out[inside] = np.polyval(np.polyfit(np.arange(n), y, deg), at[inside]) if n else np.nan
         return out
-    m = np.zeros((n, n))
-    rhs = np.zeros(n)
-    for i in range(1, n - 1):
-        m[i, i - 1 : i + 2] = 1, 4, 1
-        rhs[i] = 6 * (y[i - 1] - 2 * y[i] + y[i + 1])
-    m[0, :3] = 1, -2, 1
-    m[-1, -3:] = 1, -2, 1
-    second = np.linalg.solve(m, rhs)
+    second = (spline_curvatures(n) if curvatures is None else curvatures) @ y
     k = np.minimum(np.floor(at[inside]).astype(int), n - 2)
     t = at[inside] - k
     out[inside] = y[k] * (1 - t) + y[k + 1] * t - t * (1 - t) / 6 * ((2 - t) * second[k] + (1 + t) * second[k + 1])
@@ -309,8 +322,16 @@ def resample_cubic(traces: DataFrame, at: str, ns0: float, dt: float, samples: s
     """Traces with their samples at the labels of the array column ``at``, by cubic splines."""
 
     def spline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, np.ndarray] = {}  # a task's traces have few different lengths
+
+        def one(y: np.ndarray, z: np.ndarray) -> list[float]:
+            y = np.asarray(y, dtype=float)
+            if len(y) > 3 and len(y) not in known:
+                known[len(y)] = spline_curvatures(len(y))
+            return cubic(y, (np.asarray(z, dtype=float) - ns0) / dt, known.get(len(y))).tolist()
+
         for batch in batches:
-            batch[samples] = [cubic(np.asarray(y, dtype=float), (np.asarray(z, dtype=float) - ns0) / dt).tolist() for y, z in zip(batch[samples], batch[at], strict=True)]
+            batch[samples] = [one(y, z) for y, z in zip(batch[samples], batch[at], strict=True)]
             yield batch
 
     fields = ", ".join(f"`{f.name}` {'array<double>' if f.name == samples else f.dataType.simpleString()}" for f in traces.schema.fields)

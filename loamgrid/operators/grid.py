@@ -3,8 +3,8 @@
 A trace table has a row a trace: its dimension labels, other header columns and
 the samples.  Dimension tables (the distinct labels) are small beside it, but
 may still be too large for one task, so global positions are computed by value
-ranges: rows are dealt into ranges of the first order column and numbered
-within them, and each range's offset comes from the counts of those before it.
+ranges: rows are dealt into ranges of all order columns and numbered within
+them, and each range's offset comes from the sizes of those before it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a range that is numbered in one task, about.
+from ..workspace import written
+
+#: Rows that are numbered in one task at most.
 RANGE_ROWS = 2_000_000
 
 
@@ -32,26 +34,33 @@ def check_unique(traces: DataFrame, dims: list[str]) -> None:
         raise ValueError(f"{dims} don't tell all traces apart; another dimension is needed")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, ranges: int | None = None) -> DataFrame:
+def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows in range partitions of the order columns, written, with the number of their range and their place in it (from 0)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id()
+    sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # written, as the ranges are sampled anew each time that they are made
+    return written(sorted_rows.withColumns({"_range": F.shiftright(place, 33), "_place": place.bitwiseAND((1 << 33) - 1)}))
+
+
+def before(sizes: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """For each range (a row, of which there are as many as tasks) the sum of ``n`` in the ranges before it."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    return sizes.withColumn("_before", F.coalesce(F.sum(n).over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, most: int = RANGE_ROWS) -> DataFrame:
     """Rows with their place (from 0) in the order of the columns, which must tell rows apart.
 
-    The first column must be numeric; its quantiles bound the ranges that are numbered apart.
+    Up to ``most`` rows are numbered in one task.  Beyond, the order columns alone are dealt into ranges, numbered within
+    them and moved by the sizes of the ranges before; the rows then meet their number by these columns.
     """
-    if ranges is None:
-        ranges = max(1, rows.count() // RANGE_ROWS)
-    if ranges == 1:
-        bucket = F.lit(0)
-    else:
-        bounds = sorted(set(rows.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-        bucket = sum((F.when(F.col(order[0]) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    rows = rows.withColumn("_range", bucket)
-    sizes = {r["_range"]: r["n"] for r in rows.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # as many rows as ranges
-    offset, before = F.lit(0).cast("long"), 0
-    for k in sorted(sizes):
-        offset = F.when(F.col("_range") == k, F.lit(before).cast("long")).otherwise(offset)
-        before += sizes[k]
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return rows.withColumn(name, place + offset).drop("_range")
+    if rows.count() <= most:
+        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long"))
+    keys = ranged(rows.select(*order), order)
+    sizes = before(keys.groupBy("_range").agg(F.count("*").alias("_n")), [], "_n")
+    places = keys.join(F.broadcast(sizes), "_range").select(*order, (F.col("_before") + F.col("_place")).alias(name))
+    return rows.join(places, order)
 
 
 def with_position(traces: DataFrame, dim: str, name: str | None = None) -> DataFrame:
@@ -81,20 +90,87 @@ def filled(cells: DataFrame, ns: int, value: float = 0.0, samples: str = "sample
 
 def islands(rows: DataFrame, number: str, partition: list[str] | None = None) -> DataFrame:
     """Runs of consecutive numbers: first, last and count of each, by partition."""
-    keys = partition or []
-    order = Window.partitionBy(*keys).orderBy(number) if keys else Window.partitionBy(F.lit(0)).orderBy(number)
+    if not partition:
+        # numbers less their places are equal within a run, so no task sees all rows
+        places = numbered(rows.select(number).distinct(), [number], "_place")
+        times = rows.groupBy(number).agg(F.count("*").alias("_n"))
+        runs = places.join(times, number).groupBy((F.col(number) - F.col("_place")).alias("_run")).agg(F.min(number).alias("first"), F.max(number).alias("last"), F.sum("_n").alias("n"))
+        return numbered(runs.drop("_run"), ["first"], "block").select("block", "first", "last", "n")
+    order = Window.partitionBy(*partition).orderBy(number)
     brk = F.when(F.col(number) - F.lag(number).over(order) > 1, 1).otherwise(0)
     runs = rows.withColumn("_break", brk).withColumn("block", F.sum("_break").over(order))
-    return runs.groupBy(*keys, "block").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n"))
+    return runs.groupBy(*partition, "block").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n"))
 
 
-def chunk_heuristic(traces: DataFrame, dims: list[str], number: str) -> dict[str, int]:
+def chunk_heuristic(traces: DataFrame, dims: list[str], number: str, rows: int = RANGE_ROWS) -> dict[str, int]:
     """Preferred chunk of each dimension: 1 where the label stays the same from some trace to the next, else all (-1)."""
-    w = Window.partitionBy(F.floor(F.col(number) / RANGE_ROWS)).orderBy(number)
-    steps = traces.select(*[F.abs(F.col(d) - F.lag(d).over(w)).alias(d) for d in dims]).agg(*[F.min(d).alias(d) for d in dims]).first()
+    ranges = traces.select(number, *dims).withColumn("_range", F.floor(F.col(number) / rows))
+    w = Window.partitionBy("_range").orderBy(number)
+    within = ranges.select(*[F.abs(F.col(d) - F.lag(d).over(w)).alias(d) for d in dims])
+    # the last trace of a range and the first of the next, a row a range
+    ends = ranges.groupBy("_range").agg(*[f(d, number).alias(f"{k}_{d}") for d in dims for k, f in (("a", F.min_by), ("b", F.max_by))])
+    all_ranges = Window.partitionBy(F.lit(0)).orderBy("_range")
+    across = ends.select(*[F.abs(F.col(f"a_{d}") - F.lag(f"b_{d}").over(all_ranges)).alias(d) for d in dims])
+    steps = within.unionByName(across).agg(*[F.min(d).alias(d) for d in dims]).first()
     return {d: 1 if steps[d] == 0 else -1 for d in dims}
 
 
+# ---------------------------------------------------------------- along a line of traces, and joins of header tables
+def _steps(rows: DataFrame, line: list[str], order: list[str], value: str) -> DataFrame:
+    w = Window.partitionBy(*line).orderBy(*order)
+    return rows.withColumn("_step", F.col(value) - F.lag(value).over(w))
+
+
+def falls(rows: DataFrame, line: list[str], order: list[str], value: str) -> DataFrame:
+    """Whether a label ever falls from one trace of a line to the next."""
+    return _steps(rows, line, order, value).groupBy(*line).agg(F.coalesce(F.min("_step") < 0, F.lit(False)).alias("reversed"))
+
+
+def path_lengths(rows: DataFrame, line: list[str], order: list[str], value: str) -> DataFrame:
+    """The way that a value goes up and down along each line."""
+    return _steps(rows, line, order, value).groupBy(*line).agg(F.sum(F.abs("_step")).alias("length"))
+
+
+def forward_filled(rows: DataFrame, line: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Rows with the last value along their line that isn't null."""
+    w = Window.partitionBy(*line).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+
+
+def with_headers(traces: DataFrame, headers: DataFrame, on: list[str]) -> DataFrame:
+    """All traces with the header columns of those that have any."""
+    return traces.join(headers, on, "left")
+
+
+def merged(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of both header tables, side by side where they have the same labels."""
+    return left.join(right, on, "full_outer")
+
+
+def without(traces: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """Traces whose labels the other table doesn't have."""
+    return traces.join(gone, on, "left_anti")
+
+
+def decimated(traces: DataFrame, number: str, step: int, first: int = 0) -> DataFrame:
+    """Every ``step``-th trace by number."""
+    return traces.where((F.col(number) - first) % step == 0)
+
+
+def squeezed(traces: DataFrame, dims: list[str]) -> tuple[DataFrame, dict[str, object]]:
+    """Traces without the dimensions of one label, and those labels."""
+    row = traces.agg(*[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("a", F.min), ("b", F.max))]).first()
+    single = {d: row[f"a_{d}"] for d in dims if row[f"a_{d}"] is not None and row[f"a_{d}"] == row[f"b_{d}"]}
+    return traces.drop(*single), single
+
+
+def broadcast_like(traces: DataFrame, dims: list[str], other: DataFrame, other_dims: list[str]) -> DataFrame:
+    """Traces repeated along the other table's dimensions that they don't have, where the shared ones agree."""
+    shared, more = [d for d in other_dims if d in dims], [d for d in other_dims if d not in dims]
+    labels = other.select(*shared, *more).distinct()
+    return traces.join(labels, shared) if shared else traces.crossJoin(labels)  # the product is what is asked for
+
+
 def dead(samples: Column, zeros: bool = False, scan: list[int] | None = None) -> Column:
     """Whether a trace is dead: all samples (or those of ``scan``) null, or with ``zeros`` all null or 0."""
     looked = F.transform(F.array(*map(F.lit, scan)), lambda k: F.get(samples, k)) if scan is not None else samples

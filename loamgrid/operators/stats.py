@@ -2,22 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..keys import FIELD_BYTES
-from .grid import numbered
+from .grid import before, numbered, ranged
+
+
+#: Different values whose exact percentiles one task finds.
+ONE_TASK = 1_000_000
+
+
+def exact_percentiles(values: DataFrame, keys: list[str], column: str, shares: list[float], most: int = ONE_TASK) -> DataFrame:
+    """Percentiles (linear interpolation) of a column for each key, as an array ``p`` in the order of the shares.
+
+    Values are counted first.  Up to ``most`` different ones of a key are merged in one task.  Otherwise the counted
+    values are sorted in ranges, and the places wanted are looked up with the sums of the ranges before.
+    """
+    there = values.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
+    at = F.array(*[F.lit(float(x)) for x in shares])
+    different = there.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("n")).agg(F.max("n")).first()[0] or 0
+    if different <= most:
+        return there.groupBy(*keys).agg(F.percentile("_v", at).alias("p"))
+    counted = ranged(there.groupBy(*keys, "_v").agg(F.count("*").alias("_n")), [*keys, "_v"])
+    sizes = before(counted.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in")), keys, "_in")
+    totals = sizes.groupBy(*keys).agg(F.sum("_in").alias("_all"))
+    w = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("_upto", F.sum("_n").over(w)).join(F.broadcast(sizes.drop("_in")), [*keys, "_range"])
+    upto = upto.join(F.broadcast(totals), keys) if keys else upto.crossJoin(F.broadcast(totals))  # a row for each key
+    stop = F.col("_before") + F.col("_upto")
+    here = lambda place: F.max(F.when((place < stop) & (place >= stop - F.col("_n")), F.col("_v")))
+    place = [F.lit(float(x)) * (F.col("_all") - 1) for x in shares]
+    ends = upto.groupBy(*keys).agg(*[here(f(x)).alias(f"{k}{i}") for i, x in enumerate(place) for k, f in (("a", F.floor), ("b", F.ceil))], F.first("_all").alias("_all"))
+    between = [F.col(f"a{i}") + (x - F.floor(x)) * (F.col(f"b{i}") - F.col(f"a{i}")) for i, x in enumerate(place)]
+    return ends.select(*keys, F.array(*between).alias("p"))
 
 
 def header_stats(headers: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum of each numeric column, one row a column."""
     columns = columns or [c for c, t in headers.dtypes if t in ("int", "bigint", "smallint", "double", "float")]
     long = headers.select(*[F.col(c).cast("double") for c in columns]).unpivot([], columns, "field", "x")
-    q = lambda p: F.percentile("x", F.lit(p))
-    return long.groupBy("field").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
-        q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("x").alias("max"),
-    )
+    moments = long.groupBy("field").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    quartiles = exact_percentiles(long, ["field"], "x", [0.25, 0.5, 0.75])
+    rows = moments.join(F.broadcast(quartiles), "field", "left")  # a row a field
+    return rows.select("field", "n", "mean", "std", "min", *[F.get("p", F.lit(i)).alias(q) for i, q in enumerate(("q25", "q50", "q75"))], "max")
 
 
 def varying_fields(stats: DataFrame) -> list[str]:
@@ -30,8 +58,11 @@ def distinct_counts(headers: DataFrame, columns: list[str]) -> DataFrame:
     return headers.agg(*[F.countDistinct(c).alias(c) for c in columns])
 
 
-def guess_geometry(headers: DataFrame) -> dict[str, int]:
-    """Bytes of dimensions and coordinates, by which fields vary and whether their labels make up all traces."""
+def guess_geometry(headers: DataFrame, strict: bool = True) -> dict[str, int]:
+    """Bytes of dimensions and coordinates, by which fields vary and whether their labels make up all traces.
+
+    If they don't, that is an error, or an empty guess if not ``strict``.
+    """
     names = [n for n in ("offset", "SourceX", "SourceY", "CDP_X", "CDP_Y", "INLINE_3D", "CROSSLINE_3D", "CDP") if n in headers.columns]
     row = headers.agg(F.count("*").alias("_n"), *[F.countDistinct(n).alias(n) for n in names]).first()
     varies = {n for n in names if row[n] > 1}
@@ -52,6 +83,8 @@ def guess_geometry(headers: DataFrame) -> dict[str, int]:
     else:
         return out  # flat: traces are told apart by their number only
     if cells != row["_n"]:
+        if not strict:
+            return {}
         raise ValueError(f"the guessed dimensions have {cells} cells, there are {row['_n']} traces")
     return out
 
@@ -94,8 +127,8 @@ def affine_errors(cells: DataFrame, affine: DataFrame, dims: tuple[str, str], xy
 def percentiles(values: DataFrame, column: str, shares: list[float], exact: bool = True) -> DataFrame:
     """Percentiles (linear interpolation) of a column, as rows of share and value; ``exact=False`` sketches them."""
     at = F.array(*[F.lit(float(s)) for s in shares])
-    found = F.percentile(column, at) if exact else F.percentile_approx(column, at, 100_000)
-    return values.agg(found.alias("v")).select(F.explode(F.arrays_zip(at.alias("share"), F.col("v").alias("value"))).alias("r")).select("r.share", "r.value")
+    found = exact_percentiles(values, [], column, shares) if exact else values.agg(F.percentile_approx(column, at, 100_000).alias("p"))
+    return found.select(F.explode(F.arrays_zip(at.alias("share"), F.col("p").alias("value"))).alias("r")).select("r.share", "r.value")
 
 
 def running_percentile(per_trace: DataFrame, order: str, value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grid, stats
@@ -51,14 +51,16 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT CASE WHEN count(DISTINCT p_size) > 1 THEN 37 END AS \"offset\", CASE WHEN count(DISTINCT p_partkey) > 1 THEN 21 END AS cdp, "
-    "CAST(count(DISTINCT p_partkey) = count(*) AS BOOLEAN) AS complete FROM part"
+    "SELECT kind, CASE WHEN complete THEN 37 END AS \"offset\", CASE WHEN complete THEN 21 END AS cdp, complete FROM ("
+    "SELECT 'sizes' AS kind, count(DISTINCT p_size) * count(DISTINCT p_partkey) = count(*) AS complete FROM part UNION ALL "
+    "SELECT 'repeated', count(DISTINCT o) * count(DISTINCT c) = count(*) FROM (SELECT o, p_partkey AS c FROM part, (VALUES (1), (2), (3)) t(o)))"
 )
 def geometry_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which bytes vary, with part sizes as offsets and part keys as CDPs."""
-    headers = table(spark, sf_dir, "part").select(F.col("p_size").alias("offset"), F.col("p_partkey").alias("CDP"))
-    found = stats.guess_geometry(headers.drop("offset")) | {"offset": 37 if "offset" in stats.varying_fields(stats.header_stats(headers)) else None}
-    return spark.createDataFrame([(found["offset"], found.get("cdp"), True)], "offset int, cdp int, complete boolean")
+    """Which bytes are dimensions, with part keys as CDPs: part sizes as offsets don't make up all traces, three offsets each do."""
+    part = table(spark, sf_dir, "part").select(F.col("p_size").alias("offset"), F.col("p_partkey").alias("CDP"))
+    three = part.select("CDP", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("offset"))
+    found = {kind: stats.guess_geometry(rows, strict=False) for kind, rows in (("sizes", part), ("repeated", three))}
+    return spark.createDataFrame([(k, g.get("offset"), g.get("cdp"), bool(g)) for k, g in found.items()], "kind string, offset int, cdp int, complete boolean")
 
 
 @query("SELECT min(s_acctbal) AS delay, round(median(s_acctbal), 6) + 0 AS scalar FROM supplier")
@@ -117,9 +119,7 @@ def chunk_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH a AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events) SELECT user_id, coalesce(min(d) < 0, false) AS reversed FROM a GROUP BY 1")
 def fast_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a label ever falls from one trace to the next."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = table(spark, sf_dir, "events").withColumn("d", F.col("value") - F.lag("value").over(w))
-    return steps.groupBy("user_id").agg(F.coalesce(F.min("d") < 0, F.lit(False)).alias("reversed"))
+    return grid.falls(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
 
 
 @query("WITH" + views.VOLUME + " SELECT tracen, iline, xline, CAST(floor((xline - 1) / 10.0) AS BIGINT) AS block FROM emb")
@@ -165,20 +165,20 @@ def isel_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0")
 def decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 7 = 0").select("vec_id")
+    return grid.decimated(table(spark, sf_dir, "embeddings"), "vec_id", 7).select("vec_id")
 
 
 @query("SELECT o.o_orderkey, o.o_custkey, c.c_nationkey FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0")
 def header_join_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(live, "o_custkey", "left").select("o_orderkey", "o_custkey", "c_nationkey")
+    return grid.with_headers(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), live, ["o_custkey"]).select("o_orderkey", "o_custkey", "c_nationkey")
 
 
 @query("SELECT coalesce(p_partkey, s_suppkey + 1950) AS k, p_size, s_nationkey FROM part FULL JOIN supplier ON p_partkey = s_suppkey + 1950")
 def outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size")
     right = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1950).alias("k"), "s_nationkey")
-    return left.join(right, "k", "full_outer")
+    return grid.merged(left, right, ["k"])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
@@ -188,10 +188,10 @@ def semi_join_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(keep, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def anti_join_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(gone, "c_custkey", "left_anti").select("c_custkey")
+    gone = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    return grid.without(table(spark, sf_dir, "customer"), gone, ["c_custkey"]).select("c_custkey")
 
 
 @query("SELECT CAST(least(floor((p_retailprice - a) / ((b - a) / 25)), 24) AS INTEGER) AS bin, count(*) AS n FROM part, (SELECT min(p_retailprice) AS a, max(p_retailprice) AS b FROM part) GROUP BY 1")
@@ -201,8 +201,8 @@ def header_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, ts, event_id, last_value(CASE WHEN event_id % 3 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM events")
 def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.last(F.when(F.col("event_id") % 3 == 0, F.col("value")), ignorenulls=True).over(w).alias("v"))
+    filled = grid.forward_filled(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_id") % 3 == 0, F.col("value")), "v")
+    return filled.select("user_id", "ts", "event_id", "v")
 
 
 @query("WITH s AS (SELECT p_brand, p_size, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS n FROM (SELECT DISTINCT p_brand, p_size FROM part)) SELECT p_brand, CAST(p_size AS DOUBLE) AS v FROM s UNION ALL SELECT p_brand, (p_size + n) / 2.0 FROM s WHERE n IS NOT NULL")
@@ -216,6 +216,4 @@ def halfsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, round(sum(abs(d)), 6) + 0 AS length FROM (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events) GROUP BY 1")
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = table(spark, sf_dir, "events").withColumn("d", F.col("value") - F.lag("value").over(w))
-    return steps.groupBy("user_id").agg(r6(F.sum(F.abs("d"))).alias("length"))
+    return grid.path_lengths(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", r6("length").alias("length"))

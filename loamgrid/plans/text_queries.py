@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import codec
 from ..functions import text
 from . import views
 from .registry import query, r6, table
@@ -29,14 +32,15 @@ def text_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line_no", F.posexplode(text.hard_wrapped(F.col("line"))).alias("piece", "text"))
 
 
-@query("""
-SELECT conv_id, turn, rpad(CASE WHEN regexp_matches(b, '^C[\\s|\\d]\\d') THEN b ELSE 'C' || lpad(CAST(turn + 1 AS VARCHAR), 2, ' ') || ' ' || b END, 80, ' ') AS line
-FROM (SELECT conv_id, turn, regexp_replace(string_split(text, chr(10))[1], '\\s+$', '') AS b FROM conversations)
-""".replace("\\\\", "\\"))
+@query(r"""
+WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM conversations)
+SELECT conv_id, turn, CAST(n - 1 AS INTEGER) AS line_no, rpad(CASE WHEN regexp_matches(b, '^C[\s|\d]\d') THEN b ELSE 'C' || lpad(CAST(n AS VARCHAR), 2, ' ') || ' ' || b END, 80, ' ') AS line
+FROM (SELECT conv_id, turn, n, regexp_replace(x, '\s+$', '') AS b FROM l)
+""")
 def text_line_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of each turn, with the turn's number before it."""
-    first = F.get(F.split("text", "\n"), F.lit(0))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.counted(first, F.col("turn") + 1).alias("line"))
+    """The lines of each turn, each with its number before it."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "x"))
+    return rows.select("conv_id", "turn", "line_no", text.counted(F.col("x"), F.col("line_no") + 1).alias("line"))
 
 
 @query(r"""
@@ -73,19 +77,27 @@ def attrs_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CAST(p_partkey % 65536 - CASE WHEN p_partkey % 65536 >= 32768 THEN 65536 ELSE 0 END AS INTEGER) AS short, CAST(p_partkey AS INTEGER) AS whole FROM part")
 def byte_decode_int(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers from their hexadecimal bytes: two bytes with a sign, and four."""
+    """Numbers from trace headers of 240 bytes: two bytes with a sign at 29, four at 189, as the reader decodes headers."""
+    @F.pandas_udf("short int, whole int")
+    def decoded(raw: pd.Series) -> pd.DataFrame:
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(-1, codec.HEADER)
+        fields = codec.decode_headers(data, [29, 189], "big")
+        return pd.DataFrame({"short": fields[29], "whole": fields[189]})
+
     word = F.lpad(F.hex("p_partkey"), 8, "0")
-    number = lambda h, bits: F.conv(h, 16, 10).cast("long") - F.when(F.conv(h, 16, 10).cast("long") >= 1 << (bits - 1), 1 << bits).otherwise(0)
-    return table(spark, sf_dir, "part").select("p_partkey", number(F.substring(word, 5, 4), 16).cast("int").alias("short"), number(word, 32).cast("int").alias("whole"))
+    header = F.unhex(F.concat(F.repeat(F.lit("00"), 28), F.substring(word, 5, 4), F.repeat(F.lit("00"), 158), word, F.repeat(F.lit("00"), 48)))
+    return table(spark, sf_dir, "part").select("p_partkey", decoded(header).alias("f")).select("p_partkey", "f.short", "f.whole")
 
 
 @query("SELECT p_partkey, round((CASE WHEN w >= 2147483648 THEN -1 ELSE 1 END) * ((w % 16777216) / 16777216.0e0) * pow(16.0e0, (w // 16777216) % 128 - 64), 6) + 0 AS v FROM (SELECT p_partkey, (p_partkey * 2654435) % 1048576 + 1090519040 + (p_partkey % 2) * 2147483648 AS w FROM part)")
 def ibm_float(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IBM floats from their words, by arithmetic."""
+    """IBM floats from their words, as the reader decodes samples."""
+    @F.pandas_udf("double")
+    def decoded(w: pd.Series) -> pd.Series:
+        return pd.Series(codec.ibm_to_float(w.to_numpy().astype(np.uint32)))
+
     w = (F.col("p_partkey") * 2654435) % 1048576 + 1090519040 + (F.col("p_partkey") % 2) * F.lit(2147483648)
-    sign = F.when(w >= F.lit(2147483648), -1).otherwise(1)
-    v = sign * ((w % 16777216) / F.lit(16777216.0)) * F.pow(F.lit(16.0), F.floor(w / 16777216) % 128 - 64)
-    return table(spark, sf_dir, "part").select("p_partkey", r6(v).alias("v"))
+    return table(spark, sf_dir, "part").select("p_partkey", r6(decoded(w)).alias("v"))
 
 
 @query("WITH" + views.VOLUME + """, b AS (SELECT iline, CAST(count(*) * 4 AS DOUBLE) AS n FROM lng GROUP BY 1)

@@ -14,9 +14,10 @@ XY = ("x", "y")
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as traces: the label is the inline, the place among its vectors the crossline."""
-    w = Window.partitionBy("label").orderBy("vec_id")
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select(F.col("vec_id").alias("tracen"), F.col("label").alias("iline"), F.row_number().over(w).alias("xline"), F.col("embedding").cast("array<double>").alias("samples"))
+    # the headers alone are numbered
+    places = rows.select("vec_id", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).alias("xline"))
+    return rows.join(places, "vec_id").select(F.col("vec_id").alias("tracen"), F.col("label").alias("iline"), "xline", F.col("embedding").cast("array<double>").alias("samples"))
 
 
 VOLUME = """
@@ -35,18 +36,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_view(volume(spark, sf_dir), ["tracen", "iline", "xline"])
 
 
-def block(spark: SparkSession, sf_dir: str, n: int = 30) -> DataFrame:
-    """The part of the volume where every inline has ``n`` crosslines, with coordinates."""
+def block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume with coordinates."""
     i, j = F.col("iline"), F.col("xline")
-    rows = volume(spark, sf_dir).where(j <= n)
-    return rows.withColumns({"x": 1000 + 2.5 * i - 0.75 * j, "y": 500 + 0.75 * i + 2.5 * j})
+    return volume(spark, sf_dir).withColumns({"x": 1000 + 2.5 * i - 0.75 * j, "y": 500 + 0.75 * i + 2.5 * j})
 
 
 BLOCK = VOLUME + """,
-blk AS (
-  SELECT *, 1000 + 2.5e0 * iline - 0.75e0 * xline AS x, 500 + 0.75e0 * iline + 2.5e0 * xline AS y
-  FROM emb WHERE xline <= 30
-)"""
+blk AS (SELECT *, 1000 + 2.5e0 * iline - 0.75e0 * xline AS x, 500 + 0.75e0 * iline + 2.5e0 * xline AS y FROM emb)"""
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:

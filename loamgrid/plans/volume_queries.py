@@ -224,7 +224,7 @@ def corner_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.corner_points(views.block(spark, sf_dir), xy=views.XY)
 
 
-@query(B + CORNERS + " SELECT round(sum((x2 - x) * (y2 + y)), 6) + 0 AS rotation FROM (SELECT corner, x, y, lead(x) OVER (ORDER BY corner) AS x2, lead(y) OVER (ORDER BY corner) AS y2 FROM (SELECT r.corner, b.x, b.y FROM ring r JOIN blk b ON b.iline = r.iline AND b.xline = r.xline WHERE corner < 4))")
+@query(B + CORNERS + " SELECT round(sum((x2 - x) * (y2 + y)), 6) + 0 AS rotation FROM (SELECT corner, x, y, lead(x) OVER (ORDER BY corner) AS x2, lead(y) OVER (ORDER BY corner) AS y2 FROM (SELECT r.corner, b.x, b.y FROM ring r LEFT JOIN blk b ON b.iline = r.iline AND b.xline = r.xline WHERE corner < 4))")
 def grid_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = geometry.grid_rotation(geometry.corner_points(views.block(spark, sf_dir), xy=views.XY), views.XY)
     return found.select(r6("rotation").alias("rotation"))
@@ -237,27 +237,24 @@ def affine_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tracen", r6(i).alias("i"), r6(j).alias("j"))
 
 
-USER = "(SELECT min(user_id) FROM (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 10))"
-PATH = f"""pth AS (SELECT CAST(row_number() OVER (ORDER BY ts, event_id) AS INTEGER) AS seq, value AS y FROM events WHERE user_id = {USER}),
-pts AS (SELECT seq, CAST(seq AS DOUBLE) * 10 AS x, y FROM pth WHERE seq <= 10),
-st AS (SELECT seq, x, y, coalesce(sqrt(pow(x - lag(x) OVER (ORDER BY seq), 2) + pow(y - lag(y) OVER (ORDER BY seq), 2)), 0) AS d FROM pts),
-al AS (SELECT seq, x, y, sum(d) OVER (ORDER BY seq) AS l FROM st),
-lg AS (SELECT x, y, l, lead(x) OVER (ORDER BY seq) AS x2, lead(y) OVER (ORDER BY seq) AS y2, lead(l) OVER (ORDER BY seq) AS l2 FROM al),
-nn AS (SELECT max(l) AS total, CAST(trunc(max(l) / 25) AS INTEGER) + 1 AS n FROM al),
-s AS (SELECT CAST(g AS INTEGER) AS station, total * g / (n - 1) AS st_at, total FROM nn, range(100000) t(g) WHERE g < n)"""
+PATH = """pts AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS seq, value AS y FROM events),
+st AS (SELECT user_id, seq, seq * 10.0e0 AS x, y, coalesce(sqrt(pow(10.0e0, 2) + pow(y - lag(y) OVER (PARTITION BY user_id ORDER BY seq), 2)), 0) AS d FROM pts),
+al AS (SELECT user_id, seq, x, y, sum(d) OVER (PARTITION BY user_id ORDER BY seq) AS l FROM st),
+lg AS (SELECT user_id, x, y, l, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(l) OVER w AS l2 FROM al WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+nn AS (SELECT user_id, max(l) AS total, CAST(trunc(max(l) / 25) AS INTEGER) + 1 AS n, arg_min(x, seq) AS x0, arg_min(y, seq) AS y0 FROM al GROUP BY 1),
+s AS (SELECT user_id, CAST(g AS INTEGER) AS station, CASE WHEN n > 1 THEN total * g / (n - 1) ELSE 0 END AS st_at, total, x0, y0 FROM (SELECT *, unnest(range(n)) AS g FROM nn))"""
 
 
-@query("WITH " + PATH + " SELECT station, round(st_at, 4) + 0 AS distance, round(max(x + (x2 - x) * (st_at - l) / (l2 - l)), 4) + 0 AS x, round(max(y + (y2 - y) * (st_at - l) / (l2 - l)), 4) + 0 AS y FROM s JOIN lg ON l2 > l AND st_at >= l AND (st_at < l2 OR (l2 >= total - 1e-9 AND st_at >= total - 1e-9 AND l < total)) GROUP BY 1, 2")
+@query("WITH " + PATH + """ SELECT s.user_id, station, round(st_at, 3) + 0 AS distance, round(coalesce(max(x + (x2 - x) * (st_at - l) / (l2 - l)), max(x0)), 3) + 0 AS x, round(coalesce(max(y + (y2 - y) * (st_at - l) / (l2 - l)), max(y0)), 3) + 0 AS y
+FROM s LEFT JOIN lg ON lg.user_id = s.user_id AND l2 > l AND st_at >= l - 1e-7 AND (st_at < l2 OR (l2 >= total - 1e-9 AND st_at >= total - 1e-9 AND l < total)) GROUP BY 1, 2, 3""")
 def path_uniform_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations every 25 units along the first ten events of a user as a polyline."""
+    """Stations every 25 units along the events of each user as a polyline."""
     from pyspark.sql import Window
 
-    events = table(spark, sf_dir, "events")
-    user = events.groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 10").agg(F.min("user_id")).first()[0]
-    path = events.where(F.col("user_id") == user).withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("seq <= 10")
-    path = path.select("seq", (F.col("seq") * 10.0).alias("x"), F.col("value").alias("y"))
-    found = geometry.uniform_spacing(path, 25.0, "seq", ["x", "y"])
-    return found.select("station", *[(F.round(c, 4) + 0.0).alias(c) for c in ("distance", "x", "y")])
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    path = table(spark, sf_dir, "events").select("user_id", F.row_number().over(order).alias("seq"), F.col("value").alias("y")).withColumn("x", F.col("seq") * 10.0)
+    found = geometry.uniform_spacing(path, 25.0, "seq", ["x", "y"], by=("user_id",))
+    return found.select("user_id", "station", *[(F.round(c, 3) + 0.0).alias(c) for c in ("distance", "x", "y")])
 
 
 def _points(spark: SparkSession) -> DataFrame:
@@ -287,7 +284,7 @@ BILINEAR = """, cor AS (
   SELECT point, floor(p) + di AS i, floor(q) + dj + 1 AS j, CASE WHEN di = 1 THEN p - floor(p) ELSE 1 - p + floor(p) END * CASE WHEN dj = 1 THEN q - floor(q) ELSE 1 - q + floor(q) END AS w
   FROM ins, (SELECT * FROM range(2) a(di), range(2) b(dj)) WHERE inside),
 nd AS (SELECT *, count(*) OVER (PARTITION BY point) AS need FROM cor WHERE w > 0),
-lin AS (SELECT nd.point, k, sum(l.v * w) AS v FROM nd JOIN lng l ON l.iline = nd.i AND l.xline = nd.j WHERE l.xline <= 30 GROUP BY nd.point, k HAVING count(*) = max(need))"""
+lin AS (SELECT nd.point, k, sum(l.v * w) AS v FROM nd JOIN lng l ON l.iline = nd.i AND l.xline = nd.j GROUP BY nd.point, k HAVING count(*) = max(need))"""
 
 
 @query(B + POINTS + BILINEAR + " SELECT i.point, l.k, round(l.v, 6) + 0 AS v FROM ins i LEFT JOIN lin l ON l.point = i.point")

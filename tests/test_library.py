@@ -132,12 +132,55 @@ def test_geometry_guess(spark, tmp_path):
     assert {"INLINE_3D", "CROSSLINE_3D", "CDP_X", "CDP_Y"} <= set(varying)
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 7])
-def test_numbering_by_ranges(spark, ranges):
+@pytest.mark.parametrize("most", [1000, 7])
+def test_numbering_by_ranges(spark, most):
     rows = survey(spark).select("iline", "xline")
-    got = grid.numbered(rows, ["xline", "iline"], "n", ranges).orderBy("n").collect()
+    got = grid.numbered(rows, ["xline", "iline"], "n", most).orderBy("n").collect()
     assert [r["n"] for r in got] == list(range(100))
     assert [(r["xline"], r["iline"]) for r in got] == sorted((r["xline"], r["iline"]) for r in got)
+    assert grid.numbered(rows.limit(0), ["iline"], "n", most).count() == 0
+
+
+def test_percentiles_by_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, float(v)) for k, n in (("a", 400), ("b", 7), ("c", 1)) for v in rng.integers(0, 300, n) / 4] + [("b", None)]
+    frame, shares = spark.createDataFrame(rows, "k string, v double"), [0.0, 0.1, 0.5, 0.77, 1.0]
+    want = {k: np.percentile([v for x, v in rows if x == k and v is not None], [s * 100 for s in shares]) for k in "abc"}
+    for most in (1_000_000, 3):
+        got = {r["k"]: r["p"] for r in stats.exact_percentiles(frame, ["k"], "v", shares, most).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    whole = stats.exact_percentiles(frame, [], "v", shares, 3).first()["p"]
+    assert np.allclose(whole, np.percentile([v for _, v in rows if v is not None], [s * 100 for s in shares]))
+
+
+def test_runs_and_chunks_across_ranges(spark, monkeypatch):
+    numbers = [1, 2, 3, 7, 8, 20, 21, 22, 23, 40]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long")
+    monkeypatch.setattr(grid.numbered, "__defaults__", (4,))
+    got = [tuple(r) for r in grid.islands(rows, "n").orderBy("block").collect()]
+    assert got == [(0, 1, 3, 3), (1, 7, 8, 2), (2, 20, 23, 4), (3, 40, 40, 1)]
+    # the label stays only from trace 3 to trace 4, which lie in different ranges of 4
+    traces = spark.createDataFrame([(i, x, i) for i, x in enumerate([1, 2, 3, 4, 4, 5, 6, 7])], "t long, a int, b long")
+    assert grid.chunk_heuristic(traces, ["a", "b"], "t", 4) == {"a": 1, "b": -1}
+
+
+def test_dimensions_of_one_label(spark):
+    rows = survey(spark).where("iline = 3").select("iline", "xline")
+    cut, single = grid.squeezed(rows, ["iline", "xline"])
+    assert cut.columns == ["xline"] and single == {"iline": 3}
+    wide = grid.broadcast_like(cut.withColumn("v", F.lit(1)), ["xline"], survey(spark).select("iline", "xline"), ["iline", "xline"])
+    assert wide.count() == 100
+
+
+def test_coordinates_over_other_dimensions(spark):
+    rows = spark.createDataFrame([(i, j, o, 10.0 * i + o, None if o == 3 else 5.0 * j) for i in range(3) for j in range(3) for o in (1, 2, 3)], "iline int, xline int, offset int, x double, y double")
+    got = geometry.coordinates(rows, xy=("x", "y"))
+    assert got.count() == 9 and {(r["iline"], r["x"], r["y"]) for r in got.collect()} == {(i, 10.0 * i + 2, 5.0 * j) for i in range(3) for j in range(3)}
+
+
+def test_ends_of_a_line(spark):
+    rows = spark.createDataFrame([(c, c * 2.0, 100.0 - c) for c in range(4, 30)], "cdp int, cdp_x double, cdp_y double")
+    assert [tuple(r) for r in geometry.line_ends(rows).orderBy("corner").collect()] == [(0, 4, 8.0, 96.0), (1, 29, 58.0, 71.0)]
 
 
 def test_clamped_crops():
