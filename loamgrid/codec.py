@@ -64,16 +64,11 @@ def decode_headers(raw: np.ndarray, bytes_: list[int], endian: str) -> dict[int,
     return out
 
 
-def encode_header(fields: dict[int, int], endian: str) -> bytes:
-    """240 bytes with the given fields (by first byte)."""
-    o, out = order(endian), bytearray(HEADER)
-    for b, v in fields.items():
-        width = TRACE_FIELDS[b][1]
-        if width == 2 and b in (115, 117):  # counts and intervals have no sign
-            out[b - 1 : b + 1] = np.array([v]).astype(f"{o}u2").tobytes()
-        else:
-            out[b - 1 : b - 1 + width] = np.array([v]).astype(f"{o}i{width}").tobytes()
-    return bytes(out)
+def encode_field(block: np.ndarray, byte: int, values: np.ndarray, endian: str) -> None:
+    """Put a header field (by first byte) into rows of bytes."""
+    width = TRACE_FIELDS[byte][1]
+    kind = "u" if byte in (115, 117) else "i"  # counts and intervals have no sign
+    block[:, byte - 1 : byte - 1 + width] = np.ascontiguousarray(values).astype(f"{order(endian)}{kind}{width}").view(np.uint8).reshape(len(block), width)
 
 
 def decode_binary(prologue: bytes, endian: str) -> dict[str, int]:

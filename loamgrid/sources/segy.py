@@ -24,14 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from .. import codec
 from ..functions.text import as_lines, byte_map_lines, default_header
-from ..keys import FIELD_BYTES, LAYOUTS, MEASUREMENT_UNITS, TRACE_FIELDS, check_bytes, layout
+from ..keys import FIELD_BYTES, LAYOUTS, MEASUREMENT_UNITS, TRACE_FIELDS, check_bytes, check_names, layout
 from ..operators.geometry import multiplier
 from ..operators.grid import live_numbers
 
@@ -72,6 +73,7 @@ class Head:
     path: str
     text: str
     binary: dict[str, int]
+    extended: list[str]
     first: int
     stride: int
     traces: int
@@ -80,8 +82,23 @@ class Head:
 def head(path: str, endian: str) -> Head:
     with open(path, "rb") as f:
         prologue = f.read(codec.PROLOGUE)
-    binary = codec.decode_binary(prologue, endian)
-    return Head(path, codec.decode_text(prologue[: codec.TEXT]), binary, *codec.layout_of(os.path.getsize(path), binary))
+        binary = codec.decode_binary(prologue, endian)
+        extended = [codec.decode_text(f.read(codec.TEXT)) for _ in range(max(0, binary["ExtendedHeaders"]))]
+    return Head(path, codec.decode_text(prologue[: codec.TEXT]), binary, extended, *codec.layout_of(os.path.getsize(path), binary))
+
+
+def mapped(h: Head) -> np.ndarray:
+    """The traces of a file, a row of bytes each, of which only what is looked at is read."""
+    return np.memmap(h.path, dtype=np.uint8, mode="r", offset=h.first, shape=(h.traces, h.stride))
+
+
+def sample_lists(h: Head, data: np.ndarray, rows: np.ndarray, first: int, last: int | None, endian: str) -> pa.ListArray:
+    """Samples first to last of the given rows of trace bytes."""
+    ns = h.binary["Samples"]
+    last, width = min(ns - 1 if last is None else last, ns - 1), (h.stride - codec.HEADER) // ns if ns else 0
+    raw = np.ascontiguousarray(data[rows, codec.HEADER + first * width : codec.HEADER + (last + 1) * width])
+    samples = codec.decode_samples(raw, h.binary["Format"], endian).reshape(len(rows), -1)
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * samples.shape[1], pa.array(samples.reshape(-1)))
 
 
 @dataclass
@@ -118,11 +135,9 @@ class SegyReader(DataSourceReader):
         if partition.start >= partition.stop:
             return
         h = head(partition.path, self.endian)
-        data = np.memmap(partition.path, dtype=np.uint8, mode="r", offset=h.first, shape=(h.traces, h.stride))
+        data = mapped(h)
         only = self.options.get("headersonly", self.options.get("headersOnly", "false")).lower() == "true"
-        ns = h.binary["Samples"]
-        first, last = int(self.options.get("first", 0)), min(int(self.options.get("last", ns - 1)), ns - 1)
-        width = (h.stride - codec.HEADER) // ns if ns else 0
+        first, last = sample_range(self.options)
         step = max(1, (8 << 20) // h.stride)
         for at in range(partition.start, partition.stop, step):
             to = min(at + step, partition.stop)
@@ -138,13 +153,14 @@ class SegyReader(DataSourceReader):
             columns = [pa.array([partition.path] * len(rows)), pa.array(values["tracen"][rows])]
             columns += [pa.array(values[name][rows]) for name in self.columns]
             if not only:
-                raw = np.ascontiguousarray(data[at:to][rows][:, codec.HEADER + first * width : codec.HEADER + (last + 1) * width])
-                samples = codec.decode_samples(raw, h.binary["Format"], self.endian).reshape(len(rows), -1)
-                offsets = np.arange(len(rows) + 1, dtype=np.int32) * samples.shape[1]
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(samples.reshape(-1))))
+                columns.append(sample_lists(h, data, at + rows, first, last, self.endian))
             yield pa.RecordBatch.from_arrays(columns, names=self.schema.names)
 
 
+def sample_range(options: dict[str, str]) -> tuple[int, int | None]:
+    return int(options.get("first", 0)), int(options["last"]) if "last" in options else None
+
+
 def columns_of(options: dict[str, str]) -> dict[str, int]:
     named = layout(options["layout"]) if options.get("layout") else byte_map(options.get("dims")) | byte_map(options.get("extras"))
     headers_only = options.get("headersonly", options.get("headersOnly", "false")).lower() == "true"
@@ -182,27 +198,19 @@ class MetaReader(DataSourceReader):
     def read(self, partition: Traces) -> Iterator[tuple]:
         endian = self.options.get("endian", "big")
         h = head(partition.path, endian)
-        delay, scalar = [], []
-        step = max(1, (8 << 20) // h.stride)
-        for at in range(0, h.traces, step):
-            n = min(step, h.traces - at)
-            data = np.memmap(partition.path, dtype=np.uint8, mode="r", offset=h.first + at * h.stride, shape=(n, h.stride))
-            fields = codec.decode_headers(np.asarray(data[:, : codec.HEADER]), [FIELD_BYTES["DelayRecordingTime"], FIELD_BYTES["SourceGroupScalar"]], endian)
-            delay.append(fields[109].min())
-            scalar.append(np.median(fields[71]))
         b = h.binary
-        yield (partition.path, h.traces, b["Samples"], b["Interval"] / 1000.0, float(min(delay, default=0)), b["Format"], MEASUREMENT_UNITS.get(b["MeasurementSystem"]), float(np.median(scalar)) if scalar else 0.0, h.text, json.dumps(b))
+        yield (partition.path, h.traces, b["Samples"], b["Interval"] / 1000.0, b["Format"], MEASUREMENT_UNITS.get(b["MeasurementSystem"]), h.text, h.extended, json.dumps(b))
 
 
 class SegyMetaSource(DataSource):
-    """One row a file: size, vertical axis, format, units, coordinate scalar, text header and binary header."""
+    """One row a file: size, sample interval, format, units, text headers and binary header; no trace is read."""
 
     @classmethod
     def name(cls) -> str:
         return "segy_meta"
 
     def schema(self) -> StructType:
-        kinds = {"file": StringType(), "ntraces": LongType(), "ns": IntegerType(), "dt": DoubleType(), "ns0": DoubleType(), "format": IntegerType(), "units": StringType(), "coord_scalar": DoubleType(), "text": StringType(), "binary": StringType()}
+        kinds = {"file": StringType(), "ntraces": LongType(), "ns": IntegerType(), "dt": DoubleType(), "format": IntegerType(), "units": StringType(), "text": StringType(), "extended": ArrayType(StringType()), "binary": StringType()}
         return StructType([StructField(n, t) for n, t in kinds.items()])
 
     def reader(self, schema: StructType) -> MetaReader:
@@ -214,7 +222,7 @@ class Written(WriterCommitMessage):
     traces: int
 
 
-class SegyWriter(DataSourceWriter):
+class SegyWriter(DataSourceArrowWriter):
     """Each task writes the bytes of its traces (column tracen) to one file on a file system that all tasks share."""
 
     def __init__(self, schema: StructType, options: dict[str, str], overwrite: bool):
@@ -234,19 +242,31 @@ class SegyWriter(DataSourceWriter):
             f.write(binary)
             f.truncate(codec.PROLOGUE + self.total * stride)
 
-    def write(self, rows: Iterator) -> Written:
-        stride, n = codec.HEADER + self.ns * codec.SAMPLE_BYTES[self.kind], 0
-        fixed = {115: self.ns, 117: int(self.options.get("interval", 1000)), 109: int(float(self.options.get("ns0", 0))), 71: int(float(self.options.get("scalar", 0)))}
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        width, n = codec.SAMPLE_BYTES[self.kind], 0
+        fixed = {115: self.ns, 117: int(self.options.get("interval", 1000)), 109: int(float(self.options.get("ns0", 0))), 71: int(float(self.options.get("scalar", 0))), 37: 1}
         with open(self.path, "r+b") as f:
-            for row in rows:
-                fields = fixed | {37: 1} | {b: int(row[name]) for name, b in self.map.items() if row[name] is not None}
-                fields[1] = fields[5] = row["tracen"] + 1
-                samples = np.array([0.0 if v is None else v for v in row["samples"]], dtype=np.float64)
-                if len(samples) != self.ns:
-                    raise ValueError(f"trace {row['tracen']} has {len(samples)} samples, not {self.ns}")
-                f.seek(codec.PROLOGUE + row["tracen"] * stride)
-                f.write(codec.encode_header(fields, self.endian) + codec.encode_samples(samples, self.kind, self.endian))
-                n += 1
+            for batch in batches:
+                size, lists = batch.num_rows, batch.column("samples")
+                if not size:
+                    continue
+                number = batch.column("tracen").to_numpy(zero_copy_only=False).astype(np.int64)
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                if (lengths != self.ns).any():
+                    at = int(np.flatnonzero(lengths != self.ns)[0])
+                    raise ValueError(f"trace {number[at]} has {lengths[at]} samples, not {self.ns}")
+                samples = pc.fill_null(lists.flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+                block = np.zeros((size, codec.HEADER + self.ns * width), dtype=np.uint8)
+                fields = fixed | {b: (batch.column(name).cast(pa.int64()), fixed.get(b, 0)) for name, b in self.map.items()}
+                for b, v in (fields | {1: number + 1, 5: number + 1}).items():
+                    v = pc.fill_null(v[0], v[1]).to_numpy(zero_copy_only=False) if isinstance(v, tuple) else np.broadcast_to(v, size)
+                    codec.encode_field(block, b, v, self.endian)
+                block[:, codec.HEADER :] = np.frombuffer(codec.encode_samples(samples, self.kind, self.endian), dtype=np.uint8).reshape(size, -1)
+                cut = np.flatnonzero(np.append(True, number[1:] != number[:-1] + 1))  # runs of traces side by side
+                for i, j in zip(cut.tolist(), [*cut[1:].tolist(), size], strict=True):
+                    f.seek(codec.PROLOGUE + int(number[i]) * block.shape[1])
+                    f.write(block[i:j].tobytes())
+                n += size
         return Written(n)
 
     def commit(self, messages: list[Written]) -> None:
@@ -267,13 +287,40 @@ def read_traces(spark: SparkSession, path: str, dims: dict[str, int] | None = No
     """Traces of SEG-Y files; ``where`` is conditions on headers, ``keep`` a table of trace numbers (tracen), and file where there are several, to load only."""
     register(spark)
     spec = lambda m: ",".join(f"{k}={v}" for k, v in (m or {}).items())
-    reader = spark.read.format("segy").option("dims", spec(dims)).option("extras", spec(extras)).option("headersOnly", str(headers_only).lower()).option("where", json.dumps(where or []))
-    rows = reader.options(**{k: str(v) for k, v in options.items()}).load(path)
-    return rows if keep is None else rows.join(keep, [c for c in ("file", "tracen") if c in keep.columns], "left_semi")
-
-
-def read_headers(spark: SparkSession, path: str, traces: int | None = None, names: list[str] | None = None, **options) -> DataFrame:
-    """Trace headers: all 91 fields or the named ones, of all traces or the first ``traces``."""
+    options = {k: str(v) for k, v in options.items()}
+
+    def reader(only: bool) -> DataFrame:
+        named = spark.read.format("segy").option("dims", spec(dims)).option("extras", spec(extras)).option("headersOnly", str(only).lower())
+        return named.option("where", json.dumps(where or [])).options(**options).load(path)
+
+    if keep is None:
+        return reader(headers_only)
+    heads = reader(True).join(keep, [c for c in ("file", "tracen") if c in keep.columns], "left_semi")
+    if headers_only:
+        return heads
+    if not (dims or extras or options.get("layout")):
+        heads = heads.select("file", "tracen")
+    endian, (first, last) = options.get("endian", "big"), sample_range(options)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The samples of the kept traces only."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = pa.Table.from_batches([batch.slice(at, 1000)]).sort_by([("file", "ascending"), ("tracen", "ascending")])
+                names = np.array(part.column("file").to_pylist())
+                for name in dict.fromkeys(names.tolist()):
+                    own, h = part.filter(pa.array(names == name)), head(name, endian)
+                    lists = sample_lists(h, mapped(h), own.column("tracen").to_numpy(), first, last, endian)
+                    yield from own.append_column("samples", lists).combine_chunks().to_batches()
+
+    return heads.mapInArrow(fetch, StructType([*heads.schema.fields, StructField("samples", ArrayType(FloatType()))]))
+
+
+def read_headers(spark: SparkSession, path: str, traces: int | None = None, names: list[str | int] | None = None, **options) -> DataFrame:
+    """Trace headers: all 91 fields, or those given by name or first byte, of all traces or the first ``traces``."""
+    check_bytes([n for n in names or [] if isinstance(n, int)])
+    names = [TRACE_FIELDS[n][0] if isinstance(n, int) else n for n in names or []]
+    check_names(names)
     if traces is not None and not isinstance(traces, int):
         raise ValueError("the number of traces must be an integer")
     first = [("tracen", "<", traces)] if traces and traces > 0 else None
@@ -281,8 +328,12 @@ def read_headers(spark: SparkSession, path: str, traces: int | None = None, name
 
 
 def read_meta(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A row a file: what ``segy_meta`` has, with the smallest delay (ns0) and the median coordinate scalar of all its traces."""
     register(spark)
-    return spark.read.format("segy_meta").options(**options).load(path)
+    meta = spark.read.format("segy_meta").options(**options).load(path)
+    heads = read_headers(spark, path, names=["DelayRecordingTime", "SourceGroupScalar"], **options)
+    sums = heads.groupBy("file").agg(F.min("DelayRecordingTime").cast("double").alias("ns0"), F.median("SourceGroupScalar").alias("coord_scalar"))
+    return meta.join(sums, "file", "left").fillna(0.0, ["ns0", "coord_scalar"])
 
 
 def write_traces(traces: DataFrame, path: str, dims: dict[str, int], extras: dict[str, int] | None = None, ns0: float = 0.0, dt: float = 1.0, dead=None, coord_scalar: float | None = None, scaled: tuple[str, ...] = (), text: dict[int, str] | list[str] | None = None, overwrite: bool = True, sample_format: int = 1, endian: str = "big", system: int = 1) -> int:

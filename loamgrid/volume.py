@@ -48,14 +48,16 @@ class Volume:
     def open_segy(cls, spark: SparkSession, path: str, dims: dict[str, int], extras: dict[str, int] | None = None, check: bool = True, **options) -> Volume:
         """Traces of SEG-Y files on the dimensions whose header bytes are given."""
         meta = segy.read_meta(spark, path, **{k: v for k, v in options.items() if k == "endian"})
-        m = meta.agg(F.min("ns0").alias("ns0"), F.min("dt").alias("dt"), F.max("dt").alias("dt_high"), F.min("units").alias("units"), F.median("coord_scalar").alias("coord_scalar"), F.first("text").alias("text")).first()
+        m = meta.agg(F.min("ns0").alias("ns0"), F.min("dt").alias("dt"), F.max("dt").alias("dt_high"), F.min("units").alias("units"), F.first("text").alias("text")).first()
+        heads = segy.read_headers(spark, path, names=["SourceGroupScalar"], **{k: v for k, v in options.items() if k == "endian"})
+        coord_scalar = float(heads.agg(F.median("SourceGroupScalar")).first()[0] or 0)  # over the traces of all files
         if m["dt"] != m["dt_high"]:
             raise ValueError("the files' sample intervals differ")
         source = Source(path, dims, extras or {}, options)
         if check:
             grid.check_unique(segy.read_traces(spark, path, dims, headers_only=True, **{k: v for k, v in options.items() if k == "endian"}), list(dims))
         first = int(options.get("first", 0))
-        return cls(source.read(spark), tuple(dims), m["ns0"] + first * m["dt"], m["dt"], attrs={"units": m["units"], "coord_scalar": m["coord_scalar"], "text": m["text"], "bytes": dims | (extras or {})}, source=source)
+        return cls(source.read(spark), tuple(dims), m["ns0"] + first * m["dt"], m["dt"], attrs={"units": m["units"], "coord_scalar": coord_scalar, "text": m["text"], "bytes": dims | (extras or {})}, source=source)
 
     @classmethod
     def blank(cls, spark: SparkSession, axes: dict[str, list | tuple], ns: int, ns0: float = 0.0, dt: float = 1.0, domain: str = "TWT", units: str | None = None, value: float | None = None) -> Volume:
@@ -203,6 +205,8 @@ class Volume:
         return self.with_traces(self.traces.drop(*self.coords).join(full, list(self.dims[:2])))
 
     def corner_points(self) -> DataFrame:
+        if "cdp" in self.dims:
+            return geometry.line_ends(self.traces, "cdp", self.coords)
         return geometry.corner_points(self.traces, self.dims[:2], self.coords)
 
     def xysel(self, points: DataFrame, method: str = "nearest") -> DataFrame:
@@ -225,6 +229,40 @@ class Volume:
     def assign(self, **columns: Column) -> Volume:
         return self.with_traces(self.traces.withColumns(columns))
 
+    def set_coords(self, x: str, y: str) -> Volume:
+        if missing := [c for c in (x, y) if c not in self.traces.columns]:
+            raise ValueError(f"columns {missing} are missing")
+        return replace(self, coords=(x, y))
+
+    def infer_coords(self, names: tuple[tuple[str, str], ...] = (("cdp_x", "cdp_y"), ("CDP_X", "CDP_Y"), ("SourceX", "SourceY"), ("x", "y"))) -> Volume:
+        """The first of the pairs of names that the columns have."""
+        for x, y in names:
+            if {x, y} <= set(self.traces.columns):
+                return self.set_coords(x, y)
+        raise ValueError("no pair of coordinate columns is known")
+
+    def set_dims(self, *dims: str, check: bool = True) -> Volume:
+        """Other dimensions, which must tell all traces apart."""
+        if missing := [d for d in dims if d not in self.traces.columns]:
+            raise ValueError(f"columns {missing} are missing")
+        if check:
+            grid.check_unique(self.traces, list(dims))
+        return replace(self, dims=tuple(dims), source=None)
+
+    def squeeze(self) -> Volume:
+        """Without the dimensions of one label, which stay as attributes."""
+        rows, single = grid.squeezed(self.traces, list(self.dims))
+        return self.with_traces(rows, dims=tuple(d for d in self.dims if d not in single), attrs=self.attrs | {"squeezed": single})
+
+    def expand_dims(self, **labels) -> Volume:
+        """With more dimensions, of one label each."""
+        return self.with_traces(self.traces.withColumns({d: F.lit(v) for d, v in labels.items()}), dims=(*self.dims, *labels))
+
+    def broadcast_like(self, other: Volume) -> Volume:
+        """Repeated along the other volume's dimensions that this one doesn't have."""
+        rows = grid.broadcast_like(self.traces, list(self.dims), other.traces, list(other.dims))
+        return self.with_traces(rows, dims=(*self.dims, *[d for d in other.dims if d not in self.dims]))
+
     def zeros_like(self) -> Volume:
         return self.with_traces(self.traces.withColumn("samples", F.transform("samples", lambda v: F.lit(0.0))))
 
