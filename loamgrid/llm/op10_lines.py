@@ -12,12 +12,14 @@ A run of lines repeats if it holds ``min_words`` words or more and the same
 lines stand elsewhere.  Every line of a run that also stands earlier (by
 doc_id, then place) is deleted, so the first copy of every maximal run stays.
 It is enough to compare the shortest runs of ``min_words`` words from each
-line on and up to each line: every longer run is made of them.
-
-Lines end at ``\\n`` and are compared byte by byte (by 64-bit hashes); words are
-runs of ASCII letters, digits, underscores and characters beyond ASCII.  Null
-texts count as empty.  Rows equal in doc_id and text count as one document and
-get the same result each; a null doc_id comes first.
+line on and up to each line: every longer run is made of them, so the intervals
+of those lengths are all that decides which lines of maximal runs go.
+
+Lines end at ``\\n`` and are told apart by two independent 64-bit hashes of their
+bytes; words are runs of ASCII letters, digits, underscores and characters beyond ASCII.  Null
+texts count as empty, and an empty table gives an empty result.  Very long texts
+are rows like others; a long line is one id.  Rows equal in doc_id and text count
+as one document and get the same result each; a null doc_id comes first.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def _shortest_runs(row: np.ndarray, words: np.ndarray, least: int) -> tuple[np.n
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     """A row a line: document key, doc_id, place, id, and the lengths of the shortest runs that begin there."""
     doc_type = dict(docs.dtypes)["doc_id"]
-    names = ["dk", "doc_id", "pos", "id", "runs"]
+    names = ["dk", "doc_id", "pos", "id", "id2", "runs"]
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.blocks(batches):
@@ -91,11 +93,11 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
             counts = np.bincount(begin, minlength=len(row)) if len(row) else np.zeros(0, dtype=np.int64)
             runs = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(length.astype(np.int32)))
             at = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-            ids = tb.Rolling(data).span(start, stop).view(np.int64) if len(row) else np.zeros(0, dtype=np.int64)
+            ids = [tb.Rolling(data, seed).span(start, stop).view(np.int64) if len(row) else np.zeros(0, dtype=np.int64) for seed in (0, 1)]
             where = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(at.astype(np.int32)), pa.array(ids), runs], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(at.astype(np.int32)), *map(pa.array, ids), runs], names=names)
 
-    return docs.select("dk", "doc_id", "text").mapInArrow(lines, f"dk long, doc_id {doc_type}, pos int, id long, runs array<int>")
+    return docs.select("dk", "doc_id", "text").mapInArrow(lines, f"dk long, doc_id {doc_type}, pos int, id long, id2 long, runs array<int>")
 
 
 def _ranked(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -110,7 +112,7 @@ def _ranked(rows: DataFrame, key: list[str]) -> DataFrame:
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """Document key, first line and number of lines of the shortest runs that also stand earlier."""
     place = ["dk", "doc_id", "pos"]
-    active = written(_ranked(lines, ["id"]).select(*place, "rank", "runs").dropDuplicates(["dk", "pos"]))
+    active = written(_ranked(lines, ["id", "id2"]).select(*place, "rank", "runs").dropDuplicates(["dk", "pos"]))
     found, level = [], 0
     while True:
         size = 1 << level
@@ -126,8 +128,9 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
             exact = exact.unionByName(wider)
         named = written(exact)
         key = ["lines", "rank", "rank2"]
-        first = named.groupBy(*key).agg(F.min(F.struct("doc_id", "dk", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        later = named.join(first, key).where(F.struct("doc_id", "dk", "pos") != F.col("first"))
+        first = named.groupBy(*key).agg(F.min(F.struct("doc_id", "dk", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        # written, so that the copies of a common run needn't meet in the task that has found its first
+        later = named.join(written(first), key).where(F.struct("doc_id", "dk", "pos") != F.col("first"))
         found.append(later.select("dk", "pos", "lines"))
         if need < 2 * size:
             break

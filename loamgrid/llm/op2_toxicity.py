@@ -16,7 +16,10 @@ Labels are learnt only from rows whose crc32 of doc_id, modulo 4, is not 2, and
 from about ``sample_rows`` of them, picked by a hash of doc_id.  Only the text
 of a row enters its score.
 
-Null and empty texts get the score of a text without any word of the lexicon.
+Null and empty texts get the score of a text without any word of the lexicon, and
+an empty table gives an empty result.  Very long texts are scored whole; parts of
+more than ``PIECE`` bytes without a blank are decoded in pieces of that size.
+Scores that tie with the threshold count as toxic.
 Without labels of both kinds every score is the share of toxic labels (0 if
 there are none).  Repeated rows give a row each; other columns are ignored.
 """
@@ -47,7 +50,9 @@ LEAST_TEXTS, LEAST_Z = 4, 4.5
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "#": "h"}
 #: Costs of the channel in nats: a sign for a letter, a separator or a repeated letter for nothing, any other sign for nothing.
 SIGN, SEPARATOR, REPEATED, NOISE = 1.0, 0.7, 0.5, 5.0
-CACHE_TOKENS = 200_000
+#: Cost of a space for a word's end in a run of letters set apart.
+WORD_END = 1.5
+CACHE_TOKENS, PIECE = 200_000, 256
 
 _CLASS = np.zeros(256, dtype=np.int64)  # letters 1 to 26, everything else 0
 _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
@@ -56,6 +61,8 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = _CLASS > 0
 _SIGN = np.zeros(256, dtype=bool)
 _SIGN[[ord(c) for c in LOOKS_LIKE]] = True
+_LAST_SIGN = _SIGN.copy()  # signs that seldom end a plain word
+_LAST_SIGN[[ord(c) for c in "!(<|+"]] = False
 
 
 # ---------------------------------------------------------------- character model
@@ -88,6 +95,8 @@ def restore(token: str, model: list) -> str:
             options.append((ord(c) - 96, 0.0))
         for letter in LOOKS_LIKE.get(c, ""):
             options.append((ord(letter) - 96, SIGN))
+        if c.isspace():
+            options.append((0, WORD_END))
         skip = None if "a" <= c <= "z" else (NOISE if c.isalnum() else SEPARATOR)
         after: dict[tuple[int, int], tuple] = {}
         for (a, b), (cost, path) in states.items():
@@ -95,7 +104,7 @@ def restore(token: str, model: list) -> str:
                 total = cost + extra - model[a][b][letter]
                 if (b, letter) not in after or total < after[b, letter][0]:
                     after[b, letter] = total, (letter, path)
-                if letter == b and (total := cost + extra + REPEATED) < after.get((a, b), (math.inf,))[0]:
+                if letter and letter == b and (total := cost + extra + REPEATED) < after.get((a, b), (math.inf,))[0]:
                     after[a, b] = total, path
             if skip is not None and cost + skip < after.get((a, b), (math.inf,))[0]:
                 after[a, b] = cost + skip, path
@@ -103,7 +112,7 @@ def restore(token: str, model: list) -> str:
     _, path = min(((cost - model[a][b][0], path) for (a, b), (cost, path) in states.items()), key=lambda x: x[0])
     letters = []
     while path:
-        letters.append(chr(96 + path[0]))
+        letters.append(chr(96 + path[0]) if path[0] else " ")
         path = path[1]
     return "".join(reversed(letters))
 
@@ -128,13 +137,14 @@ def obfuscated(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
     plain = np.concatenate([[0], np.cumsum(letter | (data >= 128))])
     middle = np.zeros(len(data), dtype=bool)
     middle[1:-1] = ~letter[1:-1] & (data[1:-1] < 128) & part[:-2] & part[2:]
+    middle[1:] |= _LAST_SIGN[data[1:]] & part[:-1]
     inner = np.concatenate([[0], np.cumsum(middle)])
-    triple = np.zeros(len(data), dtype=bool)
+    double = np.zeros(len(data), dtype=bool)
     low = tb.LOWER[data]
-    triple[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])
-    triples = np.concatenate([[0], np.cumsum(triple)])
+    double[1:] = letter[1:] & (low[1:] == low[:-1])
+    doubles = np.concatenate([[0], np.cumsum(double)])
     n_letters = letters[stop] - letters[start]
-    odd = (n_letters > 0) & ((inner[stop] - inner[start] > 0) | (triples[stop] - triples[start] > 0) | (_SIGN[data[start]] & (stop - start > 2)))
+    odd = (n_letters > 0) & ((inner[stop] - inner[start] > 0) | (doubles[stop] - doubles[start] > 0) | (_SIGN[data[start]] & (stop - start > 2)))
     odd &= (stop - start) > 2
     found = list(zip(start[odd].tolist(), stop[odd].tolist(), row[odd].tolist(), strict=True))
     # runs of three or more single letters or signs
@@ -164,7 +174,8 @@ class Restorer:
             if word is None:
                 if len(self.known) >= CACHE_TOKENS:
                     self.known.clear()
-                word = self.known[token] = restore(token.decode("utf-8", "replace"), self.model)
+                pieces = [token[i : i + PIECE].decode("utf-8", "replace") for i in range(0, len(token), PIECE)]
+                word = self.known[token] = "".join(restore(x, self.model) for x in pieces)
             if len(word) > 2:
                 rows[row].append(word)
         return pa.array([" ".join(x) for x in rows], pa.string())

@@ -88,8 +88,20 @@ def test_classes_are_connected_components(spark):
 # ---------------------------------------------------------------- toxicity
 def test_restoring_obfuscated_words(spark):
     model = op2_toxicity.character_model(spark.read.parquet(f"{SF}/documents.parquet"))
-    restored = [op2_toxicity.restore(w, model.tolist()) for w in ("m0r0n", "i d i o t", "stuuuupid", "p@thetic", "tr4sh")]
-    assert restored == ["moron", "idiot", "stupid", "pathetic", "trash"]
+    restored = [op2_toxicity.restore(w, model.tolist()) for w in ("m0r0n", "i d i o t", "stuuuupid", "p@thetic", "tr4sh", "mooron", "a m o r o n")]
+    assert restored == ["moron", "idiot", "stupid", "pathetic", "trash", "moron", "a moron"]
+
+
+def test_parts_that_may_be_obfuscated():
+    text = "plain words, (here) stay! but m0r0n mor0 a$$ mooron i d i o t and 2024 don't"
+    data, offsets = op2_toxicity.tb.text_bytes(pa.array([text]))
+    found = {text[a:b] for a, b, _ in op2_toxicity.obfuscated(data, offsets)}
+    assert {"m0r0n", "mor0", "a$$", "mooron", "i d i o t"} <= found and not found & {"plain", "words,", "stay!", "2024", "but"}
+
+
+def test_long_parts_are_decoded_in_pieces():
+    restorer = op2_toxicity.Restorer(np.zeros((27, 27, 27)))
+    assert restorer(*op2_toxicity.tb.text_bytes(pa.array(["a1" * 20_000])))[0].as_py()
 
 
 def brute_restore(token, model):
@@ -104,10 +116,11 @@ def brute_restore(token, model):
         c = token[i].lower()
         letters = [(c, 0.0)] if "a" <= c <= "z" else []
         letters += [(x, op2_toxicity.SIGN) for x in op2_toxicity.LOOKS_LIKE.get(c, "")]
+        letters += [("`", op2_toxicity.WORD_END)] * (c == " ")
         for x, extra in letters:
             n = ord(x) - 96
             go(i + 1, b, n, cost + extra - model[a][b][n], word + x)
-            if n == b:
+            if n and n == b:
                 go(i + 1, a, b, cost + extra + op2_toxicity.REPEATED, word)
         if not "a" <= c <= "z":
             go(i + 1, a, b, cost + (op2_toxicity.NOISE if c.isalnum() else op2_toxicity.SEPARATOR), word)
@@ -120,15 +133,16 @@ def test_viterbi_finds_the_best_reading(spark):
     model = op2_toxicity.character_model(spark.read.parquet(f"{SF}/documents.parquet")).tolist()
     rng = random.Random(4)
     for _ in range(60):
-        token = "".join(rng.choice("aeenst1034$.-") for _ in range(rng.randint(1, 7)))
-        assert op2_toxicity.restore(token, model) == brute_restore(token, model)
+        token = "".join(rng.choice("aeenst1034$.- ") for _ in range(rng.randint(1, 7)))
+        assert op2_toxicity.restore(token, model) == brute_restore(token, model).replace("`", " ")
 
 
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = op2_toxicity.fit(docs, labels)
     scored = op2_toxicity.toxicity(docs, model).join(labels, "doc_id").where("crc32(cast(doc_id AS string)) % 4 = 2").select("_predicted", "toxic").collect()
-    assert sum(r["_predicted"] == r["toxic"] for r in scored) / len(scored) > 0.85
+    hit = sum(r["_predicted"] and r["toxic"] for r in scored)
+    assert hit >= 0.6 * sum(r["toxic"] for r in scored) and hit >= 0.9 * sum(r["_predicted"] for r in scored)
     extra = [(900, "you are a moron and an idiot"), (901, "y0u are a m0r0n and an 1diot, w.o.r.t.h.l.e.s.s and pathetic")]
     edge = {r["doc_id"]: r for r in op2_toxicity.toxicity(documents(spark, EDGE + extra, more=True), model).collect()}
     assert edge[1]["_score"] == edge[2]["_score"] == edge[3]["_score"]
