@@ -205,10 +205,12 @@ def _candidates(table: DataFrame) -> DataFrame:
     """
     nodes = table.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"))
     members = written(nodes.select(F.explode("bands").alias("key"), "node", "size"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # sums are written, so that the members of a large group needn't meet in the task that has made its sum
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     grouped = written(members.join(sizes, "key"))
     weights = grouped.groupBy("node").agg(F.sum("n").alias("weight"))
     best = grouped.select("key", "node").join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best"))
+    best = written(best)
     return grouped.join(best.select("key", F.col("best.node").alias("hub")), "key").where("node <> hub").select("key", "node", "size", "hub")
 
 
