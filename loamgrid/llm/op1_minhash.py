@@ -380,7 +380,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     table = written(sketches(docs, idf))
     edges = written(links(docs, table, idf, least))
     degree = edges.select("node").union(edges.select("hub")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = components(edges).join(degree, "node")
+    # written, so that copies of one text needn't meet in the task that has summed its links
+    classes = written(components(edges).join(degree, "node"))
     rows = table.select("doc_id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     rows = written(rows.select("doc_id", "class", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
     # written, so that rows of a large class needn't meet in the task that has summed it
