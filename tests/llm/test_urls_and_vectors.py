@@ -8,6 +8,8 @@ import numpy as np
 
 from loamgrid.llm import op3_urls, op4_nearest
 
+from ..oracle import connection
+
 
 def split_brute(label, counts, total):
     best = (math.inf, [])
@@ -138,3 +140,33 @@ def test_bounds_hold():
     estimate = (q.astype(float) @ q.astype(float).T) * scale[:, None] * scale[None, :]
     bound = (total[:, None] + total[None, :] + 8) * scale[:, None] * scale[None, :] / 2
     assert (np.abs(estimate - x @ x.T) <= bound + 1e-12).all()
+
+
+def test_blocks_of_several_tiles(monkeypatch):
+    monkeypatch.setattr(op4_nearest, "QUERY_TILE", 7)
+    monkeypatch.setattr(op4_nearest, "CANDIDATE_TILE", 11)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 6))
+    x[40:80] = x[3]  # a cluster that no code tells apart, with one vector a little off
+    x[60, 0] += 1e-4
+    rows = [(i, list(v)) for i, v in enumerate(x)]
+    side = op4_nearest.Side.of(np.arange(120), x)
+    q = op4_nearest.Side.of(np.array([0, 50, 100]), x[[0, 50, 100]])
+    found = [[a.tolist() for a in part] for part in op4_nearest.nearest_in_blocks(q, side, 5)]
+    best = {}
+    for at, ids, scores in found:
+        for a, i, s in zip(at, ids, scores, strict=True):
+            best.setdefault(a, []).append((-round(s, 12), i))
+    assert sorted((a, n + 1, i) for a, r in best.items() for n, (_, i) in enumerate(sorted(r))) == nearest_brute(rows, 5)
+
+
+def test_nearest_query_against_sql(spark):
+    con = connection("/root/testdata/sf0.01")
+    sql = """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p
+        QUALIFY rank <= 5"""
+    want = {(q, r): (v, s) for q, r, v, s in con.execute(sql).fetchall()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in op4_nearest.query(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and math.isclose(got[x][1], want[x][1], abs_tol=1e-12) for x in want)
