@@ -57,7 +57,10 @@ class Codec:
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.names = [x.encode() for x in names]
+        #: All tokens with a space after each, one after another, and where they begin and how long they are.
+        self.names = np.frombuffer("".join(f"{x} " for x in names).encode(), dtype=np.uint8)
+        self.name_sizes = np.array([len(x.encode()) + 1 for x in names], dtype=np.int32)
+        self.name_starts = (np.cumsum(self.name_sizes) - self.name_sizes).astype(np.int32)
         #: Whether a token ends a word, and the characters that it stands for if they are ASCII.
         self.ends = np.array([x.endswith("</w>") for x in names])
         self.sizes = np.array([len(x.removesuffix("</w>")) for x in names])
@@ -89,7 +92,7 @@ class Codec:
         mark after it is put together from the two.
         """
         known = self.ids
-        new = [w for w in words if w not in known]
+        new = list(words.difference(known))
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
             new = list(words)
@@ -111,9 +114,14 @@ class Codec:
         Spaces and newlines always part tokens and are dropped, so words between them are encoded once.
         """
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        self.learn({w for x in split for w in x})
+        self.learn(set().union(*split))
         coded = [b"".join(map(self.ids.__getitem__, x)) for x in split]
-        return [(x, self.decode(np.frombuffer(x, dtype="<u4"))) for x in coded]
+        ids = np.frombuffer(b"".join(coded), dtype="<u4")
+        decoded = self.spaced(ids)
+        after = np.concatenate([[0], np.cumsum(self.name_sizes[ids], dtype=np.int64)])
+        at = after[np.cumsum([0, *[len(x) // 4 for x in coded]])].tolist()
+        # each text but for its last space
+        return [(x, decoded[i : max(i, j - 1)]) for x, i, j in zip(coded, at, at[1:], strict=False)]
 
     def tokens_by_word(self, text: str) -> np.ndarray:
         """The same as tokens(), from the tokens of the text's words."""
@@ -132,8 +140,18 @@ class Codec:
                 rows[firsts[i] : firsts[i] + counts[i], 1:] = np.array(e.offsets) + starts[i]
         return rows
 
+    def spaced(self, ids: np.ndarray) -> bytes:
+        """The tokens' characters with a space after each token, gathered in slices of bounded memory."""
+        out = []
+        for i in range(0, len(ids), 1 << 18):
+            part = ids[i : i + (1 << 18)]
+            sizes = self.name_sizes[part]
+            stops = np.cumsum(sizes, dtype=np.int32)
+            out.append(self.names[np.repeat(self.name_starts[part] - (stops - sizes), sizes) + np.arange(stops[-1], dtype=np.int32)].tobytes())
+        return b"".join(out)
+
     def decode(self, ids: np.ndarray) -> bytes:
-        return b" ".join(map(self.names.__getitem__, ids.tolist()))
+        return self.spaced(ids)[:-1]
 
     def tokens(self, text: str) -> np.ndarray:
         """Rows of id, first character and end of each token."""
@@ -244,7 +262,9 @@ def bpe(docs: DataFrame, vocabulary: str = VOCABULARY, segment_chars: int = SEGM
     short = rows.where(F.length("text") <= segment_chars).mapInArrow(whole, schema)
     cut = F.expr(f"transform(sequence(0, cast((length(text) - 1) div {segment_chars} as int)), i -> substring(text, i * {segment_chars} + 1, {segment_chars}))")
     long = rows.where(F.length("text") > segment_chars).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(cut).alias("part_no", "part"))
-    long = long.repartition(F.xxhash64("doc_id", "text_hash", "part_no"))
+    # few bytes of text are much work, so the segments aren't merged into fewer tasks
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = long.repartition(tasks, F.xxhash64("doc_id", "text_hash", "part_no"))
     long = long.mapInArrow(parts, f"doc_id {doc_type}, text_hash long, part_no int, part string, tokens binary")
     return short.unionByName(long.groupBy("doc_id", "text_hash").applyInPandas(joined, schema))
 
