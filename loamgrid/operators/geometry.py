@@ -204,6 +204,25 @@ def select_xy(traces: DataFrame, points: DataFrame, affine: Affine, axes: tuple[
     return at.select("point", "x", "y").join(packed, "point", "left").select("point", "x", "y", *carry, samples)
 
 
+def regridded(traces: DataFrame, cells: DataFrame, affine: Affine, axes: tuple[Axis, Axis], dims: tuple[str, str] = ("iline", "xline"), xy: tuple[str, str] = ("cdp_x", "cdp_y"), method: str = "linear", samples: str = "samples", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The traces on another survey: a row for each pair of labels of ``cells``, at the mean of its coordinates.
+
+    Cells without coordinates, outside the grid or next to a missing trace have null samples.  ``affine`` and ``axes``
+    are those of the traces; the labels and coordinates of the result are those of the cells.
+    """
+    places = cells.groupBy(*dims).agg(*[F.avg(c).alias(c) for c in xy])
+    points = places.select(F.struct(*dims).alias("point"), F.col(xy[0]).alias("x"), F.col(xy[1]).alias("y"))
+    found = select_xy(traces, points, affine, axes, dims, method, samples, carry)
+    return found.select("point.*", F.col("x").alias(xy[0]), F.col("y").alias(xy[1]), *carry, samples)
+
+
+def interpolated_labels(traces: DataFrame, labels: DataFrame, axes: tuple[Axis, Axis], dims: tuple[str, str] = ("iline", "xline"), method: str = "linear", samples: str = "samples", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The traces at other labels of two dimensions, which may lie between those that are there: a row for each pair."""
+    cells = labels.select(*dims, *[F.col(d).cast("double").alias(f"_at_{d}") for d in dims])
+    at = tuple(f"_at_{d}" for d in dims)
+    return regridded(traces, cells, Affine(1.0, 0.0, 0.0, 1.0, 0.0, 0.0), axes, dims, at, method, samples, carry).drop(*at)
+
+
 def interpolated_line(traces: DataFrame, path: DataFrame, spacing: float, affine: Affine, axes: tuple[Axis, Axis], order: str = "seq", method: str = "linear", **more) -> DataFrame:
     """Traces at equal distances along a polyline of columns seq, x and y."""
     stations = uniform_spacing(path, spacing, order, ["x", "y"]).withColumnRenamed("station", "point")

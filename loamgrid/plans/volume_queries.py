@@ -294,6 +294,28 @@ def xysel_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("point", F.posexplode_outer("samples").alias("k", "v")).select("point", "k", r6("v").alias("v"))
 
 
+CELLS = POINTS.replace("CAST(g AS INTEGER) AS point, round(g * 0.37e0 - 0.4e0, 9) AS p, round(g * 0.83e0 + 0.6e0 - 1, 9) AS q FROM range(40) t(g)", "tracen AS point, {p} AS p, {q} - 1 AS q FROM blk")
+TOTALS = " SELECT b.iline, b.xline, round(sum(l.v), 6) + 0 AS total FROM blk b LEFT JOIN lin l ON l.point = b.tracen GROUP BY 1, 2"
+
+
+@query(B + CELLS.format(p="iline + 0.25e0", q="(xline * 0.5e0 + 0.75e0)") + BILINEAR + TOTALS)
+def survey_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume at the cells of a survey of its labels that lies a quarter inline on and has crosslines half as wide."""
+    rows = views.block(spark, sf_dir)
+    x, y = TRUE_AFFINE.forward(F.col("iline") + 0.25, F.col("xline") * 0.5 + 0.75)
+    other = rows.select("iline", "xline", x.alias("x"), y.alias("y"))
+    found = geometry.regridded(rows, other, geometry.affine_of(rows, xy=views.XY), _axes(rows), xy=views.XY)
+    return found.select("iline", "xline", r6(F.when(F.col("samples").isNotNull(), traces.total(F.col("samples")))).alias("total"))
+
+
+@query(B + CELLS.format(p="CAST(iline AS DOUBLE)", q="(xline + 0.5e0)") + BILINEAR + TOTALS.replace("b.xline,", "b.xline + 0.5e0 AS xline,"))
+def interp_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume at the midpoints between its crosslines."""
+    rows = views.volume(spark, sf_dir)
+    found = geometry.interpolated_labels(rows, rows.select("iline", (F.col("xline") + 0.5).alias("xline")), _axes(rows))
+    return found.select("iline", "xline", r6(F.when(F.col("samples").isNotNull(), traces.total(F.col("samples")))).alias("total"))
+
+
 @query(B + POINTS.replace("g * 0.37e0 - 0.4e0", "g * 0.2e0").replace("g * 0.83e0 + 0.6e0 - 1", "g * 0.5e0").replace("range(40)", "range(41)") + BILINEAR + " SELECT i.point, l.k, round(l.v, 6) + 0 AS v FROM ins i LEFT JOIN lin l ON l.point = i.point")
 def interp_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces at 41 places along a straight line across the block."""

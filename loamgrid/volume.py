@@ -212,6 +212,22 @@ class Volume:
     def xysel(self, points: DataFrame, method: str = "nearest") -> DataFrame:
         return geometry.select_xy(self.traces, points, self.affine(), self.axes(), self.dims[:2], method, carry=self.dims[2:])
 
+    def regrid_on(self, other: Volume, method: str = "linear") -> Volume:
+        """These traces at the cells of another survey, by its labels."""
+        cells = geometry.coordinates(other.traces, other.dims[:2], other.coords).toDF(*self.dims[:2], *self.coords)
+        return self.with_traces(geometry.regridded(self.traces, cells, self.affine(), self.axes(), self.dims[:2], self.coords, method, carry=self.dims[2:]))
+
+    def interp_like(self, other: Volume, method: str = "linear") -> Volume:
+        """These traces at the labels of another volume, between those that are there, and on its vertical axis; coordinates are left behind."""
+        n = other.traces.agg(F.max(F.size("samples"))).first()[0] or 1
+        rows = geometry.interpolated_labels(self.traces, other.traces.select(*other.dims[:2]).toDF(*self.dims[:2]), self.axes(), self.dims[:2], method, carry=self.dims[2:])
+        at = traces.axis(other.ns0, other.dt, n)
+        if method == "nearest":
+            on_axis = F.transform(at, lambda z: traces.at_nearest(F.col("samples"), z, self.ns0, self.dt))
+        else:
+            on_axis = traces.resampled(F.col("samples"), at, self.ns0, self.dt)
+        return self.with_traces(rows.withColumn("samples", F.when(F.col("samples").isNotNull(), on_axis)), ns0=other.ns0, dt=other.dt)
+
     def interp_line(self, path: DataFrame, spacing: float = 10.0, method: str = "linear") -> DataFrame:
         return geometry.interpolated_line(self.traces, path, spacing, self.affine(), self.axes(), dims=self.dims[:2], method=method, carry=self.dims[2:])
 

@@ -354,6 +354,32 @@ def test_volume(spark, tmp_path):
     assert v.zeros_like().dead_traces(zeros=True).where("dead").count() == 100
 
 
+def test_volumes_on_other_grids(spark):
+    rows = survey(spark)
+    v = Volume(rows, ("iline", "xline"), 0.0, 2.0)
+    x, y = geometry.affine_of(rows).forward(F.col("a") + 0.5, F.col("b") + 0.25)
+    cells = spark.createDataFrame([(1, 11), (9, 19), (10, 11), (4, 30), (2, 12)] * 2, "a int, b int").withColumns({"x": x, "y": y})
+    cells = cells.withColumns({c: F.when(F.col("a") != 2, F.col(c)) for c in "xy"})
+    on = v.regrid_on(Volume(cells.where("a <> 2"), ("a", "b"), coords=("x", "y")))
+    got = {(r["iline"], r["xline"]): r["samples"] for r in on.traces.collect()}
+    assert len(got) == 4 and got[10, 11] is None and got[4, 30] is None
+    first = {(r["iline"], r["xline"]): r["samples"][0] for r in rows.collect()}
+    want = lambda i, j: 0.5 * (0.75 * first[i, j] + 0.25 * first[i, j + 1]) + 0.5 * (0.75 * first[i + 1, j] + 0.25 * first[i + 1, j + 1])
+    assert got[1, 11][0] == pytest.approx(want(1, 11)) and got[9, 19][0] == pytest.approx(want(9, 19))
+    # cells without coordinates and repeated ones
+    axes = v.axes()
+    renamed = rows.withColumnsRenamed({"iline": "a", "xline": "b"})
+    plain = {(r["a"], r["b"]): r["samples"] for r in geometry.regridded(renamed, cells, v.affine(), axes, ("a", "b"), ("x", "y")).collect()}
+    assert plain[2, 12] is None and plain[1, 11][0] == pytest.approx(want(1, 11))
+    other = Volume(spark.createDataFrame([(1.5, 11.0, [0.0] * 3), (10.0, 20.0, [0.0] * 2), (0.0, 11.0, [0.0])], "i double, x double, samples array<double>"), ("i", "x"), 1.0, 3.0)
+    like = v.interp_like(other)
+    found = {(r["iline"], r["xline"]): r["samples"] for r in like.traces.collect()}
+    assert like.ns0 == 1.0 and like.dt == 3.0 and found[0.0, 11.0] is None
+    there = [r["samples"] for r in rows.where("iline IN (1, 2) AND xline = 11").collect()]
+    assert found[1.5, 11.0] == pytest.approx([np.interp(z / 2, range(len(there[0])), np.mean(there, axis=0)) for z in (1.0, 4.0, 7.0)])
+    assert v.interp_like(other, "nearest").traces.count() == 3
+
+
 def test_command_line(spark, tmp_path, capsys):
     path, out = str(tmp_path / "in.sgy"), str(tmp_path / "out.sgy")
     segy.write_traces(survey(spark), path, DIMS, EXTRAS)
