@@ -3,8 +3,8 @@
 Each stage works on all documents that its predecessor kept.  The first four
 return the columns of ``documents``: the first drops toxic documents, the second
 deletes repeated runs of lines (and documents of which nothing is left), the
-third keeps one document of each class of near-duplicates, the fourth repeats
-documents by their mixing rates (with the default targets no domain shrinks).
+third keeps one document of each class of near-duplicates, the fourth repeats or drops
+documents by their mixing rates.
 The last one returns the token digests of what is left.
 """
 
