@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_minhash, op2_toxicity, op3_urls, op4_nearest, op5_mixing, op6_bpe, op7_exact, op8_suffixes, op9_counts, op10_lines, op12_licenses, op13_divergence
+from . import op1_minhash, op2_toxicity, op3_urls, op4_nearest, op5_mixing, op6_bpe, op7_exact, op8_suffixes, op9_counts, op10_lines, op11_alignment, op12_licenses, op13_divergence
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffixes.query,
         "op9_token_counts": op9_counts.query,
         "op10_line_dedup": op10_lines.query,
+        "op11_tokenizer_alignment": op11_alignment.query,
         "op12_license_scan": op12_licenses.query,
         "op13_source_divergence": op13_divergence.query,
     }
