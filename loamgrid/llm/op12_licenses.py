@@ -41,6 +41,7 @@ SHIFT, COVER, DENSE = 8, 0.6, 0.5
 #: Places of templates that are broadcast; more are joined by a shuffle.
 BROADCAST = 1 << 17
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OTHERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases and labels, and the words by which licenses are granted.
@@ -93,27 +94,30 @@ def places(base: list[tuple[str, str]], texts: list[tuple[str, str]]) -> list[Pl
     return found
 
 
-def _grams(words: Column, k: int) -> Column:
-    """The k-gram from each word on; null where the text ends before it does."""
-
-    def gram(word: Column, i: Column) -> Column:
-        return F.concat(word, *[x for j in range(1, k) for x in (F.lit(" "), F.get(words, i + j))])
-
-    return F.transform(words, gram)
-
-
 def hits(docs: DataFrame, templates: list[Place]) -> DataFrame:
     """A row for each k-gram of a document that a template holds, and at least one row (maybe without a template) a document."""
-    table = docs.sparkSession.createDataFrame(templates, "gram string, template int, label string, base boolean, tpos int, k int, size int")
-    table = table.withColumn("hash", F.xxhash64("gram"))
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
-    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
-    grams = words.select("doc_id", "row", F.size("words").alias("n_words"), F.posexplode_outer(F.concat(_grams(F.col("words"), PAIR), _grams(F.col("words"), GRAM))).alias("place", "gram"))
-    grams = grams.select("doc_id", "row", "n_words", "place", "gram", F.xxhash64("gram").alias("hash"))
-    found = grams.join(F.broadcast(table) if len(templates) <= BROADCAST else table, ["hash", "gram"], "left")
-    found = found.where(F.col("template").isNotNull() | F.coalesce(F.col("place") == 0, F.lit(True)))
-    at = F.col("place") - F.when(F.col("k") == GRAM, F.col("n_words")).otherwise(0)
-    return found.select("doc_id", "row", "n_words", "template", "label", "base", "k", "size", "tpos", at.alias("at"))
+    # lower() changes characters beyond ASCII too, of which only the Kelvin sign becomes an ASCII letter
+    text = F.lower(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\u212b")))
+    spaced = F.trim(F.regexp_replace(text, OTHERS, " "))
+    # at each word the GRAM words from it on, or as many as there are
+    grams = F.regexp_extract_all(spaced, F.lit(rf"(?=([^ ]+(?: [^ ]+){{0,{GRAM - 1}}}))[^ ]+ ?"), F.lit(1))
+    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), grams.alias("grams"))
+    rows = words.select("doc_id", "row", F.size("grams").alias("n_words"), F.posexplode_outer("grams").alias("at", "gram"))
+    rows = rows.withColumn(f"gram{PAIR}", F.substring_index("gram", " ", PAIR)).withColumnRenamed("gram", f"gram{GRAM}")
+    for k in (PAIR, GRAM):
+        own = docs.sparkSession.createDataFrame([p for p in templates if p.k == k], "gram string, template int, label string, base boolean, tpos int, k int, size int")
+        # the places of a hash, so that a k-gram stays one row until it has been found
+        own = own.groupBy(F.xxhash64("gram").alias(f"hash{k}")).agg(F.collect_list(F.struct(*own.columns)).alias(f"places{k}"))
+        rows = rows.withColumn(f"hash{k}", F.xxhash64(f"gram{k}")).join(F.broadcast(own) if len(templates) <= BROADCAST else own, f"hash{k}", "left")
+    met = F.col(f"places{PAIR}").isNotNull() | F.col(f"places{GRAM}").isNotNull()
+    found = rows.where(met | F.coalesce(F.col("at") == 0, F.lit(True)))
+
+    def same(k: int) -> Column:
+        """The places whose words, not their hash alone, are those of the k-gram."""
+        return F.coalesce(F.filter(f"places{k}", lambda p: p["gram"] == F.col(f"gram{k}")), F.array())
+
+    found = found.select("doc_id", "row", "n_words", "at", F.explode_outer(F.concat(same(PAIR), same(GRAM))).alias("p"))
+    return found.select("doc_id", "row", "n_words", *[f"p.{c}" for c in ("template", "label", "base", "k", "size", "tpos")], "at")
 
 
 def spans(found: DataFrame) -> DataFrame:
