@@ -8,15 +8,14 @@ bytes.  Links are found again wherever they are needed by expanding a component'
 members, as their bytes are known from their ids.
 
 Both tokenizers part tokens at a space between a character that isn't blank
-and a letter, so a text is cut there into words, and equal words of a
-block are encoded and grouped once.  A word's key is the text of its groups, which
-also makes up the digest.  A task writes, for each block of texts, the results of
-its texts and the places of its different words; Spark sums each word over all
-blocks, expands the different words to links and sums these by their pair of ids.
-Counts then go back over the same ways: from pairs to different words, from those
-to the blocks that hold them, and there to the texts.  A word is a row a block at
-most, so words of any frequency are spread over many rows; joins are of tables
-that grow with the input, and Spark splits partitions that are too large.
+and a letter, so a text is cut there into words, and equal words of a block of
+texts are encoded and grouped once.  A task writes for each block a row a text, a
+row a different pair of linked ids with its number of links there, and one row
+that packs which words each text holds and which pairs each word.  Spark sums the
+pairs over all blocks and joins the sums to each block's pairs; these meet the
+texts of their block again in a task of that block's size, which adds them up by
+word and by text.  A pair is one row a block at most, so pairs of any frequency are
+spread over as many rows as there are blocks, and no table is sent to all tasks.
 
 Null and empty texts, and texts that either tokenizer doesn't give back byte by
 byte, have no tokens: zeros and an empty digest.  Very long texts are blocks of
@@ -29,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import small_batches, written
+from .shared import shared_folder, small_batches, written
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text whose different words are put together in a task.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text whose different words and pairs are put together in a task, and bytes of words that are encoded at a time.
+BLOCK_BYTES, ENCODED_BYTES = 8 << 20, 1 << 18
 #: Words, and bytes of a word, that a Python worker remembers.
-CACHE_WORDS, CACHE_BYTES = 300_000, 64
+CACHE_WORDS, CACHE_BYTES = 150_000, 64
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -74,6 +74,16 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Word(NamedTuple):
+    """A word's groups as text, its numbers of A tokens, B tokens and groups, and the pairs of ids of its links (8 bytes each)."""
+
+    key: str
+    n_a: int
+    n_b: int
+    n_groups: int
+    pairs: bytes
+
+
 class Pair:
     """Two tokenizers."""
 
@@ -93,52 +103,67 @@ class Pair:
         self.a = Side([bytes(of.get(c, 63) for c in name) for name in names])
         pieces = [(i, self.second.id_to_piece(i)) for i in range(self.second.get_piece_size())]
         self.b = Side([bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces])
-        self.known: dict[str, tuple[str, int, int, int] | None] = {}
+        self.known: dict[str, Word | None] = {}
 
     def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of words, each of which begins with a space."""
         first = [e.ids for e in self.first.encode_batch_fast(words, add_special_tokens=False)]
         return first, self.second.encode([w[1:] for w in words], num_threads=1)
 
-    def words(self, words: list[str]) -> list[tuple[str, int, int, int] | None]:
-        """For each word its groups as text, and the numbers of A tokens, B tokens and groups; None where bytes differ."""
-        new = [w for w in words if w not in self.known]
-        found = {}
+    def words(self, words: list[str]) -> list[Word | None]:
+        """What is to be known of each word; None where bytes differ."""
+        out = [self.known.get(w, 0) for w in words]
+        new = [i for i, x in enumerate(out) if x == 0]
         at = 0
         while at < len(new):  # in bounded parts
             stop, size = at, 0
-            while stop < len(new) and (size < 1 << 20 or stop == at):
-                size += len(new[stop])
+            while stop < len(new) and (size < ENCODED_BYTES or stop == at):
+                size += len(words[new[stop]])
                 stop += 1
-            found.update(zip(new[at:stop], self._new(new[at:stop]), strict=True))
+            part = [words[i] for i in new[at:stop]]
+            for i, w, x in zip(new[at:stop], part, self._new(part), strict=True):
+                out[i] = x
+                if len(self.known) < CACHE_WORDS and len(w) <= CACHE_BYTES:
+                    self.known[w] = x
             at = stop
-        out = [found[w] if w in found else self.known[w] for w in words]
-        if len(self.known) + len(found) > CACHE_WORDS:
-            self.known.clear()
-        if len(found) <= CACHE_WORDS:
-            self.known.update((w, x) for w, x in found.items() if len(w) <= CACHE_BYTES)
         return out
 
-    def _new(self, words: list[str]) -> list[tuple[str, int, int, int] | None]:
+    def _whole(self, side: Side, ids: np.ndarray, n: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which words are spelt by their tokens; n tokens and ``sizes`` bytes a word."""
+        word = np.repeat(np.arange(len(n)), n)
+        good = np.bincount(word, weights=side.sizes[ids], minlength=len(n)) == sizes
+        mine = raw[np.repeat(good, sizes)]
+        wrong = side.spell(ids[good[word]]) != mine
+        if wrong.any():
+            good[np.repeat(np.flatnonzero(good), sizes[good])[wrong]] = False
+        return good
+
+    def _new(self, words: list[str]) -> list[Word | None]:
         lists = self.encode(words)
-        raw = [w.encode() for w in words]
-        good = []
-        for i, (x, y, z) in enumerate(zip(*lists, raw, strict=True)):
-            if self.a.spell(np.array(x, dtype=np.int64)).tobytes() == z and self.b.spell(np.array(y, dtype=np.int64)).tobytes() == z:
-                good.append(i)
-        out: list[tuple[str, int, int, int] | None] = [None] * len(words)
-        ids = [np.array([t for i in good for t in side[i]], dtype=np.int64) for side in lists]
-        if not good:
+        coded = [w.encode() for w in words]
+        sizes, raw = np.array([len(x) for x in coded], dtype=np.int64), np.frombuffer(b"".join(coded), dtype=np.uint8)
+        n = [np.array([len(x) for x in side], dtype=np.int64) for side in lists]
+        ids = [np.fromiter((t for x in side for t in x), dtype=np.int64, count=int(k.sum())) for side, k in zip(lists, n, strict=True)]
+        good = self._whole(self.a, ids[0], n[0], raw, sizes) & self._whole(self.b, ids[1], n[1], raw, sizes)
+        out: list[Word | None] = [None] * len(words)
+        if not good.any():
             return out
-        n = [np.array([len(side[i]) for i in good]) for side in lists]
-        groups = group(self.a.sizes[ids[0]], self.b.sizes[ids[1]])
-        keys, ends = group_text(ids, groups)
+        ids = [x[np.repeat(good, k)] for x, k in zip(ids, n, strict=True)]
+        n = [k[good] for k in n]
+        sizes = [side.sizes[x] for side, x in zip((self.a, self.b), ids, strict=True)]
+        groups = group(*sizes)
+        text, ends = group_text(ids, groups)
         # a word's groups end with its last A token
         last = groups[0][np.cumsum(n[0]) - 1]
-        n_groups = np.diff(np.concatenate([[-1], last]))
+        n_groups = np.diff(np.concatenate([[-1], last])).tolist()
         stop = ends[last]
-        for k, (i, a, b, g, lo, hi) in enumerate(zip(good, n[0].tolist(), n[1].tolist(), n_groups.tolist(), [0, *(stop[:-1] + 1).tolist()], stop.tolist(), strict=True)):
-            out[i] = keys[lo:hi], a, b, g
+        key = [text[i:j] for i, j in zip([0, *(stop[:-1] + 1).tolist()], stop.tolist(), strict=True)]
+        # a component's members give its links
+        a, b = overlaps(*sizes)
+        pairs = (ids[0][a] << 32 | ids[1][b]).tobytes()
+        edge = [0, *(8 * np.cumsum(np.bincount(np.repeat(np.arange(len(n[0])), n[0])[a], minlength=len(n[0])))).tolist()]
+        for k, i in enumerate(np.flatnonzero(good).tolist()):
+            out[i] = Word(key[k], int(n[0][k]), int(n[1][k]), n_groups[k], pairs[edge[k] : edge[k + 1]])
         return out
 
 
@@ -195,22 +220,6 @@ def group_text(ids: list[np.ndarray], groups: tuple[np.ndarray, np.ndarray]) ->
     return cells[shown].tobytes().decode(), ends[place_b[end_b - 1]]
 
 
-def expand(keys: list[str], a: Side, b: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the key, A id and B id of every link among the members of the keys' groups."""
-    text = ";".join(keys) + ";"
-    raw = np.frombuffer(text.encode(), dtype=np.uint8)
-    mark = np.flatnonzero((raw < 48) | (raw > 57))
-    kind = raw[mark]
-    ids = np.array(text.translate({44: 32, 59: 32, 124: 32}).split(), dtype=np.int64)
-    is_b = np.cumsum(kind == 124) - (kind == 124) > np.cumsum(kind == 59) - (kind == 59)
-    key = np.searchsorted(np.cumsum([len(k.encode()) + 1 for k in keys]), mark, side="right") if keys else mark
-    key_a, id_a, id_b = key[~is_b], ids[~is_b], ids[is_b]
-    # the mark after a key's last token is the key's end
-    key_a = np.minimum(key_a, max(0, len(keys) - 1))
-    i, j = overlaps(a.sizes[id_a], b.sizes[id_b])
-    return key_a[i], id_a[i], id_b[j]
-
-
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where words begin: at every text, and at spaces between a character that isn't blank and a letter."""
     if not len(data):
@@ -238,8 +247,24 @@ def pair_of(a: str, b: str) -> Pair:
 _DOC = ["n_a", "n_b", "n_groups", "n_links"]
 
 
-def _block(batch: pa.RecordBatch, number: int, pair: Pair, schema: pa.Schema) -> pa.RecordBatch:
-    """A row for each text, and one for each different word of the block with its texts."""
+def _packed(*parts: np.ndarray) -> bytes:
+    """Whole numbers below 2^31, compressed."""
+    sizes = np.array([len(p) for p in parts], dtype=np.int32)
+    raw = np.concatenate([sizes, *[p.astype(np.int32) for p in parts]])
+    # byte by byte, so that the high ones, which are mostly 0, lie together
+    planes = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 4).T)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(blob: bytes, parts: int) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], decompressed_size=4 * n, asbytes=True), dtype=np.uint8)
+    raw = np.ascontiguousarray(raw.reshape(4, n).T).view(np.int32).reshape(-1)
+    return np.split(raw[parts:], np.cumsum(raw[:parts])[:-1])
+
+
+def _block(batch: pa.RecordBatch, number: int, pair: Pair) -> Iterator[pa.RecordBatch]:
+    """A row for each text, one for what the texts and words of the block hold, and one for each different pair."""
     column = batch.column(1)
     column = column.fill_null("") if column.null_count else column
     filled = pc.greater(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -250,104 +275,106 @@ def _block(batch: pa.RecordBatch, number: int, pair: Pair, schema: pa.Schema) ->
     words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
     code, n = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), batch.num_rows
     found = pair.words(words.dictionary.to_pylist())
-    bad = np.array([x is None for x in found], dtype=bool)
     good = filled.copy()
-    good[row[bad[code]]] = False
-    counts = np.array([x[1:] if x else (0, 0, 0) for x in found], dtype=np.int64).reshape(len(found), 3)
+    good[row[np.array([x is None for x in found], dtype=bool)[code]]] = False
+    counts = np.array([x[1:4] if x else (0, 0, 0) for x in found], dtype=np.int64).reshape(len(found), 3)
     sums = [np.where(good, np.bincount(row, weights=counts[code, i], minlength=n), 0).astype(np.int64) for i in range(3)]
     keys = [x[0] if x else "" for x in found]
-    edge = np.searchsorted(row, np.arange(n + 1)).tolist()
-    code_list = code.tolist()
+    edge, code_list = np.searchsorted(row, np.arange(n + 1)).tolist(), code.tolist()
     digest = [hashlib.sha256(";".join([keys[c] for c in code_list[edge[i] : edge[i + 1]]]).encode()).hexdigest() if good[i] else "" for i in range(n)]
-    many = max(1, n)
+
+    # the different words of each text, as steps from one to the next
+    many = max(1, len(found))
     kept = good[row]
-    at, times = np.unique(code[kept] * many + row[kept], return_counts=True)
-    word, first = np.unique(at // many, return_index=True)
-    lists = np.append(first, len(at)).astype(np.int32)
-    m = len(word)
-    nulls = lambda kind: pa.nulls(m, kind)
-    own = lambda name, values: pa.concat_arrays([values, nulls(schema.field(name).type)])
-    total = pa.array(np.add.reduceat(times, first).astype(np.int64) if m else np.zeros(0, np.int64))
-    columns = {
-        "block": pa.array(np.full(n + m, number)), "at": own("at", pa.array(np.arange(n, dtype=np.int32))), "doc_id": own("doc_id", batch.column(0)),
-        **{c: own(c, pa.array(x)) for c, x in zip(_DOC, [*sums, sums[0] + sums[1] - sums[2]], strict=True)}, "groups_sha256": own("groups_sha256", pa.array(digest, pa.string())),
-        "key": pa.concat_arrays([pa.nulls(n, pa.string()), pa.array([keys[w] for w in word.tolist()], pa.string())]), "n": pa.concat_arrays([pa.nulls(n, pa.int64()), total]),
-        "texts": pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), pa.ListArray.from_arrays(lists, pa.array((at % many).astype(np.int32)))]),
-        "times": pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32)))]),
-    }
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    at, times = np.unique(row[kept] * many + code[kept], return_counts=True)
+    text, word = at // many, at % many
+    steps = np.where(np.append(True, text[1:] != text[:-1]), word, np.diff(word, prepend=0)) if len(at) else word
+    uses = np.bincount(word, weights=times, minlength=many)[: len(found)].astype(np.int64)
+    # and the different pairs of each word that any text holds
+    held = [x.pairs if x and u else b"" for x, u in zip(found, uses.tolist(), strict=True)]
+    n_pairs = np.array([len(x) // 8 for x in held], dtype=np.int64)
+    own, place = np.unique(np.frombuffer(b"".join(held), dtype=np.int64), return_inverse=True)
+    place = place.reshape(-1)
+    total = np.zeros(len(own), dtype=np.int64)
+    np.add.at(total, place, np.repeat(uses, n_pairs))
+    blob = _packed(np.bincount(text, minlength=n), steps, times, n_pairs, place)
+
+    def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"block": pa.int64(), "at": pa.int32(), "doc_id": batch.schema.field(0).type, **dict.fromkeys(_DOC, pa.int64()), "groups_sha256": pa.string(), "blob": pa.binary(), "a": pa.int32(), "b": pa.int32(), "n": pa.int64()}
+        columns["block"] = pa.array(np.full(size, number))
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in kinds.items()], names=list(kinds))
+
+    numbers = dict(zip(_DOC, map(pa.array, [*sums, sums[0] + sums[1] - sums[2]]), strict=True))
+    yield rows(n, at=pa.array(np.arange(n, dtype=np.int32)), doc_id=batch.column(0), groups_sha256=pa.array(digest, pa.string()), **numbers)
+    yield rows(1, blob=pa.array([blob], pa.binary()))
+    for i in range(0, len(own), 20_000):
+        part = own[i : i + 20_000]
+        yield rows(len(part), at=pa.array(np.arange(i, i + len(part), dtype=np.int32)), a=pa.array((part >> 32).astype(np.int32)), b=pa.array((part & 0xFFFFFFFF).astype(np.int32)), n=pa.array(total[i : i + 20_000]))
 
 
 def aligned(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B) -> DataFrame:
-    """Blocks of texts: rows with doc_id and what a text has by itself, and rows with a word's key, sum and texts."""
+    """Blocks of texts: rows with doc_id and what a text has by itself (at: its place), one row with a blob, and rows with a pair."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, number = pair_of(a, b), TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         size = 0
-
-        def made() -> pa.RecordBatch:
-            batch = pa.concat_batches(held)
-            schema = pa.schema([("at", pa.int32()), batch.schema.field(0).with_name("doc_id"), *[(c, pa.int64()) for c in _DOC], ("groups_sha256", pa.string())])
-            return _block(batch, number, pair, schema)
-
         for batch in tb.blocks(batches):
             held.append(batch)
             size += batch.nbytes
             if size >= BLOCK_BYTES:
-                yield made()
+                yield from _block(pa.concat_batches(held), number, pair)
                 held, size, number = [], 0, number + 1
+                tb.release()
         if held:
-            yield made()
+            yield from _block(pa.concat_batches(held), number, pair)
 
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     counts = ", ".join(f"{c} long" for c in _DOC)
-    return rows.mapInArrow(align, f"block long, at int, doc_id {dict(docs.dtypes)['doc_id']}, {counts}, groups_sha256 string, key string, n long, texts array<int>, times array<int>")
-
-
-def links(words: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B) -> DataFrame:
-    """id, a and b of every link of each word (id, key)."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pair_of(a, b)
-        for batch in tb.blocks(batches, "key"):
-            key, x, y = expand(batch.column(1).to_pylist(), pair.a, pair.b)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(key)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], names=["id", "a", "b"])
-
-    return words.select("id", "key").mapInArrow(spread, "id long, a int, b int")
-
-
-def pair_counts(words: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B) -> DataFrame:
-    """a, b and how many links have them, corpus-wide; words has key and n."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pair_of(a, b)
-        for batch in tb.blocks(batches, "key"):
-            key, x, y = expand(batch.column(0).to_pylist(), pair.a, pair.b)
-            both, at = np.unique(x << 32 | y, return_inverse=True)
-            sums = np.zeros(len(both), dtype=np.int64)
-            np.add.at(sums, at.reshape(-1), batch.column(1).to_numpy()[key])
-            yield pa.RecordBatch.from_arrays([pa.array((both >> 32).astype(np.int32)), pa.array((both & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], names=["a", "b", "count"])
-
-    return words.select("key", "n").mapInArrow(count, "a int, b int, count long").groupBy("a", "b").agg(F.sum("count").alias("count"))
+    return rows.mapInArrow(align, f"block long, at int, doc_id {dict(docs.dtypes)['doc_id']}, {counts}, groups_sha256 string, blob binary, a int, b int, n long")
+
+
+_SUMS = ["n_best", "count_sum"]
+
+
+def _valued(rows: pa.Table, values: pa.Table) -> pa.Table:
+    """The texts of a block, with the sums over their links of what their block's pairs are worth."""
+    texts = rows.filter(pc.is_valid(rows["at"]))
+    per_text, steps, times, n_pairs, place = _unpacked(rows.filter(pc.is_valid(rows["blob"]))["blob"][0].as_py(), 5)
+    worth = np.zeros((2, values.num_rows), dtype=np.int64)
+    for i, c in enumerate(("best", "count")):
+        worth[i, values["at"].to_numpy()] = values[c].to_numpy()
+    of_text = np.repeat(np.arange(len(per_text)), per_text)
+    # steps add up within a text
+    upto = np.cumsum(steps.astype(np.int64))
+    first = np.cumsum(per_text) - per_text
+    before = np.concatenate([[0], upto])[first]
+    word = upto - before[of_text]
+    pair_end = np.concatenate([[0], np.cumsum(n_pairs)])
+    found = {}
+    for i, c in enumerate(_SUMS):
+        total = np.concatenate([[0], np.cumsum(worth[i][place])])
+        by_word = total[pair_end[1:]] - total[pair_end[:-1]]
+        total = np.concatenate([[0], np.cumsum(by_word[word] * times)])
+        found[c] = total[first + per_text] - total[first]
+    at = texts["at"].to_numpy()
+    columns = [texts["doc_id"], *[texts[c] for c in _DOC], *[pa.array(found[c][at]) for c in _SUMS], texts["groups_sha256"]]
+    return pa.Table.from_arrays(columns, names=["doc_id", *_DOC, *_SUMS, "groups_sha256"])
 
 
 def alignment(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B) -> tuple[DataFrame, DataFrame]:
     """A row a document, and a row a pair of linked ids: a, b, count and whether no other A id has more links with b."""
-    blocks = written(aligned(docs, a, b))
-    held = blocks.where("key IS NOT NULL")
-    words = written(held.groupBy("key").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    pairs = pair_counts(words, a, b)
+    folder = shared_folder(docs.sparkSession)
+    blocks = written(aligned(docs, a, b), folder)
+    there = docs.sparkSession.read.schema(blocks.schema).parquet(folder).where("a IS NOT NULL").select("block", "at", "a", "b", "n")
+    pairs = there.groupBy("a", "b").agg(F.sum("n").alias("count"))
     # a B id has as many pairs as A has ids, at most
     pairs = written(pairs.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b"))))
-    sums = links(words, a, b).join(pairs, ["a", "b"]).groupBy("id").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    valued = words.select("id", "key").join(sums, "id").select("key", "n_best", "count_sum")
-    there = held.select("block", "key", "texts", "times").join(valued, "key")
-    there = there.select("block", "n_best", "count_sum", F.explode(F.arrays_zip("texts", "times")).alias("x"))
-    there = there.groupBy("block", F.col("x.texts").alias("at")).agg(*[F.sum(F.col(c) * F.col("x.times")).alias(c) for c in ("n_best", "count_sum")])
-    texts = blocks.where("key IS NULL").select("block", "at", "doc_id", *_DOC, "groups_sha256")
-    out = texts.join(there, ["block", "at"], "left").select("doc_id", *_DOC, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")], "groups_sha256")
+    values = there.drop("n").join(pairs, ["a", "b"]).select("block", "at", "count", F.col("best").cast("long").alias("best"))
+    texts = blocks.where("a IS NULL").drop("a", "b", "n")
+    sums = ", ".join(f"{c} long" for c in [*_DOC, *_SUMS])
+    out = texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_valued, f"doc_id {dict(docs.dtypes)['doc_id']}, {sums}, groups_sha256 string")
     return out, pairs
 
 
