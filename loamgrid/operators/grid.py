@@ -9,12 +9,13 @@ them, and each range's offset comes from the sizes of those before it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..workspace import written
 
-#: Rows that are numbered in one task at most.
+#: Traces whose steps are compared in one task.
 RANGE_ROWS = 2_000_000
 
 
@@ -49,18 +50,44 @@ def before(sizes: DataFrame, keys: list[str], n: str) -> DataFrame:
     return sizes.withColumn("_before", F.coalesce(F.sum(n).over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, most: int = RANGE_ROWS) -> DataFrame:
-    """Rows with their place (from 0) in the order of the columns, which must tell rows apart.
+def range_bounds(rows: DataFrame, order: list[str], parts: int | None = None, **sums: Column) -> list[Row]:
+    """Ranges of the order columns that hold about as many rows each: least key (``_from``), rows before, and aggregates.
 
-    Up to ``most`` rows are numbered in one task.  Beyond, the order columns alone are dealt into ranges, numbered within
-    them and moved by the sizes of the ranges before; the rows then meet their number by these columns.
+    One pass over the order columns and what the aggregates read; a row for each of ``parts`` ranges, at most, comes back.
     """
-    if rows.count() <= most:
-        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long"))
-    keys = ranged(rows.select(*order), order)
-    sizes = before(keys.groupBy("_range").agg(F.count("*").alias("_n")), [], "_n")
-    places = keys.join(F.broadcast(sizes), "_range").select(*order, (F.col("_before") + F.col("_place")).alias(name))
-    return rows.join(places, order)
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.select(F.struct(*order).alias("_key"), *[v.alias(f"_{k}") for k, v in sums.items()])
+    dealt = keyed.repartitionByRange(parts, "_key").groupBy(F.spark_partition_id().alias("_part"))
+    found = dealt.agg(F.min("_key").alias("_from"), F.count("*").alias("_n"), *[F.max(f"_{k}").alias(k) for k in sums]).orderBy("_from").collect()
+    done, out = 0, []
+    for r in found:
+        out.append(Row(**r.asDict(recursive=False), _before=done))
+        done += r["_n"]
+    return out
+
+
+def placed(rows: DataFrame, order: list[str], bounds: list[Row], name: str) -> DataFrame:
+    """Rows with their place in the order: each goes to the last range that doesn't begin after it, and is counted there."""
+    if not bounds:
+        return rows.withColumn(name, F.lit(None).cast("long"))
+    kind = rows.select(F.struct(*order).alias("_from")).schema["_from"].dataType
+    schema = StructType([StructField("_from", kind), StructField("_before", LongType())])
+    one = rows.sparkSession.createDataFrame([(r["_from"], r["_before"]) for r in bounds], schema)
+    one = one.agg(F.array_sort(F.collect_list(F.struct("_from", "_before"))).alias("_ranges"))  # a row for each range
+    key = F.struct(*order)
+    dealt = rows.join(F.broadcast(one)).withColumn("_range", F.size(F.filter("_ranges", lambda r: r["_from"] <= key)))
+    before = F.element_at("_ranges", F.col("_range"))["_before"]
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_before", before).drop("_ranges").withColumn(name, F.col("_before") + place).drop("_range", "_before")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """Rows with their place (from 0) in the order of the columns, nulls first; equal rows get places side by side.
+
+    The order columns are dealt into ranges, of which the least keys and the sizes are known to all tasks; the rows then
+    go to their ranges, where they are counted.  So a row moves once, and none is lost or doubled whatever its key is.
+    """
+    return placed(rows, order, range_bounds(rows, order, parts), name)
 
 
 def with_position(traces: DataFrame, dim: str, name: str | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ from .. import codec
 from ..functions.text import as_lines, byte_map_lines, default_header
 from ..keys import FIELD_BYTES, LAYOUTS, MEASUREMENT_UNITS, TRACE_FIELDS, check_bytes, check_names, layout
 from ..operators.geometry import multiplier
-from ..operators.grid import live_numbers
+from ..operators.grid import placed, range_bounds
 
 SUFFIXES = (".sgy", ".segy")
 
@@ -350,11 +350,14 @@ def write_traces(traces: DataFrame, path: str, dims: dict[str, int], extras: dic
     rows = traces
     if coord_scalar is not None:
         rows = rows.withColumns({c: F.round(F.col(c) * multiplier(F.lit(float(coord_scalar)), inverse=True)) for c in scaled})
-    rows = live_numbers(rows, list(dims), dead if dead is not None else F.lit(False), "tracen").select("tracen", *[F.col(n).cast("int").alias(n) for n in fields], "samples")
-    n, ns = rows.agg(F.count("*"), F.max(F.size("samples"))).first()
+    if dead is not None:
+        rows = rows.where(~dead)
+    bounds = range_bounds(rows, list(dims), ns=F.size("samples"))
+    n, ns = sum(b["_n"] for b in bounds), max([b["ns"] or 0 for b in bounds], default=0)
+    rows = placed(rows, list(dims), bounds, "tracen").select("tracen", *[F.col(n).cast("int").alias(n) for n in fields], "samples")
     header = json.dumps(text if text is not None else default_header({i + 6: line for i, line in enumerate(byte_map_lines(fields))}))
     writer = rows.write.format("segy").mode("overwrite" if overwrite else "append")
-    options = {"ns": ns or 0, "ntraces": n, "headers": ",".join(f"{k}={v}" for k, v in fields.items()), "interval": int(round(dt * 1000)), "ns0": ns0, "scalar": coord_scalar or 0, "text": header, "format": sample_format, "endian": endian, "system": system}
+    options = {"ns": ns, "ntraces": n, "headers": ",".join(f"{k}={v}" for k, v in fields.items()), "interval": int(round(dt * 1000)), "ns0": ns0, "scalar": coord_scalar or 0, "text": header, "format": sample_format, "endian": endian, "system": system}
     writer.options(**{k: str(v) for k, v in options.items()}).save(path)
     return n
 

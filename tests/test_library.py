@@ -132,13 +132,33 @@ def test_geometry_guess(spark, tmp_path):
     assert {"INLINE_3D", "CROSSLINE_3D", "CDP_X", "CDP_Y"} <= set(varying)
 
 
-@pytest.mark.parametrize("most", [1000, 7])
-def test_numbering_by_ranges(spark, most):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_numbering_by_ranges(spark, parts):
     rows = survey(spark).select("iline", "xline")
-    got = grid.numbered(rows, ["xline", "iline"], "n", most).orderBy("n").collect()
+    got = grid.numbered(rows, ["xline", "iline"], "n", parts).orderBy("n").collect()
     assert [r["n"] for r in got] == list(range(100))
     assert [(r["xline"], r["iline"]) for r in got] == sorted((r["xline"], r["iline"]) for r in got)
-    assert grid.numbered(rows.limit(0), ["iline"], "n", most).count() == 0
+    assert grid.numbered(rows.limit(0), ["iline"], "n", parts).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_numbering_keeps_repeated_and_null_keys(spark, parts):
+    rng = np.random.default_rng(7)
+    keys = [(None, None), (None, "x"), (2, None), (2, "a"), (2, "a"), (2, "a"), (1, "b")] + [(int(k), "c") for k in rng.integers(0, 9, 60)]
+    rows = spark.createDataFrame([(*k, i) for i, k in enumerate(keys)], "a int, b string, id int")
+    got = grid.numbered(rows.repartition(5), ["a", "b"], "n", parts).orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(len(keys))) and {r["id"] for r in got} == set(range(len(keys)))
+    order = [(r["a"] is not None, r["a"] or 0, r["b"] is not None, r["b"] or "") for r in got]
+    assert order == sorted(order) and [got[0]["a"], got[0]["b"], got[1]["b"]] == [None, None, "x"]
+
+
+def test_the_sink_numbers_without_a_single_task(spark, tmp_path):
+    rows = survey(spark)
+    bounds = grid.range_bounds(rows, ["iline", "xline"], ns=F.size("samples"))
+    assert sum(b["_n"] for b in bounds) == 100 and len(bounds) > 1 and max(b["ns"] for b in bounds) == len(rows.first()["samples"])
+    plan = grid.placed(rows, ["iline", "xline"], bounds, "n")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_range" in plan
+    assert all("samples" not in x for x in plan.split("\n") if "SinglePartition" in x)
 
 
 def test_percentiles_by_ranges(spark):
@@ -153,10 +173,9 @@ def test_percentiles_by_ranges(spark):
     assert np.allclose(whole, np.percentile([v for _, v in rows if v is not None], [s * 100 for s in shares]))
 
 
-def test_runs_and_chunks_across_ranges(spark, monkeypatch):
+def test_runs_and_chunks_across_ranges(spark):
     numbers = [1, 2, 3, 7, 8, 20, 21, 22, 23, 40]
     rows = spark.createDataFrame([(n,) for n in numbers], "n long")
-    monkeypatch.setattr(grid.numbered, "__defaults__", (4,))
     got = [tuple(r) for r in grid.islands(rows, "n").orderBy("block").collect()]
     assert got == [(0, 1, 3, 3), (1, 7, 8, 2), (2, 20, 23, 4), (3, 40, 40, 1)]
     # the label stays only from trace 3 to trace 4, which lie in different ranges of 4
