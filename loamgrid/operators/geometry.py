@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import stats
+from . import stats, surfaces
 from .traces import at_linear
 
 #: Digits that fractional grid positions are rounded to before they are floored or rounded.
@@ -241,73 +241,18 @@ def well_values(traces: DataFrame, path: DataFrame, affine: Affine, axes: tuple[
     return at.join(path.select("point", "z"), "point").withColumn("value", at_linear(F.col("samples"), F.col("z"), ns0, dt)).drop("samples")
 
 
-def triangles(points: np.ndarray) -> np.ndarray:
-    """Delaunay triangles (rows of three point numbers) by adding points one by one."""
-    n = len(points)
-    centre = points.mean(axis=0)
-    size = max(float(np.ptp(points, axis=0).max()), 1.0) * 1e4
-    all_points = np.vstack([points, centre + [[-size, -size], [size, -size], [0, size]]])
-    tri = {(n, n + 1, n + 2)}
+def surface_from_points(grid: DataFrame, points: DataFrame, value: str, xy: tuple[str, str] = ("cdp_x", "cdp_y"), method: str = "linear", name: str | None = None) -> DataFrame:
+    """Grid rows with a column interpolated from scattered points (columns xy and ``value``), by triangles or the nearest point."""
+    return surfaces.interpolated(grid, points, {name or value: value}, xy, method)
 
-    def encloses(t: tuple[int, int, int], p: np.ndarray) -> bool:
-        m = all_points[list(t)] - p
-        square = (m * m).sum(axis=1)
-        return np.linalg.det(np.column_stack([m, square])) > 1e-12
 
-    def turned(a: int, b: int, c: int) -> tuple[int, int, int]:
-        (ax, ay), (bx, by), (cx, cy) = all_points[[a, b, c]]
-        return (a, b, c) if (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) > 0 else (a, c, b)
+def labels_at(points: DataFrame, traces: DataFrame, dims: tuple[str, str] = ("iline", "xline"), xy: tuple[str, str] = ("cdp_x", "cdp_y"), names: tuple[str, str] = ("_i", "_j"), method: str = "linear") -> DataFrame:
+    """Points (columns x and y) with the labels, which may lie between those of traces, of a survey that no affine transform describes.
 
-    for k in range(n):
-        bad = [t for t in tri if encloses(t, all_points[k])]
-        edges = [(t[i], t[(i + 1) % 3]) for t in bad for i in range(3)]
-        rim = [e for e in edges if (e[1], e[0]) not in set(edges)]
-        tri -= set(bad)
-        tri |= {turned(a, b, k) for a, b in rim}
-    return np.array([t for t in tri if max(t) < n], dtype=np.int64).reshape(-1, 3)
-
-
-def surface_from_points(grid: DataFrame, points: DataFrame, value: str, xy: tuple[str, str] = ("cdp_x", "cdp_y"), method: str = "linear", most_points: int = 20_000, name: str | None = None) -> DataFrame:
-    """Grid rows with a column interpolated from scattered points (columns xy and ``value``).
-
-    ``linear`` is the plane through the Delaunay triangle that a cell lies in (null outside the hull), for up to
-    ``most_points`` different points; ``nearest`` is the value of the nearest point.
+    Between traces labels are linear on the Delaunay triangles of their coordinates; outside of all they are null.
     """
-    if method not in ("linear", "nearest"):
-        raise ValueError("the method must be linear or nearest")
-    if missing := [c for c in xy if c not in grid.columns or c not in points.columns] + [c for c in [value] if c not in points.columns]:
-        raise ValueError(f"columns {missing} are missing")
-    name = name or value
-    known = points.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*xy, value))).groupBy(*xy).agg(F.avg(value).alias(value))
-    if known.count() > most_points:
-        raise ValueError(f"there are more than {most_points} different points")
-    p = known.toPandas().to_numpy(np.float64)  # most_points rows at most
-    corners = triangles(p[:, :2]) if method == "linear" and len(p) > 2 else np.zeros((0, 3), dtype=np.int64)
-    fields = [f for f in grid.schema.fields if f.name != name]
-
-    def interpolate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            q = batch[list(xy)].to_numpy(np.float64)
-            out = np.full(len(q), np.nan)
-            if method == "nearest":
-                for at in range(0, len(q), 512):
-                    near = ((q[at : at + 512, None, :] - p[None, :, :2]) ** 2).sum(axis=2)
-                    out[at : at + 512] = p[near.argmin(axis=1), 2] if len(p) else np.nan
-            for a, b, c in p[corners]:
-                low, high = np.minimum(np.minimum(a, b), c)[:2] - 1e-9, np.maximum(np.maximum(a, b), c)[:2] + 1e-9
-                here = np.flatnonzero(((q >= low) & (q <= high)).all(axis=1) & np.isnan(out))
-                m = np.array([b[:2] - a[:2], c[:2] - a[:2]]).T
-                if not len(here) or abs(np.linalg.det(m)) < 1e-12:
-                    continue
-                s, t = np.linalg.solve(m, (q[here] - a[:2]).T)
-                inside = (s >= -1e-9) & (t >= -1e-9) & (s + t <= 1 + 1e-9)
-                out[here[inside]] = a[2] + s[inside] * (b[2] - a[2]) + t[inside] * (c[2] - a[2])
-            result = batch[[f.name for f in fields]].copy()
-            result[name] = pd.Series(out, index=batch.index).astype(object).where(~np.isnan(out), None)
-            yield result
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{name}` double"])
-    return grid.mapInPandas(interpolate, schema)
+    cells = traces.groupBy(*dims).agg(F.avg(xy[0]).alias("x"), F.avg(xy[1]).alias("y"))
+    return surfaces.interpolated(points, cells, dict(zip(names, dims, strict=True)), ("x", "y"), method)
 
 
 def spline_curvatures(n: int) -> np.ndarray:
