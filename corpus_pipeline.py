@@ -6,6 +6,12 @@ deletes repeated runs of lines (and documents of which nothing is left), the
 third keeps one document of each class of near-duplicates, the fourth repeats or drops
 documents by their mixing rates.
 The last one returns the token digests of what is left.
+
+Null texts count as empty in every stage and are kept by the second; very long texts
+are handled whole.  Rows that are equal in doc_id and text are near-duplicates of
+each other, so one stays; a doc_id may be null or stand for several texts.  Mixing
+gives rows of one doc_id one number of copies.  Empty tables give empty tables, and
+the stages choose names for their own columns that the documents don't have.
 """
 
 from __future__ import annotations
@@ -34,10 +40,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near-duplicates."""
-    found = op1_minhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("not kept").select("doc_id").hint("merge")  # they grow with the documents
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class of near-duplicates: the row with the smallest doc_id, told apart by its text too."""
+    key = free_name(docs, "_text_key")
+    stays = op1_minhash.near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id"), "text_key")
+    keyed = docs.withColumn(key, op1_minhash.text_key(F.col("text")))
+    # a merge join, as both sides grow with the documents
+    rows = keyed.join(stays.hint("merge"), keyed["doc_id"].eqNullSafe(stays["_id"]) & (keyed[key] == stays["text_key"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

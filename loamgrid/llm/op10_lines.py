@@ -35,8 +35,8 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from . import textbytes as tb
 from .shared import free_name, small_batches, written
 
-#: One line that isn't blank: only runs without a word are spared.
-MIN_WORDS = 1
+#: Words of a run that repeats, at least: shorter lines go only where a run of them does.
+MIN_WORDS = 5
 
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -24,8 +24,9 @@ ASCII, without regard to the case of A-Z.  A text of one to four words is one
 shingle; null and empty texts have none and are like each other only.  An empty
 table gives an empty result.  Very long texts are sketched whole, by themselves;
 a comparison holds two of them.  The class id is the smallest doc_id of a class
-(null if it has none), where rows tie in it all of them are kept.  Repeated rows
-are members of their class each; other columns are ignored.
+(null if it has none).  Kept is the text with that doc_id, of several the one with
+the smallest hash; rows that are equal in doc_id and text are members each, and
+all of them are kept or none.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -193,7 +194,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(bands.view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.fill_null(pc.binary_length(batch.column(2)), 0).cast(pa.int64()), lists], names=names)
 
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("node"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, size long, bands array<long>")
 
 
@@ -345,12 +346,17 @@ def _rest(tiles: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) ->
     return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(check, "node long, hub long")
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts apart: a hash of the text, null counting as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def links(docs: DataFrame, table: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> DataFrame:
     """Verified links (node, hub) between different texts."""
     members = written(_candidates(table))
     stars = written(members.select("node", "hub").distinct())
     nodes = stars.select("node").union(stars.select("hub")).distinct()
-    keyed = docs.select(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node"), F.col("text").cast("string").alias("text"))
+    keyed = docs.select(text_key(F.col("text")).alias("node"), F.col("text").cast("string").alias("text"))
     # a merge join at every size: the nodes grow with the texts
     texts = written(keyed.join(nodes.hint("merge"), "node").groupBy("node").agg(F.first("text").alias("text")))
     found = written(_linked(stars, texts, idf, least))
@@ -374,7 +380,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, class_size, kept and n_links (of its text) of every row."""
+    """doc_id, class_id, class_size, kept, n_links (of its text) and text_key (a hash of its text) of every row."""
     small_batches(docs.sparkSession)
     idf = document_frequencies(docs)
     table = written(sketches(docs, idf))
@@ -383,12 +389,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # written, so that copies of one text needn't meet in the task that has summed its links
     classes = written(components(edges).join(degree, "node"))
     rows = table.select("doc_id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    rows = written(rows.select("doc_id", "class", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    # written, so that rows of a large class needn't meet in the task that has summed it
-    heads = written(rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
-    kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept")
-    return rows.join(heads, "class").select("doc_id", "class_id", "class_size", kept, "n_links")
+    rows = written(rows.select("doc_id", "node", "class", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    # written, so that rows of a large class needn't meet in the task that has summed it; a null doc_id comes last
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("head")
+    heads = written(rows.groupBy("class").agg(head, F.count("*").alias("class_size")))
+    kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("node") == F.col("head.node"))
+    return rows.join(heads, "class").select("doc_id", F.col("head.doc_id").alias("class_id"), "class_size", kept.alias("kept"), "n_links", F.col("node").alias("text_key"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_key")

@@ -6,7 +6,8 @@ symbols, letters set apart one by one, letters repeated - become lattices: a
 sign can stand for the letters it looks like, a separator or a repeated letter
 for nothing.  A Viterbi search finds the likeliest letters under the model and
 the channel's costs; these words are scored with those that the text holds as
-they are.
+they are.  Two or three short words beside each other that make a word of the lexicon
+are searched too, and count if the search joins them.
 
 A lexicon of words and word beginnings is learnt from labelled rows, by the log
 odds of finding them in toxic texts, and a logistic regression turns what a
@@ -17,8 +18,7 @@ from about ``sample_rows`` of them, picked by a hash of doc_id.  Only the text
 of a row enters its score.
 
 Null and empty texts get the score of a text without any word of the lexicon, and
-an empty table gives an empty result.  Very long texts are scored whole; parts of
-more than ``PIECE`` bytes without a blank are decoded in pieces of that size.
+an empty table gives an empty result.  Very long texts and tokens are scored whole.
 Scores that tie with the threshold count as toxic.
 Without labels of both kinds every score is the share of toxic labels (0 if
 there are none).  Repeated rows give a row each; other columns are ignored.
@@ -50,9 +50,12 @@ LEAST_TEXTS, LEAST_Z = 4, 4.5
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "#": "h"}
 #: Costs of the channel in nats: a sign for a letter, a separator or a repeated letter for nothing, any other sign for nothing.
 SIGN, SEPARATOR, REPEATED, NOISE = 1.0, 0.7, 0.5, 5.0
+#: Letters of a word that may be part of another.
+FRAGMENT = 4
 #: Cost of a space for a word's end in a run of letters set apart.
 WORD_END = 1.5
-CACHE_TOKENS, PIECE = 200_000, 256
+#: Tokens, and bytes of a token, that a worker remembers.
+CACHE_TOKENS, CACHE_BYTES = 200_000, 256
 
 _CLASS = np.zeros(256, dtype=np.int64)  # letters 1 to 26, everything else 0
 _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
@@ -72,10 +75,11 @@ def character_model(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(27**3, dtype=np.int64)
         for batch in tb.blocks(batches):
-            data, _ = tb.text_bytes(batch.column(0))
-            c = _CLASS[data]
-            if len(c) > 2:
-                total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3)
+            data, offsets = tb.text_bytes(batch.column(0))
+            # two word ends between texts, so that what a text counts for doesn't depend on its neighbours
+            c = np.zeros(len(data) + 2 * len(offsets), dtype=np.int64)
+            c[np.arange(len(data)) + 2 * np.repeat(np.arange(1, len(offsets)), np.diff(offsets))] = _CLASS[data]
+            total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3)
         yield pa.RecordBatch.from_pydict({"at": np.flatnonzero(total), "n": total[total > 0]})
 
     rows = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(count, "at long, n long")
@@ -87,8 +91,21 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def restore(token: str, model: list) -> str:
-    """The likeliest letters that a token stands for."""
-    states = {(0, 0): (0.0, None)}
+    """The likeliest letters that a token stands for.
+
+    Where only one state is left, all that came before is decided and leaves the search, so its memory is bounded by the
+    longest stretch that can be read in several ways.
+    """
+    states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
+    decided: list[str] = []
+
+    def spelt(path: tuple | None) -> list[str]:
+        letters = []
+        while path:
+            letters.append(chr(96 + path[0]) if path[0] else " ")
+            path = path[1]
+        return letters[::-1]
+
     for c in token.lower():
         options = []
         if "a" <= c <= "z":
@@ -109,12 +126,12 @@ def restore(token: str, model: list) -> str:
             if skip is not None and cost + skip < after.get((a, b), (math.inf,))[0]:
                 after[a, b] = cost + skip, path
         states = after
+        if len(states) == 1:
+            ((state, (cost, path)),) = states.items()
+            decided += spelt(path)
+            states = {state: (cost, None)}
     _, path = min(((cost - model[a][b][0], path) for (a, b), (cost, path) in states.items()), key=lambda x: x[0])
-    letters = []
-    while path:
-        letters.append(chr(96 + path[0]) if path[0] else " ")
-        path = path[1]
-    return "".join(reversed(letters))
+    return "".join(decided + spelt(path))
 
 
 def obfuscated(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
@@ -135,13 +152,16 @@ def obfuscated(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
     # an inner byte that is no letter, between two that can be letters
     letters = np.concatenate([[0], np.cumsum(letter)])
     plain = np.concatenate([[0], np.cumsum(letter | (data >= 128))])
-    middle = np.zeros(len(data), dtype=bool)
-    middle[1:-1] = ~letter[1:-1] & (data[1:-1] < 128) & part[:-2] & part[2:]
-    middle[1:] |= _LAST_SIGN[data[1:]] & part[:-1]
+    lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
+    before, behind = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
+    before[1:], behind[:-1] = part[:-1], part[1:]
+    before[firsts] = behind[lasts] = False  # texts don't see each other
+    middle = (~letter & (data < 128) & before & behind) | (_LAST_SIGN[data] & before)
     inner = np.concatenate([[0], np.cumsum(middle)])
     double = np.zeros(len(data), dtype=bool)
     low = tb.LOWER[data]
     double[1:] = letter[1:] & (low[1:] == low[:-1])
+    double[firsts] = False
     doubles = np.concatenate([[0], np.cumsum(double)])
     n_letters = letters[stop] - letters[start]
     odd = (n_letters > 0) & ((inner[stop] - inner[start] > 0) | (doubles[stop] - doubles[start] > 0) | (_SIGN[data[start]] & (stop - start > 2)))
@@ -165,17 +185,21 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model, self.known = model.tolist(), {}
 
+    def read(self, token: bytes) -> str:
+        word = self.known.get(token)
+        if word is None:
+            word = restore(token.decode("utf-8", "replace"), self.model)
+            if len(token) <= CACHE_BYTES:
+                if len(self.known) >= CACHE_TOKENS:
+                    self.known.clear()
+                self.known[token] = word
+        return word
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """Per row, the restored words with spaces between them."""
         raw, rows = data.tobytes(), [[] for _ in range(len(offsets) - 1)]
         for a, b, row in obfuscated(data, offsets):
-            token = raw[a:b]
-            word = self.known.get(token)
-            if word is None:
-                if len(self.known) >= CACHE_TOKENS:
-                    self.known.clear()
-                pieces = [token[i : i + PIECE].decode("utf-8", "replace") for i in range(0, len(token), PIECE)]
-                word = self.known[token] = "".join(restore(x, self.model) for x in pieces)
+            word = self.read(raw[a:b])
             if len(word) > 2:
                 rows[row].append(word)
         return pa.array([" ".join(x) for x in rows], pa.string())
@@ -196,12 +220,41 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, np.stack(columns)
 
 
-def features(column: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hashes of the words of a column as they are, and of those restored."""
+def joined_fragments(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, lexicon: Lexicon) -> pa.Array:
+    """Per row, the words of the lexicon that two or three short words make, one space apart, where the search joins them."""
+    low = tb.LOWER[data]
+    start, stop, row = tb.words(low, offsets)
+    size = stop - start
+    ends = np.cumsum(size)
+    inside = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+    rolling, raw = tb.Rolling(low[inside]), data.tobytes()
+    letters = np.concatenate([[0], np.cumsum(_LETTER[low[inside]])])
+    short = (size <= FRAGMENT) & (letters[ends] - letters[ends - size] == size)
+    found: list[list[str]] = [[] for _ in range(len(offsets) - 1)]
+    for k in (2, 3):
+        n = len(start) - k + 1
+        if n < 1:
+            break
+        fits = short[:n] & (row[:n] == row[k - 1 :])
+        for j in range(1, k):
+            fits &= short[j : n + j] & (start[j : n + j] == stop[j - 1 : n + j - 1] + 1) & (data[np.minimum(stop[j - 1 : n + j - 1], len(data) - 1)] == 32)
+        at = np.flatnonzero(fits & (ends[k - 1 :] - ends[:n] + size[:n] >= BEGINNINGS[0]))
+        at = at[lexicon(rolling.span(ends[at] - size[at], ends[at + k - 1])[None, :])[0] > 0]
+        for i in at.tolist():
+            token = raw[start[i] : stop[i + k - 1]]
+            word = restorer.read(token)
+            if word.encode() == token.lower().replace(b" ", b""):
+                found[row[i]].append(word)
+    return pa.array([" ".join(x) for x in found], pa.string())
+
+
+def features(column: pa.Array, restorer: Restorer, lexicon: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hashes of the words of a column as they are, of those restored, and of those of the lexicon in fragments."""
     data, offsets = tb.text_bytes(column)
-    row, hashes = _features(data, offsets)
-    more_row, more = _features(*tb.text_bytes(restorer(data, offsets)))
-    return np.concatenate([row, more_row]), np.concatenate([hashes, more], axis=1)
+    parts = [_features(data, offsets), _features(*tb.text_bytes(restorer(data, offsets)))]
+    if lexicon is not None and len(data):
+        parts.append(_features(*tb.text_bytes(joined_fragments(data, offsets, restorer, lexicon))))
+    return np.concatenate([row for row, _ in parts]), np.concatenate([hashes for _, hashes in parts], axis=1)
 
 
 class Lexicon:
@@ -267,7 +320,7 @@ class Model:
         n = len(column)
         if self.lexicon is None:
             return np.full(n, self.prior)
-        x = measures(*features(column, restorer), n, self.lexicon)
+        x = measures(*features(column, restorer, self.lexicon), n, self.lexicon)
         z = ((x - self.centre) / self.scale) @ self.beta[:-1] + self.beta[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -324,8 +377,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(letters)
         for batch in tb.blocks(batches):
-            row, hashes = features(batch.column(0), restorer)
-            x = np.stack([measures(row, hashes, batch.num_rows, half) for half in halves])
+            x = np.stack([measures(*features(batch.column(0), restorer, half), batch.num_rows, half) for half in halves])
             x = x[batch.column(2).to_numpy(), np.arange(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 

@@ -4,8 +4,8 @@ A host's labels are split into words by a unigram Viterbi search: the counts of
 words in the tables' own pages and URLs say how likely a word is, and
 characters that belong to no word cost more than any word.  Only the counts of
 substrings of labels are joined to them, so no vocabulary reaches the driver.
-A multinomial naive Bayes model over host words and path words is learnt from
-the URLs themselves by expectation maximisation.  Seed words only start it: a
+A multinomial naive Bayes model over host words, hyphens of hosts and path words is
+learnt from the URLs themselves by expectation maximisation.  Seed words only start it: a
 URL with one of them is unwanted in the first round, and a seed word has
 ``SEED_PRIOR`` unwanted occurrences beforehand.  Each round counts all words by
 how likely their URLs are unwanted and judges the URLs anew, so that words that
@@ -33,12 +33,16 @@ from .shared import written
 
 #: Words that mark a URL as unwanted when learning starts.
 SEEDS = (
-    "ads", "adult", "banner", "bets", "betting", "bitcoin", "casino", "cialis", "clickbait", "crack", "dating", "escort", "forex",
-    "gambling", "jackpot", "keygen", "loans", "lottery", "malware", "nude", "payday", "pharmacy", "phishing", "pills", "poker", "popup",
-    "porn", "replica", "roulette", "scam", "sex", "slots", "spam", "torrent", "viagra", "warez", "xxx",
+    "adult", "bet", "betting", "bitcoin", "bonus", "casino", "cheap", "cialis", "crack", "dating", "escort", "forex", "gambling",
+    "hack", "jackpot", "keygen", "loan", "loans", "lottery", "malware", "nude", "payday", "pharmacy", "phishing", "pills", "poker",
+    "porn", "replica", "roulette", "scam", "sex", "slots", "spam", "torrent", "viagra", "warez", "win", "xxx",
 )
+#: A host's sign that is a token of its own.
+SIGN = "-"
 #: Rounds of learning, and occurrences in unwanted URLs that a seed word has beforehand.
-ROUNDS, SEED_PRIOR = 3, 8
+ROUNDS, SEED_PRIOR = 4, 2.0
+#: Occurrences that every word has beforehand among unwanted and among other URLs.
+SMOOTH = 0.1
 #: Rows that a seed word counts for in the unigram model.
 SEED_COUNT = 100
 #: Longest word that a label is split into, and the cost in nats of a character of no word.
@@ -115,12 +119,12 @@ def learnt(lists: DataFrame, seeds: tuple[str, ...] = SEEDS, rounds: int = ROUND
     for left in range(rounds, 0, -1):
         rows, bad = lists.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(n * r), F.lit(0.0))).first()
         counts = lists.select("n", "r", F.explode("words").alias("word")).groupBy("word").agg(F.sum(n * r).alias("bad"), F.sum(n * (1 - r)).alias("good"))
-        counts = written(counts.withColumn("prior", F.when(F.col("word").isin(*seeds), 1.0 + SEED_PRIOR).otherwise(1.0)))
+        counts = written(counts.withColumn("prior", F.when(F.col("word").isin(*seeds), SMOOTH + SEED_PRIOR).otherwise(SMOOTH)))
         bad_t, bad_prior, good_t, v = counts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("bad", "prior", "good")], F.count("*")).first()
         size, k = F.size("words"), F.col("k")
         own_bad, own_good = n * r, n * (1 - r)
         weight = F.log((F.greatest(F.col("bad") - own_bad * k, F.lit(0.0)) + F.col("prior")) / (F.greatest(bad_t - own_bad * size, F.lit(0.0)) + bad_prior))
-        weight = weight - F.log((F.greatest(F.col("good") - own_good * k, F.lit(0.0)) + 1) / (F.greatest(good_t - own_good * size, F.lit(0.0)) + v))
+        weight = weight - F.log((F.greatest(F.col("good") - own_good * k, F.lit(0.0)) + SMOOTH) / (F.greatest(good_t - own_good * size, F.lit(0.0)) + v * SMOOTH))
         # r is a list's, so the terms get it by their list
         evidence = terms.join(lists, "words").join(counts, "word").groupBy("words").agg(F.sum(k * weight).alias("evidence"))
         prior = F.log((F.greatest(bad - own_bad, F.lit(0.0)) + 1) / (F.greatest(rows - bad - own_good, F.lit(0.0)) + 1))
@@ -149,7 +153,8 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], text: str | None
     hosts = urls.select("host").distinct()
     host_words = hosts.select("host", F.posexplode(F.split("host", r"[^a-z]+")).alias("at", "label")).join(split, "label")
     host_words = host_words.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("host_words"))
-    seen = urls.join(host_words, "host", "left").select("host", "path", "n", F.concat(F.coalesce("host_words", F.array().cast("array<string>")), _tokens(F.col("path"))).alias("words"))
+    signs = F.array_repeat(F.lit(SIGN), F.length("host") - F.length(F.replace("host", F.lit(SIGN), F.lit(""))))
+    seen = urls.join(host_words, "host", "left").select("host", "path", "n", F.concat(F.coalesce("host_words", F.array().cast("array<string>")), signs, _tokens(F.col("path"))).alias("words"))
     seen = written(seen)
     odds = learnt(seen.groupBy("words").agg(F.sum("n").alias("n")), seeds)
     judged = seen.select("host", "path", "words").join(odds, "words").select("host", "path", "words", "log_odds")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loamgrid.llm import op1_minhash, op2_toxicity, op5_mixing, op6_bpe, op10_lines
@@ -86,3 +87,21 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF))
     assert docs.count() == 0
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    a, b, c, d = ("%s is a text of its own about %s and nothing else" % (x, x * 3) for x in ("alpha", "beta", "gamma", "delta"))
+    rows = [(3, a, "u"), (7, b, "u"), (7, a, "u"), (9, c, "u"), (None, a, "u"), (None, d, "u"), (5, None, "u"), (6, "", "u"), (9, c, "u"), (4, "another text altogether", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_key string")
+    got = Counter(map(tuple, corpus_pipeline.near_duplicates(spark, docs, SF).collect()))
+    assert got == Counter([(3, a, "u"), (7, b, "u"), (9, c, "u"), (None, d, "u"), (5, None, "u"), (4, "another text altogether", "v")])
+
+
+def test_stages_on_odd_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (1, "word " * 60_000, "en", "s", 300_000), (1, "word " * 60_000, "en", "s", 300_000)], docs.schema)
+    docs = docs.unionByName(odd).withColumns({"_copies": F.lit("x"), "_score": F.lit(1.0), "node": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.written(stage(spark, docs, SF))
+        assert out.count() > 0 and (name == "bpe" or out.columns == docs.columns)
+        docs = out

@@ -8,4 +8,12 @@ from .helpers import documents
 def test_short_repeated_lines_are_deleted(spark):
     rows = [(1, "All rights reserved by the owner\none\n\n--"), (2, "two\nAll rights reserved by the owner"), (3, "--\n\nthree\none")]
     got = {r["doc_id"]: (r["_n_removed"], r["text"]) for r in op10_lines.line_dedup(documents(spark, rows)).collect()}
-    assert got == {1: (0, rows[0][1]), 2: (1, "two"), 3: (1, "--\n\nthree")}
+    assert got == {1: (0, rows[0][1]), 2: (1, "two"), 3: (0, rows[2][1])}
+
+
+def test_runs_of_short_lines_are_deleted(spark):
+    menu = "Home\nAbout us\n\nOur team\nContact"
+    rows = [(1, f"a\n{menu}\nb"), (2, f"c\n{menu}\nd"), (3, "Home\nAbout us\ne"), (4, "About us\n\nOur team\nContact\nf")]
+    got = {r["doc_id"]: (r["_n_removed"], r["text"]) for r in op10_lines.line_dedup(documents(spark, rows)).collect()}
+    # three words of doc 3 stay, as no run of five is repeated there; in doc 4 one is
+    assert got == {1: (0, rows[0][1]), 2: (5, "c\nd"), 3: (0, rows[2][1]), 4: (4, "f")}

@@ -92,6 +92,40 @@ def test_restoring_obfuscated_words(spark):
     assert restored == ["moron", "idiot", "stupid", "pathetic", "trash", "moron", "a moron"]
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    assert np.array_equal(op2_toxicity.character_model(docs), op2_toxicity.character_model(docs.repartition(7)))
+    scores = [{r["doc_id"]: r["_score"] for r in op2_toxicity.toxicity(d, op2_toxicity.fit(d, labels)).collect()} for d in (docs, docs.repartition(7))]
+    assert scores[0].keys() == scores[1].keys() and max(abs(scores[0][k] - scores[1][k]) for k in scores[0]) < 1e-9
+
+
+def test_counts_of_the_character_model(spark):
+    texts = ["ab", "", None, "b", "A-b"]
+    want = np.full((27, 27, 27), 0.1)
+    for t in texts:
+        letters = [0, 0, *[ord(c) - 96 if c.isalpha() else 0 for c in (t or "").lower()], 0, 0]
+        for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+            want[a, b, c] += 1
+    got = op2_toxicity.character_model(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert np.allclose(got, np.log(want / want.sum(axis=2, keepdims=True)))
+
+
+def test_words_in_fragments(spark):
+    model = op2_toxicity.Restorer(op2_toxicity.character_model(spark.read.parquet(f"{SF}/documents.parquet")))
+    known = pa.array(["moron stupid"])
+    _, hashes = op2_toxicity._features(*op2_toxicity.tb.text_bytes(known))
+    lexicon = op2_toxicity.Lexicon(hashes[0], np.ones(2))
+    text = pa.array(["you mo ron, be st up id", "no mor onion", None, "mo  ron", "mo ron"])
+    assert op2_toxicity.joined_fragments(*op2_toxicity.tb.text_bytes(text), model, lexicon).to_pylist() == ["moron stupid", "", "", "", "moron"]
+
+
+def test_long_tokens_are_read_whole(spark):
+    model = op2_toxicity.character_model(spark.read.parquet(f"{SF}/documents.parquet")).tolist()
+    for token in ("ab1d3" * 200, "thin9s" * 300, "s p 4 c e d  " * 100):
+        assert len(op2_toxicity.restore(token, model)) > len(token) / 3
+    assert op2_toxicity.restore("x" * 255 + "m0r0n", model).endswith("moron")
+
+
 def test_parts_that_may_be_obfuscated():
     text = "plain words, (here) stay! but m0r0n mor0 a$$ mooron i d i o t and 2024 don't"
     data, offsets = op2_toxicity.tb.text_bytes(pa.array([text]))

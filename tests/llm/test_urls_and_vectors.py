@@ -5,6 +5,8 @@ import math
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from loamgrid.llm import op3_urls, op4_nearest
 
@@ -45,11 +47,11 @@ def learnt_brute(lists, seeds):
         for w in lists:
             others = [(x, n, r[x]) for x, n in lists.items() if x != w]  # this list is held out
             value = math.log((sum(n * p for _, n, p in others) + 1) / (sum(n * (1 - p) for _, n, p in others) + 1))
-            bad_t = sum(n * p * len(x) for x, n, p in others) + len(vocabulary) + op3_urls.SEED_PRIOR * seeded
-            good_t = sum(n * (1 - p) * len(x) for x, n, p in others) + len(vocabulary)
+            bad_t = sum(n * p * len(x) for x, n, p in others) + op3_urls.SMOOTH * len(vocabulary) + op3_urls.SEED_PRIOR * seeded
+            good_t = sum(n * (1 - p) * len(x) for x, n, p in others) + op3_urls.SMOOTH * len(vocabulary)
             for word in w:
-                bad = sum(n * p * x.count(word) for x, n, p in others) + 1 + op3_urls.SEED_PRIOR * (word in seeds)
-                good = sum(n * (1 - p) * x.count(word) for x, n, p in others) + 1
+                bad = sum(n * p * x.count(word) for x, n, p in others) + op3_urls.SMOOTH + op3_urls.SEED_PRIOR * (word in seeds)
+                good = sum(n * (1 - p) * x.count(word) for x, n, p in others) + op3_urls.SMOOTH
                 value += math.log(bad / bad_t) - math.log(good / good_t)
             odds[w] = value
         r = {w: 1 / (1 + math.exp(-max(-30, min(30, v)))) for w, v in odds.items()}
@@ -66,13 +68,39 @@ def test_log_odds_are_plain_counts(spark):
     assert got["lucky", "win", "win", "com"] > 0 > got["garden", "poker", "roses", "com"] and got["poker", "org"] > 0
 
 
+UNWANTED = [("casino", "win"), ("free", "bets"), ("ads", "track"), ("spam", "farm"), ("cheap", "pills"), ("adult", "x")]
+
+
+def name_of(host):
+    """The name below example.com and the like, without www, m or blog."""
+    return host.split(".example.")[0].split(".")[-1]
+
+
 def test_query_blocks_unwanted_hosts(spark):
     rows = op3_urls.query(spark, "/root/testdata/sf0.1").where("rule IS NULL").collect()
-    bad = [r["verdict"] for r in rows if "-" in r["host"]]
-    good = [r["verdict"] for r in rows if "-" not in r["host"]]
+    names = {"-".join(words) for words in UNWANTED}
+    bad = [r["verdict"] for r in rows if name_of(r["host"]) in names]
+    good = [r["verdict"] for r in rows if name_of(r["host"]) not in names]
     assert set(bad) == {"block"} and good.count("allow") > 0.97 * len(good)
 
 
+@pytest.mark.parametrize("words", UNWANTED[1:5])  # the other two are as many or too few to be learnt from the rest
+def test_unwanted_hosts_without_their_own_seeds(spark, words):
+    seeds = tuple(s for s in op3_urls.SEEDS if s not in words and s + "s" not in words)
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    own = op3_urls.url_filter(pages, [], seeds=seeds).where(F.col("host").contains("-".join(words)))
+    verdicts = [r["verdict"] for r in own.collect()]
+    assert verdicts and set(verdicts) == {"block"}
+
+
+def test_concatenated_hosts_are_split_and_blocked(spark):
+    text = "we offer casino bonus and lucky spins, cheap pills by mail, garden roses and river walks " * 3
+    rows = [(i, f"https://{host}.example.org/en/{i}", text) for i, host in enumerate(["casinobonusspins", "cheappillsmail", "luckycasinospins", *["gardenroses", "riverwalks", "rosesandwalks"] * 8])]
+    got = {r["page_id"]: r for r in op3_urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string"), []).collect()}
+    assert [got[i]["verdict"] for i in range(3)] == ["block"] * 3 and {got[i]["verdict"] for i in range(3, len(rows))} == {"allow"}
+    assert got[0]["words"][:3] == ["casino", "bonus", "spins"] and got[1]["words"][:3] == ["cheap", "pills", "mail"]
+
+
 def parse(url):
     if url is None or "://" not in url:
         return "", ""
