@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import stats, surfaces
+from . import axes, splines, stats, surfaces
+from .axes import DIGITS, Axis, axis_of
 from .traces import at_linear
 
-#: Digits that fractional grid positions are rounded to before they are floored or rounded.
-DIGITS = 9
+__all__ = ["Axis", "axis_of"]
 
 
 @dataclass(frozen=True)
@@ -148,63 +148,50 @@ def uniform_spacing(path: DataFrame, spacing: float, order: str, columns: list[s
     return stations.select(*by, "station", d.alias("distance"), *[(F.col(c) + t * F.coalesce(F.col(f"_next_{c}") - F.col(c), F.lit(0.0))).alias(c) for c in columns])
 
 
-@dataclass(frozen=True)
-class Axis:
-    """A regular axis: labels first, first + step, ... up to n of them."""
-
-    first: float
-    step: float
-    n: int
-
-    def place(self, label: Column) -> Column:
-        return F.round((label - self.first) / self.step, DIGITS)
-
-
-def axis_of(traces: DataFrame, dim: str) -> Axis:
-    """The regular axis of a dimension; fails if its labels aren't evenly spaced."""
-    row = traces.agg(F.min(dim).alias("a"), F.max(dim).alias("b"), F.countDistinct(dim).alias("n")).first()
-    step = (row["b"] - row["a"]) / (row["n"] - 1) if row["n"] > 1 else 1.0
-    odd = traces.where(F.abs((F.col(dim) - row["a"]) / F.lit(step) - F.round((F.col(dim) - row["a"]) / F.lit(step))) > 1e-6)
-    if not odd.isEmpty():
-        raise ValueError(f"the labels of {dim} aren't evenly spaced; select by place instead")
-    return Axis(float(row["a"]), float(step), int(row["n"]))
-
-
-def select_xy(traces: DataFrame, points: DataFrame, affine: Affine, axes: tuple[Axis, Axis], dims: tuple[str, str] = ("iline", "xline"), method: str = "linear", samples: str = "samples", carry: tuple[str, ...] = ()) -> DataFrame:
+def select_xy(traces: DataFrame, points: DataFrame, affine: Affine, axes: tuple[axes.AnyAxis, axes.AnyAxis], dims: tuple[str, str] = ("iline", "xline"), method: str = "linear", samples: str = "samples", carry: tuple[str, ...] = ()) -> DataFrame:
     """Traces at points (point, x, y): the nearest, or the bilinear mean of up to four.
 
     A point outside the grid, or with one of the traces it needs missing, has null samples.  ``carry`` are other
     dimensions, whose labels give a row each.
     """
+    i, j = affine.inverse(F.col("x").cast("double"), F.col("y").cast("double"))
+    at = points.select("point", "x", "y", i.alias("_i"), j.alias("_j"))
+    return select_labels(traces, at, axes, ("_i", "_j"), dims, method, samples, carry).select("point", "x", "y", *carry, samples)
+
+
+def select_labels(traces: DataFrame, points: DataFrame, axes: tuple[axes.AnyAxis, axes.AnyAxis], at: tuple[str, str], dims: tuple[str, str] = ("iline", "xline"), method: str = "linear", samples: str = "samples", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Points (point, and labels in the columns ``at``) with traces: the nearest, or the bilinear mean of up to four."""
     if method not in ("nearest", "linear"):
         raise ValueError("the method must be nearest or linear")
-    i, j = affine.inverse(F.col("x").cast("double"), F.col("y").cast("double"))
-    p, q = axes[0].place(i), axes[1].place(j)
-    at = points.select("point", "x", "y", p.alias("_p"), q.alias("_q"))
-    at = at.withColumn("_in", (F.col("_p") >= 0) & (F.col("_p") <= axes[0].n - 1) & (F.col("_q") >= 0) & (F.col("_q") <= axes[1].n - 1))
-    cells = traces.select(
-        F.round((F.col(dims[0]) - axes[0].first) / axes[0].step).cast("long").alias("_i"),
-        F.round((F.col(dims[1]) - axes[1].first) / axes[1].step).cast("long").alias("_j"), *carry, samples,
-    )
+    for axis, column, name in zip(axes, at, ("_p", "_q"), strict=True):
+        points = axis.between(points, column, name)
+    points = points.withColumn("_in", F.col("_p").isNotNull() & F.col("_q").isNotNull())
+    own = [c for c in points.columns if c not in ("_p", "_q", "_in", *carry, samples)]
+    cells = traces.select(axes[0].key(F.col(dims[0])).alias("_ki"), axes[1].key(F.col(dims[1])).alias("_kj"), *carry, samples)
     if method == "nearest":
         # ties go to the smaller place
-        near = at.withColumns({"_i": F.when(F.col("_in"), F.ceil(F.col("_p") - 0.5)), "_j": F.when(F.col("_in"), F.ceil(F.col("_q") - 0.5))})
-        return near.join(cells, ["_i", "_j"], "left").select("point", "x", "y", *carry, samples)
-    i0, j0 = F.floor("_p"), F.floor("_q")
-    t, u = F.col("_p") - i0, F.col("_q") - j0
-    corner = lambda di, dj, w: F.struct((i0 + di).alias("_i"), (j0 + dj).alias("_j"), w.alias("w"))
-    corners = F.array(corner(0, 0, (1 - t) * (1 - u)), corner(1, 0, t * (1 - u)), corner(0, 1, (1 - t) * u), corner(1, 1, t * u))
-    needed = at.where("_in").select("point", F.explode(F.filter(corners, lambda c: c["w"] > 0)).alias("c")).select("point", "c.*")
+        near = points.withColumns({k: F.when(F.col(p)["t"] <= 0.5, F.col(p)["a"]).otherwise(F.col(p)["b"]) for k, p in (("_ki", "_p"), ("_kj", "_q"))})
+        return near.join(cells, ["_ki", "_kj"], "left").select(*own, *carry, samples)
+    t, u = F.col("_p")["t"], F.col("_q")["t"]
+    corner = lambda i, j, w: F.struct(F.col("_p")[i].alias("_ki"), F.col("_q")[j].alias("_kj"), w.alias("w"))
+    corners = F.array(corner("a", "a", (1 - t) * (1 - u)), corner("b", "a", t * (1 - u)), corner("a", "b", (1 - t) * u), corner("b", "b", t * u))
+    needed = points.where("_in").select("point", F.explode(F.filter(corners, lambda c: c["w"] > 0)).alias("c")).select("point", "c.*")
     want = needed.groupBy("point").agg(F.count("*").alias("need"))
     # at most four arrays a point; a null sample makes the mean null
-    near = needed.join(cells, ["_i", "_j"]).groupBy("point", *carry).agg(F.collect_list(F.struct("w", F.col(samples).cast("array<double>").alias("v"))).alias("_near"))
+    near = needed.join(cells, ["_ki", "_kj"]).groupBy("point", *carry).agg(F.collect_list(F.struct("w", F.col(samples).cast("array<double>").alias("v"))).alias("_near"))
     parts = F.transform("_near", lambda c: F.transform(c["v"], lambda v: v * c["w"]))
     mean = F.reduce(F.slice(parts, 2, 3), F.get(parts, F.lit(0)), lambda total, v: F.zip_with(total, v, lambda a, b: a + b))
     packed = near.join(want, "point").where(F.size("_near") == F.col("need")).select("point", *carry, mean.alias(samples))
-    return at.select("point", "x", "y").join(packed, "point", "left").select("point", "x", "y", *carry, samples)
+    return points.select(*own).join(packed, "point", "left").select(*own, *carry, samples)
+
+
+def select_irregular(traces: DataFrame, points: DataFrame, axes: tuple[axes.AnyAxis, axes.AnyAxis], dims: tuple[str, str] = ("iline", "xline"), xy: tuple[str, str] = ("cdp_x", "cdp_y"), method: str = "linear", samples: str = "samples", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Traces at points (point, x, y) of a survey that no affine transform describes: by the labels that its coordinates give there."""
+    at = labels_at(points.select("point", "x", "y"), traces.select(*dims, *xy), dims, xy)
+    return select_labels(traces, at, axes, ("_i", "_j"), dims, method, samples, carry).select("point", "x", "y", *carry, samples)
 
 
-def regridded(traces: DataFrame, cells: DataFrame, affine: Affine, axes: tuple[Axis, Axis], dims: tuple[str, str] = ("iline", "xline"), xy: tuple[str, str] = ("cdp_x", "cdp_y"), method: str = "linear", samples: str = "samples", carry: tuple[str, ...] = ()) -> DataFrame:
+def regridded(traces: DataFrame, cells: DataFrame, affine: Affine, axes: tuple[axes.AnyAxis, axes.AnyAxis], dims: tuple[str, str] = ("iline", "xline"), xy: tuple[str, str] = ("cdp_x", "cdp_y"), method: str = "linear", samples: str = "samples", carry: tuple[str, ...] = ()) -> DataFrame:
     """The traces on another survey: a row for each pair of labels of ``cells``, at the mean of its coordinates.
 
     Cells without coordinates, outside the grid or next to a missing trace have null samples.  ``affine`` and ``axes``
@@ -216,14 +203,23 @@ def regridded(traces: DataFrame, cells: DataFrame, affine: Affine, axes: tuple[A
     return found.select("point.*", F.col("x").alias(xy[0]), F.col("y").alias(xy[1]), *carry, samples)
 
 
-def interpolated_labels(traces: DataFrame, labels: DataFrame, axes: tuple[Axis, Axis], dims: tuple[str, str] = ("iline", "xline"), method: str = "linear", samples: str = "samples", carry: tuple[str, ...] = ()) -> DataFrame:
-    """The traces at other labels of two dimensions, which may lie between those that are there: a row for each pair."""
+def interpolated_labels(traces: DataFrame, labels: DataFrame, axes: tuple[axes.AnyAxis, axes.AnyAxis], dims: tuple[str, str] = ("iline", "xline"), method: str = "linear", samples: str = "samples", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The traces at other labels of two dimensions, which may lie between those that are there: a row for each pair.
+
+    ``cubic`` is a spline along the first dimension, then along the second.
+    """
+    if method == "cubic":
+        wanted = labels.select(*[F.col(d).cast("double").alias(d) for d in dims]).distinct()
+        out = traces.select(*dims, *carry, samples)
+        for d, other in (dims, dims[::-1]):
+            out = splines.along(out, d, wanted.select(d).where(F.col(d).isNotNull()).distinct(), (other, *carry), samples)
+        return wanted.join(out, list(dims), "left").select(*dims, *carry, samples)
     cells = labels.select(*dims, *[F.col(d).cast("double").alias(f"_at_{d}") for d in dims])
     at = tuple(f"_at_{d}" for d in dims)
     return regridded(traces, cells, Affine(1.0, 0.0, 0.0, 1.0, 0.0, 0.0), axes, dims, at, method, samples, carry).drop(*at)
 
 
-def interpolated_line(traces: DataFrame, path: DataFrame, spacing: float, affine: Affine, axes: tuple[Axis, Axis], order: str = "seq", method: str = "linear", **more) -> DataFrame:
+def interpolated_line(traces: DataFrame, path: DataFrame, spacing: float, affine: Affine, axes: tuple[axes.AnyAxis, axes.AnyAxis], order: str = "seq", method: str = "linear", **more) -> DataFrame:
     """Traces at equal distances along a polyline of columns seq, x and y."""
     stations = uniform_spacing(path, spacing, order, ["x", "y"]).withColumnRenamed("station", "point")
     return select_xy(traces, stations.select("point", "x", "y"), affine, axes, method=method, **more)
@@ -235,7 +231,7 @@ def at_horizon(traces: DataFrame, horizon: DataFrame, dims: tuple[str, str], z:
     return rows.withColumn(name, at_linear(F.col("samples"), F.col(z), ns0, dt)).drop("samples")
 
 
-def well_values(traces: DataFrame, path: DataFrame, affine: Affine, axes: tuple[Axis, Axis], ns0: float, dt: float) -> DataFrame:
+def well_values(traces: DataFrame, path: DataFrame, affine: Affine, axes: tuple[axes.AnyAxis, axes.AnyAxis], ns0: float, dt: float) -> DataFrame:
     """Trilinear values along a well path (point, x, y, z)."""
     at = select_xy(traces, path.select("point", "x", "y"), affine, axes)
     return at.join(path.select("point", "z"), "point").withColumn("value", at_linear(F.col("samples"), F.col("z"), ns0, dt)).drop("samples")
@@ -255,47 +251,18 @@ def labels_at(points: DataFrame, traces: DataFrame, dims: tuple[str, str] = ("il
     return surfaces.interpolated(points, cells, dict(zip(names, dims, strict=True)), ("x", "y"), method)
 
 
-def spline_curvatures(n: int) -> np.ndarray:
-    """The matrix that gives the second derivatives of not-a-knot cubic splines through n values (4 or more)."""
-    m, rhs = np.zeros((n, n)), np.zeros((n, n))
-    for i in range(1, n - 1):
-        m[i, i - 1 : i + 2] = 1, 4, 1
-        rhs[i, i - 1 : i + 2] = 6, -12, 6
-    m[0, :3] = 1, -2, 1
-    m[-1, -3:] = 1, -2, 1
-    return np.linalg.solve(m, rhs)
-
-
-def cubic(y: np.ndarray, at: np.ndarray, curvatures: np.ndarray | None = None) -> np.ndarray:
-    """The not-a-knot cubic spline through (0, y0), (1, y1), ... at the given places; NaN outside."""
-    n = len(y)
-    out = np.full(len(at), np.nan)
-    inside = (at >= 0) & (at <= n - 1)
-    if n < 4:
-        deg = max(n - 1, 0)
-        out[inside] = np.polyval(np.polyfit(np.arange(n), y, deg), at[inside]) if n else np.nan
-        return out
-    second = (spline_curvatures(n) if curvatures is None else curvatures) @ y
-    k = np.minimum(np.floor(at[inside]).astype(int), n - 2)
-    t = at[inside] - k
-    out[inside] = y[k] * (1 - t) + y[k + 1] * t - t * (1 - t) / 6 * ((2 - t) * second[k] + (1 + t) * second[k + 1])
-    return out
-
-
 def resample_cubic(traces: DataFrame, at: str, ns0: float, dt: float, samples: str = "samples") -> DataFrame:
     """Traces with their samples at the labels of the array column ``at``, by cubic splines."""
 
     def spline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}  # a task's traces have few different lengths
-
-        def one(y: np.ndarray, z: np.ndarray) -> list[float]:
-            y = np.asarray(y, dtype=float)
-            if len(y) > 3 and len(y) not in known:
-                known[len(y)] = spline_curvatures(len(y))
-            return cubic(y, (np.asarray(z, dtype=float) - ns0) / dt, known.get(len(y))).tolist()
-
         for batch in batches:
-            batch[samples] = [one(y, z) for y, z in zip(batch[samples], batch[at], strict=True)]
+            out = np.empty(len(batch), dtype=object)
+            sizes = pd.Series(list(zip([len(y) for y in batch[samples]], [len(z) for z in batch[at]], strict=True)))
+            for _, rows in sizes.groupby(sizes).groups.items():  # traces of one length at a time
+                y, z = (np.stack([np.asarray(v, dtype=float) for v in batch[c].iloc[rows]]) for c in (samples, at))
+                for i, v in zip(rows, splines.even(y, (z - ns0) / dt), strict=True):
+                    out[i] = v
+            batch[samples] = out
             yield batch
 
     fields = ", ".join(f"`{f.name}` {'array<double>' if f.name == samples else f.dataType.simpleString()}" for f in traces.schema.fields)

@@ -66,16 +66,20 @@ def range_bounds(rows: DataFrame, order: list[str], parts: int | None = None, **
     return out
 
 
+def ranged_by(rows: DataFrame, key: Column, bounds: list[Row], names: list[str]) -> DataFrame:
+    """Rows with the number of the last range that doesn't begin after their key (0: none), and the array of ranges."""
+    kind = rows.select(key.alias("_from")).schema["_from"].dataType
+    schema = StructType([StructField("_from", kind), *[StructField(n, LongType()) for n in names]])
+    one = rows.sparkSession.createDataFrame([(r["_from"], *[r[n] for n in names]) for r in bounds], schema)
+    one = one.agg(F.array_sort(F.collect_list(F.struct(*one.columns))).alias("_ranges"))  # a row for each range
+    return rows.join(F.broadcast(one)).withColumn("_range", F.size(F.filter("_ranges", lambda r: r["_from"] <= key)))
+
+
 def placed(rows: DataFrame, order: list[str], bounds: list[Row], name: str) -> DataFrame:
     """Rows with their place in the order: each goes to the last range that doesn't begin after it, and is counted there."""
     if not bounds:
         return rows.withColumn(name, F.lit(None).cast("long"))
-    kind = rows.select(F.struct(*order).alias("_from")).schema["_from"].dataType
-    schema = StructType([StructField("_from", kind), StructField("_before", LongType())])
-    one = rows.sparkSession.createDataFrame([(r["_from"], r["_before"]) for r in bounds], schema)
-    one = one.agg(F.array_sort(F.collect_list(F.struct("_from", "_before"))).alias("_ranges"))  # a row for each range
-    key = F.struct(*order)
-    dealt = rows.join(F.broadcast(one)).withColumn("_range", F.size(F.filter("_ranges", lambda r: r["_from"] <= key)))
+    dealt = ranged_by(rows, F.struct(*order), bounds, ["_before"])
     before = F.element_at("_ranges", F.col("_range"))["_before"]
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return dealt.withColumn("_before", before).drop("_ranges").withColumn(name, F.col("_before") + place).drop("_range", "_before")

@@ -10,6 +10,8 @@ from .registry import table
 
 #: Columns of the survey coordinates that the views make up: x = 1000 + 2.5 i - 0.75 j, y = 500 + 0.75 i + 2.5 j.
 XY = ("x", "y")
+#: Headers that are sent to all tasks at most.
+BROADCAST = 1 << 20
 
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,8 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     # the headers alone are numbered
     places = rows.select("vec_id", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).alias("xline"))
+    # numbers go to all tasks up to a checked size, so that samples stay where they are
+    places = F.broadcast(places) if rows.count() <= BROADCAST else places
     return rows.join(places, "vec_id").select(F.col("vec_id").alias("tracen"), F.col("label").alias("iline"), "xline", F.col("embedding").cast("array<double>").alias("samples"))
 
 

@@ -351,15 +351,6 @@ def survey_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tracen", r6(i).alias("x"), r6(j).alias("y"))
 
 
-@query()
-def surface_from_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A surface through scattered points, by Delaunay triangles; no SQL has them, tests compare with planes."""
-    rows = views.block(spark, sf_dir).drop("samples")
-    points = _points(spark).select(F.col("x"), F.col("y"), (F.col("x") * 2 - F.col("y")).alias("z"))
-    more = spark.createDataFrame([(990.0, 480.0, 1500.0), (1050.0, 480.0, 1620.0), (960.0, 600.0, 1320.0), (1050.0, 600.0, 1500.0)], "x double, y double, z double")
-    return geometry.surface_from_points(rows, points.union(more), "z", views.XY).select("tracen", r6("z").alias("z"))
-
-
 @query()
 def resample_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces at other labels by cubic splines; no SQL has them, tests compare with polynomials."""
