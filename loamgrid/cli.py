@@ -17,7 +17,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .functions.text import as_lines
+from .keys import FIELD_BYTES, LAYOUTS, TRACE_FIELDS
 from .operators.stats import header_stats
 from .sources import segy, tables
 from .volume import Volume
@@ -85,7 +87,9 @@ def run(state: State, words: list[str]) -> State:
             print(segy.head(path, "big").text)
     elif command == "scan":
         headers = segy.read_headers(spark, path, a.max_traces)
-        header_stats(headers, [c for c in headers.columns if c not in ("file", "tracen")]).select("field", "min", "max", "mean").orderBy("field").show(100, False)
+        places = spark.createDataFrame(list(FIELD_BYTES.items()), "field string, byte_loc int")
+        found = header_stats(headers, [c for c in headers.columns if c not in ("file", "tracen")]).join(places, "field")
+        found.select("field", "byte_loc", "min", "max", "mean").orderBy("byte_loc").show(100, False)
     elif command == "scrape":
         out = a.output or path
         if a.ebcidc or not a.trace_headers:
@@ -118,9 +122,18 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
     p = argparse.ArgumentParser(prog="loamgrid", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("-f", "--file")
     p.add_argument("--debug-level", default="INFO")
+    p.add_argument("-k", "--keys", action="store_true", help="print header fields with their bytes, and the known layouts")
+    p.add_argument("-v", "--version", action="store_true", help="print the version")
     p.add_argument("commands", nargs=argparse.REMAINDER)
     a = p.parse_args(words)
     logging.basicConfig(level=a.debug_level.upper())
+    if a.version:
+        print(__version__)
+    if a.keys:
+        for byte, (name, *_) in sorted(TRACE_FIELDS.items()):
+            print(f"{byte:4d} {name}")
+        for name, fields in LAYOUTS.items():
+            print(f"{name}: {', '.join(f'{k} {b}' for k, b in fields.items())}")
     commands = split_commands(a.commands)
     if commands and not a.file:
         log.error("give a file with -f")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import getpass
 import re
 import textwrap
 import warnings
@@ -108,9 +109,14 @@ def as_lines(header: str | list[str] | dict[int, str] | bytes, line_counter: boo
     return out
 
 
-def default_header(override: dict[int, str] | None = None, user: str = "") -> dict[int, str]:
-    """Lines that say where a file comes from; ``override`` goes first."""
+def default_header(override: dict[int, str] | None = None, user: str | None = None) -> dict[int, str]:
+    """Lines that say where a file comes from and who wrote it; ``override`` goes first."""
     now = datetime.now()
+    if user is None:
+        try:
+            user = getpass.getuser()
+        except (KeyError, OSError):  # a system without names
+            user = ""
     lines = {1: f"written by loamgrid {now:%Y-%m-%d %H:%M:%S} {user}".rstrip(), 4: "sample format and geometry: see the binary header", 40: "END TEXTUAL HEADER"}
     lines |= override or {}
     return {k: v[:75] for k, v in lines.items() if 1 <= k <= LINES}

@@ -8,6 +8,8 @@
 * ``first`` and ``last``: sample places to cut traces to, before they leave the reader;
 * ``where``: JSON of [column, comparison, value] triples over these columns and tracen (``==``, ``>=``, ``<=``, ``>``,
   ``<``, ``in``), of which all must hold; they are applied to the headers, before samples are read;
+* ``index``: a folder that ``write_index`` has made: blocks of traces whose least and greatest header values can't meet
+  the conditions aren't read; a file that has changed since is read whole, with a warning;
 * ``endian``: big or little; ``tracesPerPartition``.
 
 The reader takes no filters from Spark: Spark 4.1 keeps a Python reader's filters with the table, so a later query
@@ -19,12 +21,14 @@ from __future__ import annotations
 import glob
 import json
 import os
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -121,6 +125,30 @@ class SegyReader(DataSourceReader):
             if op not in COMPARISONS or (name not in self.columns and name != "tracen"):
                 raise ValueError(f"{name} {op} can't be applied to trace headers")
 
+    def blocks(self, path: str, low: int, high: int) -> list[tuple[int, int]]:
+        """The runs of traces that may meet the conditions, by the file's index if it has one."""
+        if "index" not in self.options or low >= high:
+            return [(low, high)]
+        index = read_index(self.options["index"], path)
+        if index is None:
+            warnings.warn(f"{path} isn't as its index says, and is read whole", UserWarning, stacklevel=2)
+            return [(low, high)]
+        keep = np.ones(len(index["start"]), dtype=bool)
+        for name, op, v in self.filters:
+            if name != "tracen":
+                least, most = (index[f"{k}_{TRACE_FIELDS[self.columns[name]][0]}"] for k in ("min", "max"))
+                values = np.asarray(v)
+                keep &= {
+                    "==": lambda a, b, v: (a <= v) & (v <= b), "in": lambda a, b, v: ((a[:, None] <= v) & (v <= b[:, None])).any(axis=1),
+                    ">": lambda a, b, v: b > v, ">=": lambda a, b, v: b >= v, "<": lambda a, b, v: a < v, "<=": lambda a, b, v: a <= v,
+                }[op](least, most, values)
+        runs: list[tuple[int, int]] = []
+        for start, stop in zip(index["start"][keep].tolist(), index["stop"][keep].tolist(), strict=True):
+            start, stop = max(start, low), min(stop, high)
+            if start < stop:
+                runs = [*runs[:-1], (runs[-1][0], stop)] if runs and runs[-1][1] == start else [*runs, (start, stop)]
+        return runs
+
     def partitions(self) -> list[Traces]:
         size = int(self.options.get("tracespartition", self.options.get("tracesPerPartition", 50_000)))
         out = []
@@ -128,7 +156,7 @@ class SegyReader(DataSourceReader):
             n = head(path, self.endian).traces
             low = max([0, *(v + (op == ">") for name, op, v in self.filters if name == "tracen" and op in ("==", ">", ">="))])
             high = min([n, *(v + (op != "<") for name, op, v in self.filters if name == "tracen" and op in ("==", "<", "<="))])
-            out += [Traces(path, i, min(i + size, high)) for i in range(low, high, size)]
+            out += [Traces(path, i, min(i + size, b)) for a, b in self.blocks(path, low, high) for i in range(a, b, size)]
         return out or [Traces("", 0, 0)]
 
     def read(self, partition: Traces) -> Iterator[pa.RecordBatch]:
@@ -316,6 +344,30 @@ def read_traces(spark: SparkSession, path: str, dims: dict[str, int] | None = No
     return heads.mapInArrow(fetch, StructType([*heads.schema.fields, StructField("samples", ArrayType(FloatType()))]))
 
 
+def _stamp(path: str) -> tuple[int, int]:
+    """Size and time of the last change of a file."""
+    found = os.stat(path)
+    return found.st_size, found.st_mtime_ns
+
+
+def write_index(spark: SparkSession, path: str, index: str, block: int = 1000, **options) -> None:
+    """Keep the least and greatest value of every header field for blocks of traces of SEG-Y files, as Parquet."""
+    heads = read_headers(spark, path, **options)
+    number = F.floor(F.col("tracen") / block)
+    ends = [f(n).alias(f"{k}_{n}") for n in FIELD_BYTES for k, f in (("min", F.min), ("max", F.max))]
+    zones = heads.groupBy("file", number.alias("block")).agg(F.min("tracen").alias("start"), (F.max("tracen") + 1).alias("stop"), *ends)
+    stamps = spark.createDataFrame([(f, *_stamp(f)) for f in files(path)], "file string, size long, changed long")
+    zones.drop("block").join(F.broadcast(stamps), "file").repartitionByRange(max(1, len(files(path)) // 100), "file").sortWithinPartitions("file", "start").write.mode("overwrite").parquet(index)
+
+
+def read_index(index: str, path: str) -> dict[str, np.ndarray] | None:
+    """The blocks of a file, in order; None if there are none or the file has changed."""
+    table = pq.read_table(index.removeprefix("file:"), filters=[("file", "=", path)])
+    if not table.num_rows or (table["size"][0].as_py(), table["changed"][0].as_py()) != _stamp(path):
+        return None
+    return {n: table[n].to_numpy() for n in table.column_names if n != "file"}
+
+
 def read_headers(spark: SparkSession, path: str, traces: int | None = None, names: list[str | int] | None = None, **options) -> DataFrame:
     """Trace headers: all 91 fields, or those given by name or first byte, of all traces or the first ``traces``."""
     check_bytes([n for n in names or [] if isinstance(n, int)])
@@ -362,4 +414,4 @@ def write_traces(traces: DataFrame, path: str, dims: dict[str, int], extras: dic
     return n
 
 
-__all__ = ["LAYOUTS", "TRACE_FIELDS", "SegyDataSource", "SegyMetaSource", "head", "is_segy", "read_headers", "read_meta", "read_traces", "register", "write_traces"]
+__all__ = ["LAYOUTS", "TRACE_FIELDS", "SegyDataSource", "SegyMetaSource", "head", "is_segy", "read_headers", "read_meta", "read_traces", "register", "write_index", "write_traces"]

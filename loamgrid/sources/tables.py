@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_volume(traces: DataFrame, meta: dict, path: str, partition: str | None = None, rows_per_part: int | None = None) -> None:
-    """A folder with the traces as Parquet and the metadata as a one-row table; partitioned by a column of few labels."""
+def write_volume(traces: DataFrame, meta: dict, path: str, partition: str | None = None, group_bytes: int | None = None) -> None:
+    """A folder with the traces as Parquet (in row groups of about ``group_bytes``) and the metadata as a one-row table; partitioned by a column of few labels."""
     writer = traces.write.mode("overwrite")
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes)
     (writer.partitionBy(partition) if partition else writer).parquet(f"{path}/traces")
     traces.sparkSession.createDataFrame([(json.dumps({k: v for k, v in meta.items() if v is not None}),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
 

@@ -6,11 +6,13 @@ import html
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import keys
+from .operators import chunks as blocks
 from .operators import geometry, grid, traces
 from .sources import segy, tables
 
@@ -46,7 +48,20 @@ class Volume:
     # ------------------------------------------------------------ making
     @classmethod
     def open_segy(cls, spark: SparkSession, path: str, dims: dict[str, int], extras: dict[str, int] | None = None, check: bool = True, **options) -> Volume:
-        """Traces of SEG-Y files on the dimensions whose header bytes are given."""
+        """Traces of SEG-Y files on the dimensions whose header bytes are given.
+
+        A name or byte that is given twice, a sample range the wrong way round and an unknown option are errors.
+        """
+        if unknown := set(options) - {"endian", "first", "last", "tracesPerPartition", "index"}:
+            raise ValueError(f"unknown options {sorted(unknown)}")
+        if not dims:
+            raise ValueError("a volume needs dimensions")
+        if both := set(dims) & set(extras or {}):
+            raise ValueError(f"{sorted(both)} are dimensions and extra fields")
+        if len(set(dims.values())) < len(dims):
+            raise ValueError("two dimensions have the same byte")
+        if "last" in options and int(options["last"]) < int(options.get("first", 0)):
+            raise ValueError("the last sample comes before the first")
         meta = segy.read_meta(spark, path, **{k: v for k, v in options.items() if k == "endian"})
         m = meta.agg(F.min("ns0").alias("ns0"), F.min("dt").alias("dt"), F.max("dt").alias("dt_high"), F.min("units").alias("units"), F.first("text").alias("text")).first()
         heads = segy.read_headers(spark, path, names=["SourceGroupScalar"], **{k: v for k, v in options.items() if k == "endian"})
@@ -70,13 +85,22 @@ class Volume:
         return cls(rows, tuple(m["dims"]), m["ns0"], m["dt"], m["vertical"], m["attrs"], tuple(m["coords"]))
 
     # ------------------------------------------------------------ keeping
-    def save(self, path: str, partition: str | None = None) -> None:
-        tables.write_volume(self.traces, {"dims": self.dims, "ns0": self.ns0, "dt": self.dt, "vertical": self.vertical, "attrs": self.attrs, "coords": self.coords}, path, partition)
+    def save(self, path: str, partition: str | None = None, chunks: dict[str, int] | None = None, files: int | None = None, group_bytes: int = 8 << 20) -> None:
+        """Keep as Parquet; with ``chunks`` (positions along each dimension) in their order, so that crops along any dimension read few files and row groups."""
+        rows = blocks.by_chunks(self.traces, list(chunks), chunks, files) if chunks else self.traces
+        tables.write_volume(rows, {"dims": self.dims, "ns0": self.ns0, "dt": self.dt, "vertical": self.vertical, "attrs": self.attrs, "coords": self.coords}, path, partition, group_bytes if chunks else None)
 
     def to_segy(self, path: str, dims: dict[str, int] | None = None, extras: dict[str, int] | None = None, **more) -> int:
         """Write to one SEG-Y file; without ``dims`` in the bytes that the volume was read from."""
-        known = self.attrs.get("bytes", {})
+        known, gone = self.attrs.get("bytes", {}), self.attrs.get("squeezed", {})
+        back = {d: v for d, v in gone.items() if d not in self.traces.columns and d in (dims or known)}
+        if back:  # dimensions of one label that were squeezed out
+            return replace(self, traces=self.traces.withColumns({d: F.lit(v) for d, v in back.items()}), dims=(*back, *self.dims), attrs=self.attrs | {"squeezed": {}}).to_segy(path, dims, extras, **more)
+        if dims is None and (unknown := [d for d in self.dims if d not in known]):
+            raise ValueError(f"no header bytes are known for {unknown}")
         dims = dims or {d: known[d] for d in self.dims}
+        if missing := [d for d in self.dims if d not in dims]:
+            raise ValueError(f"dimensions {missing} have no header bytes, so traces couldn't be told apart")
         extras = extras if extras is not None else {k: v for k, v in known.items() if k not in dims and k in self.traces.columns}
         if self.attrs.get("coord_scaled"):
             more = {"coord_scalar": self.attrs.get("coord_scalar"), "scaled": tuple(c for c in self.coords if c in self.traces.columns)} | more
@@ -104,6 +128,8 @@ class Volume:
         for dim, wanted in labels.items():
             if dim == self.vertical:
                 low, high = (wanted.start, wanted.stop) if isinstance(wanted, slice) else (wanted, wanted)
+                if method is None and not isinstance(wanted, slice) and abs((wanted - out.ns0) / out.dt - round((wanted - out.ns0) / out.dt)) > 1e-6:
+                    raise KeyError(f"{dim} has no label {wanted}")
                 first = 0 if low is None else max(0, -int(-(low - out.ns0) // out.dt)) if isinstance(wanted, slice) else round((low - out.ns0) / out.dt)
                 last = 2**31 - 2 if high is None else int((high - out.ns0) // out.dt) if isinstance(wanted, slice) else first
                 out = out.isel_z(first, last)
@@ -117,6 +143,10 @@ class Volume:
             elif method is not None:
                 raise ValueError("the method must be nearest or None")
             else:
+                asked = wanted if isinstance(wanted, list) else [wanted]
+                found = {r[0] for r in out.traces.where(F.col(dim).isin(asked)).select(dim).distinct().collect()}  # no more than were asked for
+                if missing := [w for w in asked if w not in found]:
+                    raise KeyError(f"{dim} has no labels {missing}")
                 out = out._having((dim, "in", wanted) if isinstance(wanted, list) else (dim, "==", wanted))
         return out
 
@@ -161,6 +191,10 @@ class Volume:
 
         return self.with_traces(self.traces.mapInPandas(apply, schema))
 
+    def map_chunks(self, function: Callable[[np.ndarray], np.ndarray], sizes: dict[str, int], ghosts: dict[str, int] | None = None, depth: tuple[int, int] | None = None) -> Volume:
+        """Samples through a function of N-dimensional chunks, which see ``ghosts`` more on either side."""
+        return self.with_traces(blocks.mapped(self.traces, list(self.dims), function, sizes, ghosts, depth))
+
     # ------------------------------------------------------------ reading off
     def long(self) -> DataFrame:
         return traces.long_view(self.traces, list(self.dims), self.ns0, self.dt)
@@ -280,7 +314,9 @@ class Volume:
         return self.with_traces(rows, dims=(*self.dims, *[d for d in other.dims if d not in self.dims]))
 
     def zeros_like(self) -> Volume:
-        return self.with_traces(self.traces.withColumn("samples", F.transform("samples", lambda v: F.lit(0.0))))
+        """Zeros for every combination of labels, whether a trace is there or not."""
+        n = self.traces.agg(F.max(F.size("samples"))).first()[0] or 0
+        return self.with_traces(self.dense().traces.withColumn("samples", F.array_repeat(F.lit(0.0), n)))
 
     def _repr_html_(self) -> str:
         rows = "".join(f"<tr><th>{html.escape(str(k))}</th><td>{html.escape(str(v))}</td></tr>" for k, v in {"dims": self.dims, "columns": self.traces.columns, "axis": (self.vertical, self.ns0, self.dt)}.items())
