@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # The trace header of SEG-Y revision 1, as first byte (from 1) and name, by width.
 FOUR_BYTE_FIELDS = {
     1: "TRACE_SEQUENCE_LINE", 5: "TRACE_SEQUENCE_FILE", 9: "FieldRecord", 13: "TraceNumber", 17: "EnergySourcePoint", 21: "CDP",
@@ -93,6 +96,18 @@ def dimensionality(columns: list[str]) -> str:
     return kind + "gath" * ("offset" in has)
 
 
+def is_field_byte(byte: Column) -> Column:
+    """Whether a trace header field begins at a byte."""
+    return byte.isin(list(TRACE_FIELDS))
+
+
+def kind_of(columns: Column) -> Column:
+    """2d, 3d, 2dgath or 3dgath by an array of dimension names, for tables of many volumes; null where these don't fit together."""
+    has = lambda *names: F.arrays_overlap(columns, F.array(*map(F.lit, names)))
+    kind = F.when(has("cdp") & ~has("iline", "xline"), "2d").when(has("iline", "xline") & ~has("cdp"), "3d")
+    return F.concat(kind, F.when(has("offset"), "gath").otherwise(""))
+
+
 def vertical_dimension(columns: list[str]) -> str:
     """twt, depth or samples; twt and depth together are an error."""
     if {"twt", "depth"} <= set(columns):

@@ -6,7 +6,7 @@ from .registry import ORACLE, QUERIES, Query
 
 
 def _load() -> None:
-    from . import file_queries, header_queries, surface_queries, text_queries, volume_queries  # noqa: F401
+    from . import chunk_queries, file_queries, header_queries, surface_queries, text_queries, volume_queries  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:

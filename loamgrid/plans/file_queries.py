@@ -167,21 +167,22 @@ def volume_isel_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.traces.select("iline", "xline")
 
 
-@query("SELECT i * 2 + 5 AS iline, j AS xline, CAST(o * 2.0e0 + 2 AS DOUBLE) AS \"offset\", 7 AS n, true AS empty FROM range(12) a(i), (VALUES (3), (5), (9)) b(j), range(5) c(o)")
+@query("WITH" + views.VOLUME + ", e AS (SELECT min(iline) AS i0, max(iline) - min(iline) + 1 AS ni, min(xline) AS j0, max(xline) - min(xline) + 1 AS nj FROM emb) SELECT i0 + i AS iline, j0 + 2 * j AS xline, 2.0e0 + 2 * o AS \"offset\", 7 AS n, true AS empty FROM (SELECT *, unnest(range(ni)) AS i FROM e) JOIN (SELECT unnest(range(nj)) AS j FROM e) ON true, range(3) t(o)")
 def blank_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A regular pre-stack grid without values."""
-    v = Volume.blank(spark, {"iline": (5, 2, 12), "xline": [3, 5, 9], "offset": (2.0, 2.0, 5)}, 7)
-    return v.traces.select(F.col("iline").cast("long").alias("iline"), F.col("xline").cast("int").alias("xline"), F.col("offset").cast("double").alias("offset"), F.size("samples").alias("n"), grid.dead(F.col("samples")).alias("empty"))
+    """A regular pre-stack grid without values, as many inlines and crosslines as the volume has."""
+    e = views.volume(spark, sf_dir).agg(*[f(c).alias(f"{k}_{c}") for c in ("iline", "xline") for k, f in (("a", F.min), ("b", F.max))]).first()
+    v = Volume.blank(spark, {"iline": (e["a_iline"], 1, e["b_iline"] - e["a_iline"] + 1), "xline": (e["a_xline"], 2, e["b_xline"] - e["a_xline"] + 1), "offset": [2.0, 4.0, 6.0]}, 7)
+    return v.traces.select(F.col("iline").cast("long").alias("iline"), F.col("xline").cast("long").alias("xline"), F.col("offset").cast("double").alias("offset"), F.size("samples").alias("n"), grid.dead(F.col("samples")).alias("empty"))
 
 
-@query("SELECT CAST(c AS BIGINT) + 1 AS cdp, 11 AS n, 0.0e0 AS total FROM range(10) t(c)")
+@query("SELECT CAST(row_number() OVER () AS BIGINT) AS cdp, 11 AS n, 0.0e0 AS total FROM customer")
 def blank_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A regular 2-D line of zeros."""
-    v = Volume.blank(spark, {"cdp": (1, 1, 10)}, 11, value=0.0, domain="DEPTH", units="m")
+    """A regular 2-D line of zeros with a place for each customer."""
+    v = Volume.blank(spark, {"cdp": (1, 1, table(spark, sf_dir, "customer").count())}, 11, value=0.0, domain="DEPTH", units="m")
     return v.traces.select(F.col("cdp").cast("long").alias("cdp"), F.size("samples").alias("n"), traces.total(F.col("samples")).alias("total"))
 
 
-@query("WITH" + views.VOLUME + " SELECT iline, xline, 64 AS n, 0.0e0 AS total FROM emb")
+@query("WITH" + views.VOLUME + " SELECT iline, xline, 64 AS n, 0.0e0 AS total FROM (SELECT DISTINCT iline FROM emb), (SELECT DISTINCT xline FROM emb)")
 def volume_zeros_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Volume(views.volume(spark, sf_dir), ("iline", "xline")).zeros_like()
     return v.traces.select("iline", "xline", F.size("samples").alias("n"), traces.total(F.col("samples")).alias("total"))
@@ -220,35 +221,19 @@ def subsampled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Volume(views.volume(spark, sf_dir), ("iline", "xline")).subsampled_labels(xline=2)["xline"].select(F.col("xline").cast("double").alias("xline"))
 
 
-KINDS = {"cdp": "2d", "cdp,offset": "2dgath", "iline,xline": "3d", "iline,xline,offset": "3dgath", "cdp,iline": None, "offset": None}
-
-
-@query(" UNION ALL ".join(f"SELECT '{c}' AS columns, CAST({'NULL' if k is None else repr(k)} AS VARCHAR) AS kind" for c, k in KINDS.items()))
+@query("""SELECT c_custkey, CASE WHEN cdp AND NOT (iline OR xline) THEN '2d' WHEN (iline OR xline) AND NOT cdp THEN '3d' END || CASE WHEN gath THEN 'gath' ELSE '' END AS kind
+FROM (SELECT c_custkey, c_custkey % 2 = 0 AS cdp, c_custkey % 3 = 0 AS iline, c_custkey % 5 < 2 AS xline, c_custkey % 7 < 3 AS gath FROM customer)""")
 def dimension_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2-D or 3-D, stacked or not, by the names of dimensions."""
-
-    def kind(columns: str) -> str | None:
-        try:
-            return keys.dimensionality(columns.split(","))
-        except ValueError:
-            return None
+    """2-D or 3-D, stacked or not, by the names of dimensions, of which each customer has some."""
+    n = F.col("c_custkey")
+    names = F.array_compact(F.array(*[F.when(has, d) for d, has in (("cdp", n % 2 == 0), ("iline", n % 3 == 0), ("xline", n % 5 < 2), ("offset", n % 7 < 3))]))
+    return table(spark, sf_dir, "customer").select("c_custkey", keys.kind_of(names).alias("kind"))
 
-    return spark.createDataFrame([(c, kind(c)) for c in KINDS], "columns string, kind string")
 
-
-@query("SELECT p_partkey AS byte, p_partkey IN (" + ", ".join(map(str, keys.TRACE_FIELDS)) + ") AS valid FROM part WHERE p_partkey BETWEEN 1 AND 240")
+@query("SELECT p_partkey, p_partkey % 300 IN (" + ", ".join(map(str, keys.TRACE_FIELDS)) + ") AS valid FROM part")
 def field_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of trace headers at which a field begins."""
-
-    def valid(byte: int) -> bool:
-        try:
-            keys.check_bytes([byte])
-            return True
-        except ValueError:
-            return False
-
-    bytes_ = table(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 240").select("p_partkey").collect()  # 240 at most
-    return spark.createDataFrame([(r[0], valid(r[0])) for r in bytes_], "byte long, valid boolean")
+    return table(spark, sf_dir, "part").select("p_partkey", keys.is_field_byte(F.col("p_partkey") % 300).alias("valid"))
 
 
 @query(r"SELECT doc_id, lang, rpad(left(lang || ' ' || source || ' ' || repeat('ab', 50), 80), 80, ' ') AS cut FROM documents")

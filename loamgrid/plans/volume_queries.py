@@ -144,9 +144,10 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.volume(spark, sf_dir).select("tracen", r6(F.abs(F.sin(traces.total(x))) + F.cos(F.get(x, 0))).alias("v"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, 100 + 4.0e0 * k AS z FROM range(64) t(k)")
+@query(V + " SELECT tracen, k, 100 + 4.0e0 * k AS z FROM lng")
 def sample_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.posexplode(traces.axis(100.0, 4.0, 64)).alias("k", "z"))
+    """The labels of every trace's samples."""
+    return views.volume(spark, sf_dir).select("tracen", F.posexplode(traces.axis(100.0, 4.0, F.size("samples"))).alias("k", "z"))
 
 
 # ---------------------------------------------------------------- geometry
