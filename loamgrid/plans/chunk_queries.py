@@ -12,7 +12,7 @@ from ..operators.axes import axis_of
 from ..sources import segy, tables
 from ..volume import Volume
 from . import views
-from .file_queries import _file, _folder
+from .file_queries import NUMBER, _file, _folder
 from .registry import query, r6, table
 from .volume_queries import BILINEAR, CORNERS, TRUE_AFFINE
 
@@ -60,6 +60,15 @@ def segy_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.traces.select("iline", "xline", (F.round(traces.total(F.col("samples")), 5) + 0.0).alias("total"))
 
 
+@query(B + f" SELECT {NUMBER} AS tracen, round(list_sum([CASE WHEN i BETWEEN 11 AND 20 THEN 2 * x ELSE x END FOR x, i IN samples]), 5) + 0 AS total FROM blk")
+def segy_samples_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten samples of every trace of a file, doubled and written back into their place."""
+    path = _file(spark, sf_dir)
+    cut = segy.read_traces(spark, path, first=10, last=19)
+    segy.write_samples(cut.withColumn("samples", F.transform("samples", lambda v: v * 2)), path, 10, block=100)
+    return segy.read_traces(spark, path).select("tracen", (F.round(traces.total(F.col("samples")), 5) + 0.0).alias("total"))
+
+
 WELL = """, pt AS (SELECT c_custkey AS point, round((c_custkey % 83) * 0.1e0, 9) AS p, round((c_custkey % 17) * 1.3e0, 9) AS q, (c_custkey % 59) * 4.1e0 AS z FROM customer),
 ax AS (SELECT min(iline) AS i0, max(iline) AS i1, min(xline) AS j0, max(xline) AS j1 FROM blk),
 ins AS (SELECT point, p, q, p >= 0 AND p <= i1 - i0 AND q >= 0 AND q <= j1 - j0 AS inside FROM pt, ax)"""

@@ -344,6 +344,45 @@ def read_traces(spark: SparkSession, path: str, dims: dict[str, int] | None = No
     return heads.mapInArrow(fetch, StructType([*heads.schema.fields, StructField("samples", ArrayType(FloatType()))]))
 
 
+def write_samples(traces: DataFrame, path: str, first: int = 0, block: int = 1000, manifest: str | None = None, endian: str = "big") -> int:
+    """Write samples (of column samples, from place ``first`` on) into the traces (tracen) of a file that is there; returns how many.
+
+    Traces are dealt to tasks by blocks of their numbers, each task writes its own byte ranges, so a repeated attempt writes
+    the same bytes again.  With ``manifest``, a folder that all tasks share, each finished block leaves a mark there, and a
+    job that is run again after a failure goes on with the others; a new folder begins anew.
+    """
+    h = head(path, endian)
+    ns, kind = h.binary["Samples"], h.binary["Format"]
+    width = codec.SAMPLE_BYTES[kind]
+    rows = traces.select(F.col("tracen").cast("long").alias("tracen"), "samples").where("tracen IS NOT NULL").withColumn("block", F.floor(F.col("tracen") / block))
+    if manifest:
+        os.makedirs(manifest, exist_ok=True)
+        done = [(int(n),) for n in os.listdir(manifest) if n.isdigit()]
+        rows = rows.join(F.broadcast(traces.sparkSession.createDataFrame(done, "block long")), "block", "left_anti") if done else rows  # a number for each block
+
+    def write(table: pa.Table) -> pa.Table:
+        number, lists = table["tracen"].to_numpy(), table["samples"].combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        if number.min() < 0 or number.max() >= h.traces:
+            raise ValueError(f"the file has traces 0 to {h.traces - 1}")
+        if lengths.min() < 1 or lengths.min() != lengths.max() or first < 0 or first + lengths.max() > ns:
+            raise ValueError(f"samples must be of one length and end at {ns} at most")
+        values = pc.fill_null(lists.flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+        raw = np.frombuffer(codec.encode_samples(values, kind, endian), dtype=np.uint8).reshape(len(number), -1)
+        with open(path, "r+b") as f:
+            for i in np.argsort(number, kind="stable").tolist():
+                f.seek(h.first + int(number[i]) * h.stride + codec.HEADER + first * width)
+                f.write(raw[i].tobytes())
+            f.flush()
+            os.fsync(f.fileno())
+        if manifest:
+            with open(os.path.join(manifest, str(table["block"][0].as_py())), "wb"):
+                pass
+        return pa.table({"n": pa.array([len(number)], pa.int64())})
+
+    return rows.groupBy("block").applyInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def _stamp(path: str) -> tuple[int, int]:
     """Size and time of the last change of a file."""
     found = os.stat(path)
@@ -414,4 +453,4 @@ def write_traces(traces: DataFrame, path: str, dims: dict[str, int], extras: dic
     return n
 
 
-__all__ = ["LAYOUTS", "TRACE_FIELDS", "SegyDataSource", "SegyMetaSource", "head", "is_segy", "read_headers", "read_meta", "read_traces", "register", "write_index", "write_traces"]
+__all__ = ["LAYOUTS", "TRACE_FIELDS", "SegyDataSource", "SegyMetaSource", "head", "is_segy", "read_headers", "read_meta", "read_traces", "register", "write_index", "write_samples", "write_traces"]

@@ -108,3 +108,25 @@ def test_arguments_and_squeezed_dimensions(spark, tmp_path):
     assert volume.sel(xline=[11, 13]).traces.count() == 2
     holes = volume.with_traces(volume.traces.where("xline <> 12").unionByName(volume.traces.where("xline = 12").withColumn("iline", F.lit(2))))
     assert holes.zeros_like().traces.count() == 8 and holes.zeros_like().traces.where("forall(samples, v -> v = 0)").count() == 8
+
+
+def test_samples_are_written_into_a_file_and_a_failed_job_goes_on(spark, tmp_path):
+    path, manifest = str(tmp_path / "a.sgy"), str(tmp_path / "done")
+    rows = survey(spark, 10, 10, 8)
+    segy.write_traces(rows, path, DIMS, EXTRAS, sample_format=5)
+    before = {r["tracen"]: r["samples"] for r in segy.read_traces(spark, path).collect()}
+    new = spark.range(100).select(F.col("id").alias("tracen"), F.array(*[(F.col("id") + k).cast("float") for k in range(3)]).alias("samples"))
+    broken = new.withColumn("samples", F.when(F.col("tracen") == 55, F.slice("samples", 1, 2)).otherwise(F.col("samples")))
+    with pytest.raises(Exception, match="one length"):
+        segy.write_samples(broken, path, 2, 10, manifest)
+    assert not os.path.exists(os.path.join(manifest, "5"))
+    done = {int(n) for n in os.listdir(manifest)}
+    left = segy.write_samples(new, path, 2, 10, manifest)
+    assert left == 100 - 10 * len(done) and {int(n) for n in os.listdir(manifest)} == set(range(10))
+    assert segy.write_samples(new, path, 2, 10, manifest) == 0
+    for r in segy.read_traces(spark, path, DIMS).collect():
+        t = r["tracen"]
+        assert r["samples"] == before[t][:2] + [t, t + 1, t + 2] + before[t][5:]
+    for wrong in (new.withColumn("tracen", F.col("tracen") + 1), new.withColumn("samples", F.array_repeat(F.lit(0.0), 7))):
+        with pytest.raises(Exception, match="the file has|one length"):
+            segy.write_samples(wrong, path, 2)
