@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import geometry, traces
+from ..operators import geometry, stats, traces
 from ..operators.axes import axis_of
 from ..sources import segy, tables
 from ..volume import Volume
@@ -69,6 +69,20 @@ def segy_samples_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segy.read_traces(spark, path).select("tracen", (F.round(traces.total(F.col("samples")), 5) + 0.0).alias("total"))
 
 
+SHARES = [0.0, 0.1, 0.5, 0.9, 1.0]
+
+
+@query(V + ", c AS (SELECT v FROM lng WHERE iline BETWEEN 2 AND 5)" + " UNION ALL ".join(f" SELECT CAST({x} AS DOUBLE) AS share, (SELECT count(*) FROM c) AS n, true AS near" for x in SHARES))
+def sketched_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of a crop from sketches of each inline, and whether their exact ranks are as near as promised."""
+    rows = views.samples(spark, sf_dir)
+    found = stats.sketched_percentiles(stats.sketched(rows, ["iline"], "v").where("iline BETWEEN 2 AND 5"), SHARES)
+    # the shares are a few rows
+    ranks = rows.where("iline BETWEEN 2 AND 5").join(F.broadcast(found), F.lit(True)).groupBy("share", "n").agg(F.avg((F.col("v") < F.col("value")).cast("int")).alias("low"), F.avg((F.col("v") <= F.col("value")).cast("int")).alias("high"))
+    off = F.greatest(F.col("low") - F.col("share"), F.col("share") - F.col("high"), F.lit(0.0))
+    return ranks.select("share", "n", (off <= 2 * stats.rank_error(1000)).alias("near"))
+
+
 WELL = """, pt AS (SELECT c_custkey AS point, round((c_custkey % 83) * 0.1e0, 9) AS p, round((c_custkey % 17) * 1.3e0, 9) AS q, (c_custkey % 59) * 4.1e0 AS z FROM customer),
 ax AS (SELECT min(iline) AS i0, max(iline) AS i1, min(xline) AS j0, max(xline) AS j1 FROM blk),
 ins AS (SELECT point, p, q, p >= 0 AND p <= i1 - i0 AND q >= 0 AND q <= j1 - j0 AS inside FROM pt, ax)"""

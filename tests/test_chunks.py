@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid.operators import chunks
+from loamgrid.operators import chunks, stats
 from loamgrid.sources import segy
 from loamgrid.volume import Volume
 
@@ -130,3 +130,17 @@ def test_samples_are_written_into_a_file_and_a_failed_job_goes_on(spark, tmp_pat
     for wrong in (new.withColumn("tracen", F.col("tracen") + 1), new.withColumn("samples", F.array_repeat(F.lit(0.0), 7))):
         with pytest.raises(Exception, match="the file has|one length"):
             segy.write_samples(wrong, path, 2)
+
+
+def test_sketches_merge(spark):
+    rng = np.random.default_rng(9)
+    values = rng.normal(size=40_000)
+    frame = spark.createDataFrame([(i % 7, float(v)) for i, v in enumerate(values)] + [(1, None), (2, float("nan")), (99, None)], "k int, v double").repartition(6)
+    sketches = stats.sketched(frame, ["k"], "v")
+    assert sketches.count() == 7
+    own = np.sort(values[np.arange(40_000) % 7 < 4])
+    got = {r["share"]: r for r in stats.sketched_percentiles(sketches.where("k < 4"), [0.0, 0.25, 0.5, 0.99, 1.0]).collect()}
+    assert got[0.0]["value"] == own[0] and got[1.0]["value"] == own[-1] and {r["n"] for r in got.values()} == {len(own)}
+    assert all(abs(np.searchsorted(own, r["value"]) / len(own) - share) <= 2 * stats.rank_error(1000) for share, r in got.items())
+    assert stats.sketched_percentiles(sketches, [0.5], ["k"]).count() == 7
+    assert stats.sketched_percentiles(sketches.limit(0), [0.5]).count() == 0
