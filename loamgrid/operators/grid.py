@@ -15,6 +15,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..workspace import written
 
+#: Rows that are numbered as one range.
+FEW_ROWS = 100_000
 #: Traces whose steps are compared in one task.
 RANGE_ROWS = 2_000_000
 
@@ -57,6 +59,9 @@ def range_bounds(rows: DataFrame, order: list[str], parts: int | None = None, **
     """
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = rows.select(F.struct(*order).alias("_key"), *[v.alias(f"_{k}") for k, v in sums.items()])
+    if parts == 1:
+        whole = keyed.agg(F.min("_key").alias("_from"), F.count("*").alias("_n"), *[F.max(f"_{k}").alias(k) for k in sums]).first()
+        return [Row(**whole.asDict(recursive=False), _before=0)] if whole["_n"] else []
     dealt = keyed.repartitionByRange(parts, "_key").groupBy(F.spark_partition_id().alias("_part"))
     found = dealt.agg(F.min("_key").alias("_from"), F.count("*").alias("_n"), *[F.max(f"_{k}").alias(k) for k in sums]).orderBy("_from").collect()
     done, out = 0, []
@@ -89,9 +94,13 @@ def numbered(rows: DataFrame, order: list[str], name: str, parts: int | None = N
     """Rows with their place (from 0) in the order of the columns, nulls first; equal rows get places side by side.
 
     The order columns are dealt into ranges, of which the least keys and the sizes are known to all tasks; the rows then
-    go to their ranges, where they are counted.  So a row moves once, and none is lost or doubled whatever its key is.
+    go to their ranges, where they are counted.  So a row moves once, and none is lost or doubled whatever its key is.  Up to
+    ``FEW_ROWS`` rows are one range, unless ``parts`` says how many.
     """
-    return placed(rows, order, range_bounds(rows, order, parts), name)
+    bounds = range_bounds(rows, order, parts or 1)
+    if not parts and bounds and bounds[0]["_n"] > FEW_ROWS:
+        bounds = range_bounds(rows, order)
+    return placed(rows, order, bounds, name)
 
 
 def with_position(traces: DataFrame, dim: str, name: str | None = None) -> DataFrame:
