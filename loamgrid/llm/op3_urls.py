@@ -40,7 +40,7 @@ SEEDS = (
 #: A host's sign that is a token of its own.
 SIGN = "-"
 #: Rounds of learning, and occurrences in unwanted URLs that a seed word has beforehand.
-ROUNDS, SEED_PRIOR = 4, 2.0
+ROUNDS, SEED_PRIOR = 3, 2.0
 #: Occurrences that every word has beforehand among unwanted and among other URLs.
 SMOOTH = 0.1
 #: Rows that a seed word counts for in the unigram model.
