@@ -19,7 +19,8 @@ Lines end at ``\\n`` and are told apart by two independent 64-bit hashes of thei
 bytes; words are runs of ASCII letters, digits, underscores and characters beyond ASCII.  Null
 texts count as empty, and an empty table gives an empty result.  Very long texts
 are rows like others; a long line is one id.  Rows equal in doc_id and text count
-as one document and get the same result each; a null doc_id comes first.
+as one document and get the same result each; a null doc_id comes first, and of
+several texts of one doc_id the one with the smaller hash.
 """
 
 from __future__ import annotations

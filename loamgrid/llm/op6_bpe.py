@@ -10,7 +10,8 @@ encoding exactly if every pair of neighbours is, and each pair comes from one
 of the encodings.
 
 Null texts count as empty; empty texts give no tokens.  Repeated rows and
-repeated or null ``doc_id`` give a row each.  Other columns are ignored.
+repeated or null ``doc_id`` give a row each.  An empty table gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations

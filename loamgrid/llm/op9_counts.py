@@ -9,8 +9,9 @@ the pieces.  A word with a part that no piece matches is one unknown token.
 Words are maximal runs of ASCII letters, digits, underscores and characters
 beyond ASCII; every other character but white space is a word of its own.
 Words are told apart by a 64-bit hash, and each worker counts a word once.
-Null and empty texts have no tokens.  Repeated rows give a row each; other
-columns are ignored.
+Null and empty texts have no tokens.  Very long texts and words are counted
+whole.  An empty table gives an empty result.  Repeated rows give a row each;
+other columns are ignored.
 """
 
 from __future__ import annotations
