@@ -123,7 +123,10 @@ class Volume:
         return self.with_traces(rows)
 
     def sel(self, method: str | None = None, **labels) -> Volume:
-        """Traces by label: a value, a list, or a slice with both ends; ``nearest`` for values.  The vertical dimension too."""
+        """Traces by label: a value, a list, or a slice with both ends; ``nearest`` for values.  The vertical dimension too.
+
+        Labels are those of this volume along each dimension, whatever the other dimensions select.
+        """
         out = self
         for dim, wanted in labels.items():
             if dim == self.vertical:
@@ -138,23 +141,26 @@ class Volume:
                 ends = [(dim, op, int(v) if float(v).is_integer() else v) for op, v in ((">=", wanted.start), ("<=", wanted.stop)) if v is not None]
                 out = out._having(*ends)
             elif method == "nearest":
-                labels_ = out.traces.select(dim).distinct()
+                labels_ = self.traces.select(dim).distinct()
                 out = out._having((dim, "in", [grid.nearest_label(labels_, dim, w).first()[0] for w in (wanted if isinstance(wanted, list) else [wanted])]))
             elif method is not None:
                 raise ValueError("the method must be nearest or None")
             else:
                 asked = wanted if isinstance(wanted, list) else [wanted]
-                found = {r[0] for r in out.traces.where(F.col(dim).isin(asked)).select(dim).distinct().collect()}  # no more than were asked for
+                found = {r[0] for r in self.traces.where(F.col(dim).isin(asked)).select(dim).distinct().collect()}  # no more than were asked for
                 if missing := [w for w in asked if w not in found]:
                     raise KeyError(f"{dim} has no labels {missing}")
                 out = out._having((dim, "in", wanted) if isinstance(wanted, list) else (dim, "==", wanted))
         return out
 
     def isel(self, **places) -> Volume:
-        """Traces by the place of their labels: a number (negative from the end), a list, a range or a half-open slice."""
+        """Traces by the place of their labels: a number (negative from the end), a list, a range or a half-open slice.
+
+        Places are those in this volume along each dimension, whatever the other dimensions select.
+        """
         out = self
         for dim, wanted in places.items():
-            index = grid.numbered(out.traces.select(dim).distinct(), [dim], "_place")
+            index = grid.numbered(self.traces.select(dim).where(F.col(dim).isNotNull()).distinct(), [dim], "_place")
             n = index.count()
             if isinstance(wanted, slice):
                 a, b, step = wanted.indices(n)

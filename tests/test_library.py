@@ -373,6 +373,18 @@ def test_volume(spark, tmp_path):
     assert v.zeros_like().dead_traces(zeros=True).where("dead").count() == 100
 
 
+def test_dimensions_are_selected_apart(spark):
+    """Inline 2 alone has crossline 9, so a selection without it has no trace there."""
+    rows = spark.createDataFrame([(i, x, [0.0]) for i in (1, 2, 3) for x in (4, 5, 9) if i == 2 or x < 9], "iline int, xline int, samples array<double>")
+    v = Volume(rows, ("iline", "xline"))
+    found = lambda v: sorted((r["iline"], r["xline"]) for r in v.traces.collect())
+    assert found(v.isel(iline=[0, 2], xline=-1)) == [] and found(v.isel(iline=slice(0, 3, 2), xline=slice(1, 3))) == [(1, 5), (3, 5)]
+    assert found(v.isel(xline=-1, iline=1)) == found(v.isel(iline=1, xline=2)) == [(2, 9)]
+    assert found(v.sel(iline=1, xline=9)) == found(v.sel(iline=[1, 3], xline=[9])) == [] and found(v.sel(method="nearest", iline=1, xline=8)) == []
+    holes = v.with_traces(rows.unionByName(spark.createDataFrame([(None, None, [0.0])], rows.schema)))
+    assert found(holes.isel(iline=0, xline=-2)) == [(1, 5)]
+
+
 def test_volumes_on_other_grids(spark):
     rows = survey(spark)
     v = Volume(rows, ("iline", "xline"), 0.0, 2.0)
