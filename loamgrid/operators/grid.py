@@ -97,10 +97,26 @@ def numbered(rows: DataFrame, order: list[str], name: str, parts: int | None = N
     go to their ranges, where they are counted.  So a row moves once, and none is lost or doubled whatever its key is.  Up to
     ``FEW_ROWS`` rows are one range, unless ``parts`` says how many.
     """
+    return placed(rows, order, _ranges(rows, order, parts), name)
+
+
+def _ranges(rows: DataFrame, order: list[str], parts: int | None) -> list[Row]:
+    """Ranges for ``numbered`` and ``with_next``: one for few rows."""
     bounds = range_bounds(rows, order, parts or 1)
     if not parts and bounds and bounds[0]["_n"] > FEW_ROWS:
         bounds = range_bounds(rows, order)
-    return placed(rows, order, bounds, name)
+    return bounds
+
+
+def with_next(index: DataFrame, dim: str, name: str, parts: int | None = None) -> DataFrame:
+    """Distinct labels of a dimension, each with the one after it (the last one with null); ranges are those of ``numbered``."""
+    bounds = _ranges(index, [dim], parts)
+    if not bounds:
+        return index.withColumn(name, F.col(dim))
+    dealt = ranged_by(index, F.struct(dim), bounds, [])
+    within = F.lead(dim).over(Window.partitionBy("_range").orderBy(dim))
+    after = F.try_element_at("_ranges", F.col("_range") + 1)["_from"][dim]  # a range begins with its least label
+    return dealt.withColumn(name, F.coalesce(within, after)).drop("_ranges", "_range")
 
 
 def with_position(traces: DataFrame, dim: str, name: str | None = None) -> DataFrame:

@@ -102,7 +102,9 @@ def depth_to_time(long: DataFrame, trace: list[str], velocity: str, step: float
 
 def halfsampled(values: Column) -> Column:
     """The values with the midpoint between each two neighbours: 2 n - 1 of them."""
-    return F.flatten(F.transform(values, lambda v, k: F.when(k + 1 < F.size(values), F.array(v.cast("double"), (v + F.get(values, k + 1)) / 2)).otherwise(F.array(v.cast("double")))))
+    finer = lambda a: F.flatten(F.transform(a, lambda v, k: F.when(k + 1 < F.size(a), F.array(v.cast("double"), (v + F.get(a, k + 1)) / 2)).otherwise(F.array(v.cast("double")))))
+    # as a lambda's variable the values are made once, and not for each of them
+    return F.get(F.transform(F.array(values), finer), F.lit(0))
 
 
 def resampled(samples: Column, at: Column, ns0: float, dt: float) -> Column:

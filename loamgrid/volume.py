@@ -15,6 +15,7 @@ from . import keys
 from .operators import chunks as blocks
 from .operators import geometry, grid, traces
 from .sources import segy, tables
+from .workspace import written
 
 
 @dataclass(frozen=True)
@@ -223,8 +224,11 @@ class Volume:
         """Labels of dimensions with midpoints added so many times over, one table a dimension."""
         out = {}
         for dim, n in times.items():
-            axis = self.traces.agg(F.array_sort(F.collect_set(dim)).alias(dim))  # the labels of one axis
-            out[dim] = axis.select(F.explode(traces.subsampled(F.col(dim), n)).alias(dim))
+            index = written(self.traces.select(dim).where(F.col(dim).isNotNull()).distinct())
+            # midpoints lie between neighbours, so each label needs the next one alone
+            pair = F.slice(traces.subsampled(F.array(dim, "_next"), n), 1, 2**n)
+            own = F.when(F.col("_next").isNotNull(), pair).otherwise(F.array(dim))
+            out[dim] = grid.with_next(index, dim, "_next").select(F.explode(own).alias(dim))
         return out
 
     # ------------------------------------------------------------ geometry

@@ -385,6 +385,21 @@ def test_dimensions_are_selected_apart(spark):
     assert found(holes.isel(iline=0, xline=-2)) == [(1, 5)]
 
 
+def test_midpoints_of_a_long_axis(spark, monkeypatch):
+    """Labels in many ranges, none of which gathers the axis, and values that no round makes more than once."""
+    labels = [3 * i + i % 2 for i in range(501)]
+    v = Volume(spark.createDataFrame([(i, [0.0]) for i in [*labels, None, 0]], "cdp int, samples array<double>"), ("cdp",))
+    for few in (100_000, 50):
+        monkeypatch.setattr(grid, "FEW_ROWS", few)
+        finer = v.subsampled_labels(cdp=2)["cdp"]
+        assert sorted(r["cdp"] for r in finer.collect()) == np.interp(np.arange(2001) / 4, np.arange(501), labels).tolist()
+        assert "collect_set" not in finer._jdf.queryExecution().optimizedPlan().toString()
+    assert v.with_traces(v.traces.where("cdp = 3000")).subsampled_labels(cdp=1)["cdp"].count() == 0
+    assert [r["cdp"] for r in v.with_traces(v.traces.where("cdp = 0")).subsampled_labels(cdp=3)["cdp"].collect()] == [0.0]
+    assert str(traces.subsampled(F.col("labels"), 4)).count("labels") == 1
+    assert spark.range(1).select(traces.subsampled(F.array(F.lit(0), F.lit(8)), 3).alias("v")).first()["v"] == [float(i) for i in range(9)]
+
+
 def test_volumes_on_other_grids(spark):
     rows = survey(spark)
     v = Volume(rows, ("iline", "xline"), 0.0, 2.0)
